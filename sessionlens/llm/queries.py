@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query -> module of this subpackage that defines it
 MODULES = {
+    "op3_pii": "pii",
     "op5_quality_rules": "quality_rules",
+    "op10_bpe": "bpe",
 }
 
 
