@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: query -> module of this subpackage that defines it
 MODULES = {
     "op3_pii": "pii",
+    "op4_mixing": "mixing",
     "op5_quality_rules": "quality_rules",
+    "op7_token_files": "token_files",
     "op10_bpe": "bpe",
 }
 
