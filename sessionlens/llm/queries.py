@@ -13,6 +13,7 @@ MODULES = {
     "op4_mixing": "mixing",
     "op5_quality_rules": "quality_rules",
     "op7_token_files": "token_files",
+    "op8_super_minhash": "super_minhash",
     "op9_sharding": "sharding",
     "op10_bpe": "bpe",
 }
