@@ -74,72 +74,116 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketch(sig: np.ndarray) -> np.ndarray:
-    """16 bits of each component, for comparing whole signatures."""
-    return (splitmix(sig.astype(U64)) >> U64(48)).astype(np.uint16)
-
-
-#: A pair whose signatures agree by less than the threshold minus this is not confirmed; about six deviations.
+def min_hash(sets: list[np.ndarray], m: int) -> np.ndarray:
+    """Plain MinHash: for each (non-empty) set the least of m independent 32-bit hashes of its elements."""
+    seeds = splitmix(np.arange(1, m + 1, dtype=U64) * MIX) | U64(1)
+    out = np.full((len(sets), m), 0xFFFFFFFF, dtype=np.uint64)
+    for i, s in enumerate(sets):
+        for at in range(0, len(s), 4096):
+            h = (s[at : at + 4096, None] * seeds) >> U64(32)
+            out[i] = np.minimum(out[i], h.min(axis=0))
+    return out
+
+
+#: In blocks, a pair whose signatures agree by less than the threshold minus this isn't confirmed: six deviations.
 SLACK = 0.22
+BLOCK_SIGNATURE = 128
 
 
-def _across(threshold: float, components_: int) -> Callable[[pa.Table], pa.Table]:
-    """Compare the classes of one block pair: pairs of different components whose signatures may pass."""
+def _across(percent: int):
+    """Links between classes of different components in one block pair, confirmed on the full sets.
+
+    A pair that shares several bands is left to the group of the first of them.
+    """
+    threshold = percent / 100
 
     def run(t: pa.Table) -> pa.Table:
-        fp, comp = t.column("fp").to_pylist(), np.array(t.column("comp").to_pylist(), dtype=object)
-        n, side = t.column("n").to_numpy(), t.column("side").to_numpy()
-        s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint16).reshape(len(fp), components_)
+        fp, comp = t.column("fp").to_pylist(), np.array([hash(x) for x in t.column("comp").to_pylist()])
+        n, side, band = t.column("n").to_numpy(), t.column("side").to_numpy(), t.column("band")[0].as_py()
+        sets = [np.array(x, dtype=np.int64) for x in t.column("set").to_pylist()]
+        bands = np.array(t.column("bands").to_pylist(), dtype=np.int64)
+        sig = min_hash([x.view(U64) for x in sets], BLOCK_SIGNATURE)
         one = np.flatnonzero(side == 0)
         two = np.flatnonzero(side == 1) if (t.column("bi")[0].as_py() != t.column("bj")[0].as_py()) else one
         a, b = [], []
         for i in one:
             fit = two[two > i] if two is one else two
-            fit = fit[comp[fit] != comp[i]]
-            fit = fit[np.minimum(n[fit], n[i]) >= threshold * np.maximum(n[fit], n[i])]
-            if len(fit):
-                fit = fit[(s[fit] == s[i]).mean(axis=1) >= threshold - SLACK]
-                for j in fit:
-                    x, y = fp[i], fp[j]
-                    a.append(max(x, y))
-                    b.append(min(x, y))
+            fit = fit[(comp[fit] != comp[i]) & (np.minimum(n[fit], n[i]) >= threshold * np.maximum(n[fit], n[i]))]
+            fit = fit[(sig[fit] == sig[i]).mean(axis=1) >= threshold - SLACK]
+            for j in fit:
+                if bands[i][np.argmax(bands[i] == bands[j])] != band:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    a.append(fp[i])
+                    b.append(fp[j])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
 
 
-def class_components(
-    classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, components_: int, block: int = 256
-) -> DataFrame:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, s) sorted by both: give every row of a band of two or more distinct s the band's least as hub.
+
+    Streams: what it keeps between batches is one row, so a band of any size passes through.
+    """
+    band0 = hub0 = last0 = None
+    hub_out = True
+    for x in batches:
+        band, s = x.column("band").to_numpy(), x.column("s").to_numpy()
+        if not len(band):
+            continue
+        again = np.concatenate([[band[0] == band0 and s[0] == last0], (band[1:] == band[:-1]) & (s[1:] == s[:-1])])
+        band, s = band[~again], s[~again]
+        if not len(band):
+            continue
+        start = np.concatenate([[band0 is None or band[0] != band0], band[1:] != band[:-1]])
+        at = np.maximum.accumulate(np.where(start, np.arange(len(band)), -1))
+        hub = np.where(at >= 0, s[np.maximum(at, 0)], hub0 if hub0 is not None else 0)
+        more = np.flatnonzero(~start)
+        first = more[np.concatenate([[True], at[more][1:] != at[more][:-1]])] if len(more) else more
+        if len(first) and at[first[0]] < 0 and hub_out:
+            first = first[1:]
+        band0, hub0, last0 = band[-1], hub[-1], s[-1]
+        # has the last run's hub gone out by now?
+        hub_out = bool(len(more)) and more[-1] == len(band) - 1 if start.any() else hub_out or bool(len(more))
+        out_b, out_s, out_h = np.concatenate([band[first], band[more]]), np.concatenate([hub[first], s[more]]), np.concatenate([hub[first], hub[more]])
+        yield pa.RecordBatch.from_arrays([pa.array(out_b), pa.array(out_s), pa.array(out_h)], names=["band", "s", "hub"])
+
+
+def class_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, block: int = 256) -> DataFrame:
     """(node, component): components of the classes that have links; node and component are set digests.
 
-    classes: fp binary, n long (set size), bands array<long>, sketch binary; one row a class.
+    classes: fp binary, n long (set size), bands array<long>; one row a class.
     sets_of: given a table of fp, returns (fp, set array<long>), one row each.
-    Links are pairs with 100 * intersection >= percent * union.
+    Links are pairs with 100 * intersection >= percent * union. Bucket rows carry a 64-bit stand-in of fp; where
+    two classes share one, both are tried.
     """
     threshold = percent / 100
-    buckets = classes.select("fp", "n", F.explode("bands").alias("band"))
-    hubs = buckets.groupBy("band").agg(F.min(F.struct("fp", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    hubs = stored(hubs, "near-hubs")
-    members = stored(buckets.join(hubs, "band"), "near-members")
-    near = F.least("n", "hub.n") >= threshold * F.greatest("n", "hub.n")
-    pairs = members.where((F.col("fp") != F.col("hub.fp")) & near).select(F.col("fp").alias("a"), F.col("hub.fp").alias("b")).distinct()
-    links = confirmed(pairs, sets_of, percent)
+    rows = classes.select(F.xxhash64("fp").alias("s"), F.explode("bands").alias("band"))
+    rows = rows.repartition("band").sortWithinPartitions("band", "s")
+    members = stored(rows.mapInArrow(_runs, "band bigint, s bigint, hub bigint"), "near-members")
+    names = classes.select(F.xxhash64("fp").alias("s"), "fp", "n")
+    pairs = members.where("s <> hub").select("s", "hub").distinct()
+    pairs = pairs.join(names.select("s", F.col("fp").alias("a"), F.col("n").alias("na")), "s")
+    pairs = pairs.join(names.select(F.col("s").alias("hub"), F.col("fp").alias("b"), F.col("n").alias("nb")), "hub")
+    near = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
+    links = confirmed(pairs.where(near & (F.col("a") != F.col("b"))).select("a", "b"), sets_of, percent)
     roots = stored(components(links), "near-roots")
 
-    # buckets of three and more that are still in several components
-    wide = members.where("size > 2").select("band", "fp", "n")
-    wide = wide.join(roots, wide["fp"] == roots["node"], "left").select("band", "fp", "n", F.coalesce("component", "fp").alias("comp"))
+    # buckets of three and more that are still in several components: the pairs across them, in blocks
+    wide = members.join(members.groupBy("band").agg(F.count("*").alias("size")).where("size > 2").select("band"), "band", "left_semi")
+    wide = wide.select("band", "s").join(names, "s").join(roots, F.col("fp") == F.col("node"), "left")
+    wide = stored(wide.select("band", "fp", "n", F.coalesce("component", "fp").alias("comp")), "near-wide")
     split = wide.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    rest = wide.join(split, "band")
-    rest = stored(rest.join(classes.select("fp", "sketch"), "fp"), "near-rest")
+    rest = stored(wide.join(split, "band", "left_semi"), "near-rest")
     if rest.isEmpty():
         return roots
-    dealt = block_pairs(rest, ["band"], "fp", block)
-    more = dealt.groupBy("band", "bi", "bj").applyInArrow(_across(threshold, components_), "a binary, b binary").distinct()
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "near-more")
-    links = confirmed(more, sets_of, percent).unionAll(roots.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return components(links)
+    full = sets_of(rest.select("fp").distinct()).join(classes.select("fp", "bands"), "fp")
+    dealt = block_pairs(rest, ["band"], "fp", block).join(full, "fp")
+    more = dealt.groupBy("band", "bi", "bj").applyInArrow(_across(percent), "a binary, b binary")
+    links = more.unionAll(roots.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return components(stored(links, "near-more"))
 
 
 def confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -150,7 +194,7 @@ def confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perce
     out = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a")
     out = out.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y")).cast("long")
-    passes = 100 * both >= percent * (F.size("x") + F.size("y") - both)
+    passes = F.lit(100) * both >= F.lit(percent) * (F.size("x") + F.size("y") - both)
     return stored(out.where(passes).select("a", "b"), "near-links")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlens.llm.common import stored, table
-from sessionlens.llm.near import MIX, U64, band_keys, class_components, in_slices, set_digest, shingle_set, sketch, splitmix, tuned
+from sessionlens.llm.near import MIX, U64, band_keys, class_components, in_slices, set_digest, shingle_set, splitmix, tuned
 
 PERCENT = 85
 COMPONENTS = 120
@@ -35,7 +35,7 @@ def _steps(el: np.ndarray, doc: np.ndarray, docs: int, m: int) -> np.ndarray:
     perm = np.broadcast_to(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(el), m)).copy()
     at = np.arange(len(el))
     for j in range(m):
-        r = splitmix(el + U64(j + 1) * MIX)
+        r = splitmix(el + U64((j + 1) * int(MIX) % 2**64))
         k = j + ((r & U64(0xFFFFFFFF)) % U64(m - j)).astype(np.int64)
         place = perm[at, k]
         perm[at, k] = perm[at, j]
@@ -89,23 +89,22 @@ def _sets(b: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def signed(docs: DataFrame, bands: int, rows: int, m: int = COMPONENTS) -> DataFrame:
-    """doc_id, n, fp (digest of the set, null where empty), bands, sketch of each row."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, fp binary, bands array<bigint>, sketch binary"
+    """doc_id, n, fp (digest of the set, null where empty) and bands of each row."""
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, fp binary, bands array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches):
             sets = _sets(b)
             sig = signatures(sets, m)
-            keys, short = band_keys(sig, bands, rows), sketch(sig)
+            keys = band_keys(sig, bands, rows)
             some = [len(s) > 0 for s in sets]
             cols = [
                 b.column("doc_id"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_digest(s) for s in sets], pa.binary()),
                 pa.array([k if x else None for k, x in zip(keys, some, strict=True)], pa.list_(pa.int64())),
-                pa.array([k.tobytes() if x else None for k, x in zip(short, some, strict=True)], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "fp", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "fp", "bands"])
 
     return _texts(docs).mapInArrow(run, schema)
 
@@ -129,9 +128,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, m: int = COMPONENTS
     bands, rows = tuned(percent / 100, m)
     signed_rows = stored(signed(docs, bands, rows, m), "near-signed")
     usable = signed_rows.where("fp is not null and doc_id is not null")
-    classes = usable.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = usable.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes, "near-classes")
-    roots = class_components(classes, lambda wanted: _full_sets(docs, classes, wanted), percent, m)
+    roots = class_components(classes, lambda wanted: _full_sets(docs, classes, wanted), percent)
     rooted = classes.select("fp", "first").join(roots, F.col("fp") == F.col("node"))
     least = rooted.groupBy("component").agg(F.min("first").alias("component_id"))
     of_class = rooted.join(least, "component").select("fp", "component_id")
