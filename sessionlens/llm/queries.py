@@ -13,6 +13,7 @@ MODULES = {
     "op3_pii": "pii",
     "op4_mixing": "mixing",
     "op5_quality_rules": "quality_rules",
+    "op6_collision_count": "collision_count",
     "op7_token_files": "token_files",
     "op8_super_minhash": "super_minhash",
     "op9_sharding": "sharding",
