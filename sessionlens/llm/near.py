@@ -111,12 +111,13 @@ def _across(percent: int):
             fit = fit[(comp[fit] != comp[i]) & (np.minimum(n[fit], n[i]) >= threshold * np.maximum(n[fit], n[i]))]
             fit = fit[(sig[fit] == sig[i]).mean(axis=1) >= threshold - SLACK]
             for j in fit:
-                if bands[i][np.argmax(bands[i] == bands[j])] != band:
+                if comp[j] == comp[i] or bands[i][np.argmax(bands[i] == bands[j])] != band:
                     continue
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                     a.append(fp[i])
                     b.append(fp[j])
+                    comp[comp == comp[j]] = comp[i]  # these two components need no other link from here
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
