@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: query -> module of this subpackage that defines it
 MODULES = {
     "op1_paragraph_minhash": "paragraph_minhash",
+    "op2_suffix_dedup": "suffix_dedup",
     "op3_pii": "pii",
     "op4_mixing": "mixing",
     "op5_quality_rules": "quality_rules",
