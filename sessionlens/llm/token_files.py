@@ -15,6 +15,7 @@ written, in the order of their texts; an empty table gives an empty result; othe
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sessionlens.llm.bpe import byte_letters
 from sessionlens.llm.common import shared_dir, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -40,36 +42,59 @@ ORC_OPTIONS = {
 }
 
 
-class WordEncoder:
-    """The tokenizers library over distinct words; equal to it over whole texts, as blanks are cut points."""
+#: Words of Latin letters and closing marks. The tokenizer lower-cases them letter by letter, no two of these
+#: characters compose, and its pattern cuts them into the letters and the marks.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:$%&*#|]*)")
+
+
+class WordEncoder(dict):
+    """The tokenizers library over distinct words; equal to it over whole texts, as blanks are cut points.
+
+    Maps a word to its ids (little-endian 32-bit integers). A word of Latin letters goes to the file's model
+    piece by piece, any other word through the library's whole chain.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of one pre-token, from the model: its bytes in the byte-level alphabet."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(text))
+            self.pieces[piece] = ids
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        m = _SIMPLE.fullmatch(word) if len(word) <= 64 else None
+        if m:
+            ids = self._piece(m[1].lower()) + self._piece(m[2])
+        elif word:
+            ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
+        else:
+            ids = b""
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        known = self.known
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({w for words in cut for w in words if w not in known})
-        long = []
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<i4").tobytes()
-                if len(w) > 64:
-                    long.append(w)
-        out = [b"".join(map(known.__getitem__, words)) for words in cut]
-        for w in long:
-            del known[w]
-        return out
+        """Ids of each text."""
+        if len(self) > CACHE:
+            self.clear()
+        if len(self.pieces) > CACHE:
+            self.pieces = {"": b""}
+        cut = (t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts)
+        return [b"".join(map(self.__getitem__, words)) for words in cut]
 
 
 @lru_cache(maxsize=2)
@@ -119,21 +144,26 @@ def write_ids(docs: DataFrame, out: str, path: str | None = None, end: int = END
     rows.mapInArrow(run, schema).write.options(**(options or ORC_OPTIONS)).orc(out)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), ids of every document in the files.
-
-    The offsets of the files come from two integer columns alone; there is one row for each file.
-    """
-    files = spark.read.orc(path)
+def offsets(files: DataFrame) -> DataFrame:
+    """(shard, offset): ids before each file. Reads two integer columns; one row for each file."""
     totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     over = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("shard", F.coalesce(F.sum("total").over(over), F.lit(0)).alias("offset"))
-    return files.join(offsets, "shard").select("doc_id", (F.col("offset") + F.col("before")).alias("start"), "ids")
+    return totals.select("shard", F.coalesce(F.sum("total").over(over), F.lit(0)).alias("offset"))
 
 
-def digests(ids: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 (of the ids as little-endian 32-bit integers) of read_ids()."""
-    schema = f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, start bigint, n_tokens bigint, ids_crc32 bigint"
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start (ids of all documents before it), ids of every document in the files."""
+    files = spark.read.orc(path)
+    return files.join(offsets(files), "shard").select("doc_id", (F.col("offset") + F.col("before")).alias("start"), "ids")
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 (of the ids as little-endian 32-bit integers), from the files.
+
+    Stripes are digested where they are read; only the digests meet the files' offsets.
+    """
+    files = spark.read.orc(path)
+    schema = f"doc_id {files.schema['doc_id'].dataType.simpleString()}, shard int, before bigint, n_tokens bigint, ids_crc32 bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,13 +171,15 @@ def digests(ids: DataFrame) -> DataFrame:
             at = lists.offsets.to_numpy()
             data = memoryview(lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)).cast("B")
             crc = [zlib.crc32(data[4 * s : 4 * e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            cols = [b.column("doc_id"), b.column("start"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            cols = [b.column("doc_id"), b.column("shard"), b.column("before"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "shard", "before", "n_tokens", "ids_crc32"])
 
-    return ids.mapInArrow(run, schema)
+    read = files.select("doc_id", "shard", "before", "ids").mapInArrow(run, schema)
+    out = read.join(offsets(files), "shard")
+    return out.select("doc_id", (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = os.path.join(shared_dir(spark), f"token-ids-{uuid.uuid4().hex}")
     write_ids(table(spark, sf_dir, "documents"), out)
-    return digests(read_ids(spark, out))
+    return digests(spark, out)
