@@ -152,16 +152,17 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_b), pa.array(out_s), pa.array(out_h)], names=["band", "s", "hub"])
 
 
-def class_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, block: int = 256) -> DataFrame:
+def class_components(classes: DataFrame, banded: DataFrame, sets_of: Callable[[DataFrame, bool], DataFrame], percent: int, block: int = 256) -> DataFrame:
     """(node, component): components of the classes that have links; node and component are set digests.
 
-    classes: fp binary, n long (set size), bands array<long>; one row a class.
-    sets_of: given a table of fp, returns (fp, set array<long>), one row each.
+    classes: fp binary, n long (set size); one row a class. banded: fp, bands array<long>; read once, so it may
+    be computed on the fly. sets_of: given a table of fp, returns (fp, set array<long>), one row each, and with
+    True their bands too.
     Links are pairs with 100 * intersection >= percent * union. Bucket rows carry a 64-bit stand-in of fp; where
     two classes share one, both are tried.
     """
     threshold = percent / 100
-    rows = classes.select(F.xxhash64("fp").alias("s"), F.explode("bands").alias("band"))
+    rows = banded.select(F.xxhash64("fp").alias("s"), F.explode("bands").alias("band"))
     rows = rows.repartition("band").sortWithinPartitions("band", "s")
     members = stored(rows.mapInArrow(_runs, "band bigint, s bigint, hub bigint"), "near-members")
     names = classes.select(F.xxhash64("fp").alias("s"), "fp", "n")
@@ -180,18 +181,18 @@ def class_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFram
     rest = stored(wide.join(split, "band", "left_semi"), "near-rest")
     if rest.isEmpty():
         return roots
-    full = sets_of(rest.select("fp").distinct()).join(classes.select("fp", "bands"), "fp")
+    full = stored(sets_of(rest.select("fp").distinct(), True), "near-full")
     dealt = block_pairs(rest, ["band"], "fp", block).join(full, "fp")
     more = dealt.groupBy("band", "bi", "bj").applyInArrow(_across(percent), "a binary, b binary")
     links = more.unionAll(roots.select(F.col("node").alias("a"), F.col("component").alias("b")))
     return components(stored(links, "near-more"))
 
 
-def confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame, bool], DataFrame], percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets pass."""
     pairs = stored(pairs, "near-pairs")
     ends = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select(F.col("b").alias("fp"))).distinct()
-    sets = stored(sets_of(ends), "near-sets")
+    sets = stored(sets_of(ends, False), "near-sets")
     out = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a")
     out = out.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y")).cast("long")

@@ -38,75 +38,72 @@ def paragraphs_of(text: str, min_words: int) -> list[tuple[int, int, list[bytes]
     return out
 
 
-def units(docs: DataFrame, min_words: int, bands: int, rows: int, m: int) -> DataFrame:
-    """doc_id, start, end, n, fp and bands of every paragraph; bands only where the task first meets the class."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start bigint, end bigint, n bigint, fp binary, bands array<bigint>"
+def units(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, start, end, n and fp of every paragraph."""
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start bigint, end bigint, n bigint, fp binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         for b in in_slices(batches):
-            ids, start, end, n, fp, sig_of, sets = [], [], [], [], [], [], []
+            ids, start, end, n, fp = [], [], [], [], []
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 for s, e, words in paragraphs_of(t, min_words):
                     shingles = shingle_set(words)
-                    d = set_digest(shingles)
                     ids.append(i)
                     start.append(s)
                     end.append(e)
                     n.append(len(shingles))
-                    fp.append(d)
-                    if d in seen:
-                        sig_of.append(-1)
-                    else:
-                        if len(seen) > 500_000:  # only saves work: a class met again sends its bands again
-                            seen.clear()
-                        seen.add(d)
-                        sig_of.append(len(sets))
-                        sets.append(shingles)
-            keys = list(band_keys(min_hash(sets, m), bands, rows)) if sets else []
-            cols = [
-                pa.array(ids, b.column("doc_id").type),
-                pa.array(start, pa.int64()),
-                pa.array(end, pa.int64()),
-                pa.array(n, pa.int64()),
-                pa.array(fp, pa.binary()),
-                pa.array([keys[k] if k >= 0 else None for k in sig_of], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "end", "n", "fp", "bands"])
+                    fp.append(set_digest(shingles))
+            cols = [pa.array(ids, b.column("doc_id").type), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "end", "n", "fp"])
 
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, schema)
 
 
-def _full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """(fp, set) of the wanted classes, from each one's first document."""
-    first = classes.join(wanted, "fp", "left_semi").select(F.col("first.doc_id").alias("doc_id"), "fp")
-    first = first.groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))  # at most the document's own paragraphs
+def _cut(docs: DataFrame, classes: DataFrame, shape: tuple[int, int, int] | None, sets: bool) -> DataFrame:
+    """(fp, set, bands) of the classes, each cut from its first document; null where not asked for.
+
+    shape: (components, bands, rows) for the bands. The starts that a document is asked for are its own
+    paragraphs at most. Rows whose doc_id is shared by another text are told by the digest.
+    """
+    first = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), F.col("first_end").alias("end"), "fp")
+    first = first.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "fp")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_slices(batches):
-            fp, sets = [], []
-            for t, want in zip(b.column("text").to_pylist(), b.column("fps").to_pylist(), strict=True):
-                left = set(want)
-                for _, _, words in paragraphs_of(t, min_words):
-                    s = shingle_set(words)
-                    if (d := set_digest(s)) in left:
-                        left.discard(d)
-                        fp.append(d)
-                        sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "set"])
+        for b in in_slices(batches, 256):
+            fp, found = [], []
+            for t, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
+                for w in wanted:
+                    s = shingle_set(t[w["start"] : w["end"]].encode().lower().split())
+                    if set_digest(s) == w["fp"]:
+                        fp.append(w["fp"])
+                        found.append(s)
+            bands = None
+            if shape and found:
+                bands = list(band_keys(min_hash(found, shape[0]), shape[1], shape[2]))
+            cols = [
+                pa.array(fp, pa.binary()),
+                pa.array([s.view(np.int64) for s in found] if sets else [None] * len(fp), pa.list_(pa.int64())),
+                pa.array(bands if bands is not None else [None] * len(fp), pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["fp", "set", "bands"])
 
     texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(first, "doc_id")
-    return texts.mapInArrow(run, "fp binary, set array<bigint>").dropDuplicates(["fp"])
+    return texts.mapInArrow(run, "fp binary, set array<bigint>, bands array<bigint>")
 
 
 def removals(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, m: int = COMPONENTS) -> DataFrame:
     """doc_id, start, end, first_doc, first_start and removed of every paragraph."""
-    bands, rows = tuned(percent / 100, m)
-    every = stored(units(docs, min_words, bands, rows, m), "para-units")
-    classes = every.groupBy("fp").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.first("n").alias("n"), F.first("bands", ignorenulls=True).alias("bands"), F.count("*").alias("copies"))
-    classes = stored(classes, "para-classes")
-    roots = class_components(classes, lambda wanted: _full_sets(docs, classes, wanted, min_words), percent)
+    shape = (m, *tuned(percent / 100, m))
+    every = stored(units(docs, min_words), "para-units")
+    classes = every.groupBy("fp").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.min(F.struct("doc_id", "start", "end")).alias("whole"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    classes = stored(classes.select("fp", "first", F.col("whole.end").alias("first_end"), "n", "copies"), "para-classes")
+
+    def sets_of(wanted: DataFrame, with_bands: bool) -> DataFrame:
+        cut = _cut(docs, classes.join(wanted, "fp", "left_semi"), shape if with_bands else None, True)
+        return (cut if with_bands else cut.drop("bands")).dropDuplicates(["fp"])
+
+    roots = class_components(classes, _cut(docs, classes, shape, False), sets_of, percent)
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "copies", F.coalesce("component", "fp").alias("component"), F.col("node").isNotNull().alias("near"))
     least = rooted.where("near").groupBy("component").agg(F.min("first").alias("least"))
     rooted = rooted.where("near or copies > 1").join(least, "component", "left").select("fp", F.coalesce("least", "first").alias("least"))

@@ -130,7 +130,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, m: int = COMPONENTS
     usable = signed_rows.where("fp is not null and doc_id is not null")
     classes = usable.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes, "near-classes")
-    roots = class_components(classes, lambda wanted: _full_sets(docs, classes, wanted), percent)
+
+    def sets_of(wanted: DataFrame, with_bands: bool) -> DataFrame:
+        sets = _full_sets(docs, classes, wanted)
+        return sets.join(classes.select("fp", "bands"), "fp") if with_bands else sets
+
+    roots = class_components(classes, classes, sets_of, percent)
     rooted = classes.select("fp", "first").join(roots, F.col("fp") == F.col("node"))
     least = rooted.groupBy("component").agg(F.min("first").alias("component_id"))
     of_class = rooted.join(least, "component").select("fp", "component_id")
