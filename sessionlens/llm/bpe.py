@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import table
+from sessionlens.llm.common import in_slices, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct pieces kept with their ids in a Python worker; two halves, the older one is dropped when full.
-CACHE = 300_000
-PAIRS = 1_000_000
+CACHE = 150_000
+PAIRS = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -189,19 +189,13 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
         import numpy as np
 
         enc = encoder(path)
-        for b in batches:
-            for part in _parts(b):
-                ids = [np.frombuffer(enc.encode(t), "<i4") for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(ids, pa.list_(pa.int32()))], names=["k", "ids"])
+        for b in in_slices(batches):
+            ids = [np.frombuffer(enc.encode(t), "<i4") for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(ids, pa.list_(pa.int32()))], names=["k", "ids"])
 
     return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, ids array<int>").withColumnRenamed("k", key)
 
 
-def _parts(b: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for at in range(0, b.num_rows, rows):
-        yield b.slice(at, rows)
-
-
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """key, n_tokens, ids_sha256 and decoded_sha256: encode each whole text, decode its ids, digest both."""
     path = path or vocabulary_path()
@@ -210,7 +204,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        for b in in_slices(batches):
             n, one, two = [], [], []
             for t in b.column("text"):
                 ids = enc.encode(t.as_py())

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -117,3 +119,12 @@ def block_pairs(members: DataFrame, keys: list[str], node: str, block: int) -> D
         .withColumn("side", (F.col("__k") > F.col("__o")).cast("int"))
         .drop("__n", "__b", "__k", "__o")
     )
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of `rows`, so that only a slice's texts are Python objects at a time. At the end
+    of a task the memory that Arrow holds back goes to the system, as workers stay for later stages."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()

@@ -198,9 +198,3 @@ def confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame, bool], DataFrame],
     both = F.size(F.array_intersect("x", "y")).cast("long")
     passes = F.lit(100) * both >= F.lit(percent) * (F.size("x") + F.size("y") - both)
     return stored(out.where(passes).select("a", "b"), "near-links")
-
-
-def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)

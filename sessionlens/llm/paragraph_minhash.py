@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import stored, table
-from sessionlens.llm.near import band_keys, class_components, in_slices, min_hash, set_digest, shingle_set, tuned
+from sessionlens.llm.common import in_slices, stored, table
+from sessionlens.llm.near import band_keys, class_components, min_hash, set_digest, shingle_set, tuned
 
 PERCENT = 80
 MIN_WORDS = 20
@@ -43,7 +43,7 @@ def units(docs: DataFrame, min_words: int) -> DataFrame:
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start bigint, end bigint, n bigint, fp binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_slices(batches):
+        for b in in_slices(batches, 1024):
             ids, start, end, n, fp = [], [], [], [], []
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 for s, e, words in paragraphs_of(t, min_words):

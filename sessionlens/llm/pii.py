@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import table
+from sessionlens.llm.common import in_slices, table
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -244,7 +244,7 @@ def found(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     schema = f"k {rows.schema['k'].dataType.simpleString()}, {', '.join(f'{c} bigint' for c in counts)}, base_sha256 string, spans string, n_added bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             n, sha, spans, added = [[] for _ in KINDS], [], [], []
             for t in b.column("text").to_pylist():
                 base, every = scan(t)
@@ -264,7 +264,7 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     cols = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             at = b.schema.get_field_index(text)
             new = [None if t is None else redact(t, s) if (s := scan(t)[1]) else t for t in b.column(at).to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import table
+from sessionlens.llm.common import in_slices, table
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 COUNTS = ["n_upper", "n_lower", "n_digit", "n_bang", "n_lines", "n_alpha_words", "n_bytes", "n_distinct"]
@@ -95,7 +95,7 @@ def counted(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     schema = f"row {packed.schema['row'].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             rows = [text_counts(x) for x in b.column("text").cast(pa.binary()).to_pylist()]
             cols = [pa.array([r[c] for r in rows], type=pa.int64()) for c in names]
             yield pa.RecordBatch.from_arrays([b.column("row"), *cols], names=["row", *names])

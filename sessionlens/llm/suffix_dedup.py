@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import stored, table
+from sessionlens.llm.common import in_slices, stored, table
 from sessionlens.llm.near import U64, splitmix
 
 LENGTH = 400
@@ -248,19 +248,13 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.cast("binary").alias("text"), key.alias("key"))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def _units(rows: DataFrame, length: int) -> DataFrame:
     """anchor, digest of the unit's bytes, key, first and last start, of every unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in _slices(batches):
+        for b in in_slices(batches):
             texts, keys = b.column("text").to_pylist(), b.column("key").to_pylist()
             anchor, digest, key, first, last = [], [], [], [], []
             for i, a, s, e in units_of(texts, length):
@@ -335,7 +329,7 @@ def _open_texts(rows: DataFrame, open_: DataFrame, length: int) -> DataFrame:
     by = open_.groupBy("key").agg(F.collect_list(F.struct("anchor", "digest", "first", "last", "single")).alias("units"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in in_slices(batches):
             out = []
             for key, text, units in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("units").to_pylist(), strict=True):
                 out += [(u["anchor"], u["digest"], key, u["first"], u["last"], u["single"], text[u["first"] : u["last"] + length]) for u in units]
@@ -415,7 +409,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans string, kept binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in in_slices(batches):
             out = []
             for text, ranges in zip(b.column("text").to_pylist(), b.column("ranges").to_pylist(), strict=True):
                 spans = merged([(r["first"], r["last"]) for r in ranges or []], length)

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import stored, table
-from sessionlens.llm.near import MIX, U64, band_keys, class_components, in_slices, set_digest, shingle_set, splitmix, tuned
+from sessionlens.llm.common import in_slices, stored, table
+from sessionlens.llm.near import MIX, U64, band_keys, class_components, set_digest, shingle_set, splitmix, tuned
 
 PERCENT = 85
 COMPONENTS = 120
@@ -93,7 +93,7 @@ def signed(docs: DataFrame, bands: int, rows: int, m: int = COMPONENTS) -> DataF
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, fp binary, bands array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_slices(batches):
+        for b in in_slices(batches, 1024):
             sets = _sets(b)
             sig = signatures(sets, m)
             keys = band_keys(sig, bands, rows)
@@ -113,7 +113,7 @@ def _full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
     """(fp, set) of the wanted classes, from the text of each class's first document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_slices(batches):
+        for b in in_slices(batches, 1024):
             sets = _sets(b)
             cols = [pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["fp", "set"])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionlens.llm.bpe import byte_letters
-from sessionlens.llm.common import shared_dir, table
+from sessionlens.llm.common import in_slices, shared_dir, table
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
@@ -120,26 +120,24 @@ def write_ids(docs: DataFrame, out: str, path: str | None = None, end: int = END
 
         shard, slot, before, enc = TaskContext.get().partitionId(), 0, 0, encoder(path)
         last = end.to_bytes(4, "little")
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids = [x + last for x in enc.encode(part.column("text").to_pylist())]
-                sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                ends = np.cumsum(sizes)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-                )
-                n = len(ids)
-                cols = [
-                    part.column("doc_id"),
-                    pa.array(np.full(n, shard, dtype=np.int32)),
-                    pa.array(np.arange(slot, slot + n, dtype=np.int64)),
-                    pa.array(before + ends - sizes),
-                    pa.array(sizes),
-                    lists,
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "shard", "slot", "before", "n_tokens", "ids"])
-                slot, before = slot + n, before + int(ends[-1])
+        for part in in_slices(batches):
+            ids = [x + last for x in enc.encode(part.column("text").to_pylist())]
+            sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            ends = np.cumsum(sizes)
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
+            )
+            n = len(ids)
+            cols = [
+                part.column("doc_id"),
+                pa.array(np.full(n, shard, dtype=np.int32)),
+                pa.array(np.arange(slot, slot + n, dtype=np.int64)),
+                pa.array(before + ends - sizes),
+                pa.array(sizes),
+                lists,
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "shard", "slot", "before", "n_tokens", "ids"])
+            slot, before = slot + n, before + int(ends[-1])
 
     rows.mapInArrow(run, schema).write.options(**(options or ORC_OPTIONS)).orc(out)
 
