@@ -40,7 +40,11 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, top_k: int, stem: boo
     if stem:
         return _bm25_from_postings(postings(docs, key, text, stem=True), docs.select(F.count("*").alias("n")), terms, key, top_k)
     toks = docs.select(F.col(key).alias(key), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks"))
-    cols = [F.size(F.filter("toks", lambda x, t=t: x == t)).cast("long").alias(f"tf{i}") for i, t in enumerate(terms)]
+
+    def times(term: str):
+        return F.size(F.filter("toks", lambda x: x == F.lit(term))).cast("long")
+
+    cols = [times(t).alias(f"tf{i}") for i, t in enumerate(terms)]
     rows = toks.select(key, F.size("toks").cast("long").alias("dl"), *cols)
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     if not terms or not stats["n"]:

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sessionlens.sources.standins import SELECTS, frames, with_views
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -25,6 +27,19 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def add(name: str, views: str, sql: str | None = None):
+    """Register f(*frames of `views`) under `name`; `sql` is the oracle's body over the same stand-ins."""
+    names = views.split()
+    used = [v for v in names if v in SELECTS]
+    made = with_views(sql, *used) if sql and used else sql
+
+    def wrap(f):
+        query(name, made)(lambda spark, sf_dir: f(*frames(spark, sf_dir, *names)))
+        return f
+
+    return wrap
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
@@ -34,4 +49,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return _QUERIES["r6_chunk_search"](spark, sf_dir)

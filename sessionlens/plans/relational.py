@@ -4,30 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlens.functions import text as T
 from sessionlens.operators import entities as E
-from sessionlens.plans.registry import query
-from sessionlens.sources.standins import frames, with_views
-
-
-def add(name: str, views: str, sql: str | None, expand: bool = True):
-    """Register f(*frames of `views`) under `name`; `sql` is the oracle's body over the same views."""
-    names = views.split()
-    from sessionlens.sources.standins import SELECTS
-
-    made = with_views(sql, *[n for n in names if n in SELECTS]) if sql and any(n in SELECTS for n in names) else sql
-
-    def wrap(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(*frames(spark, sf_dir, *names))
-
-        query(name, made)(run)
-        return f
-
-    return wrap
+from sessionlens.plans.registry import add
 
 
 def n(c="*"):
