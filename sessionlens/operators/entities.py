@@ -108,7 +108,7 @@ def first_wins(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 def sentence_context(text: Column, mention: Column, around: int = 2, size: int = 500) -> Column:
     """The sentences around the first that holds the mention (any case), joined by '. ' and cut."""
-    parts = F.filter(F.transform(F.split(text, r"[.!?\n]+"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(text, r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: s != "")
     hit = F.transform(parts, lambda s: F.contains(F.lower(s), F.lower(mention)))
     at = F.array_position(hit, True)
     lo = F.greatest(at - around, F.lit(1))

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from sessionlens.plans import relational, search  # noqa: F401
+from sessionlens.plans import ingest, relational, search, sessions  # noqa: F401
