@@ -31,21 +31,31 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def shingle_set(words: list[bytes], k: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit shingles of k words; fewer words are one shingle, none is the empty set."""
+def shingle_sets(units: list[list[bytes]], k: int = 5) -> list[np.ndarray]:
+    """For each list of words its sorted distinct 64-bit shingles of k words; fewer words are one shingle, none is
+    the empty set. All words of the units are hashed and rolled in one array."""
     import xxhash
 
-    if not words:
-        return np.empty(0, dtype=U64)
-    if len(words) < k:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], dtype=U64)
+    words = [w for u in units for w in u]
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=U64, count=len(words))
-    n = len(words) - k + 1
+    n = max(len(h) - k + 1, 0)
     w = h[:n].copy()
     for i in range(1, k):
         w = (w ^ (w >> U64(29))) * MIX + h[i : i + n]
-    w = np.sort(splitmix(w))
-    return w[np.concatenate([[True], w[1:] != w[:-1]])]
+    w = splitmix(w)
+    out, at = [], 0
+    for u in units:
+        size = len(u)
+        if size >= k:
+            s = np.sort(w[at : at + size - k + 1])
+            same = s[1:] == s[:-1]
+            out.append(s[np.concatenate([[True], ~same])] if same.any() else s)
+        elif size:
+            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(u), seed=size)], dtype=U64))
+        else:
+            out.append(np.empty(0, dtype=U64))
+        at += size
+    return out
 
 
 def set_digest(s: np.ndarray) -> bytes | None:
@@ -75,13 +85,26 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def min_hash(sets: list[np.ndarray], m: int) -> np.ndarray:
-    """Plain MinHash: for each (non-empty) set the least of m independent 32-bit hashes of its elements."""
-    seeds = splitmix(np.arange(1, m + 1, dtype=U64) * MIX) | U64(1)
-    out = np.full((len(sets), m), 0xFFFFFFFF, dtype=np.uint64)
+    """Plain MinHash: for each (non-empty) set the least of m multiplicative 32-bit hashes of its elements, which
+    are mixed already."""
+    seeds = (splitmix(np.arange(1, m + 1, dtype=U64) * MIX) >> U64(32)).astype(np.uint32) | np.uint32(1)
+    room = np.empty((1024, m), dtype=np.uint32)
+    out = np.full((len(sets), m), 0xFFFFFFFF, dtype=np.uint32)
     for i, s in enumerate(sets):
-        for at in range(0, len(s), 4096):
-            h = (s[at : at + 4096, None] * seeds) >> U64(32)
-            out[i] = np.minimum(out[i], h.min(axis=0))
+        x = (s >> U64(32)).astype(np.uint32)[:, None]
+        for at in range(0, len(x), 1024):
+            part = x[at : at + 1024]
+            h = np.multiply(part, seeds, out=room[: len(part)])
+            np.minimum(out[i], h.min(axis=0), out=out[i])
+    return out
+
+
+def rows_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of an Arrow list column as NumPy views."""
+    out = []
+    for c in column.chunks:
+        at, values = c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)
+        out += [values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     return out
 
 
@@ -100,8 +123,7 @@ def _across(percent: int):
     def run(t: pa.Table) -> pa.Table:
         fp, comp = t.column("fp").to_pylist(), np.array([hash(x) for x in t.column("comp").to_pylist()])
         n, side, band = t.column("n").to_numpy(), t.column("side").to_numpy(), t.column("band")[0].as_py()
-        sets = [np.array(x, dtype=np.int64) for x in t.column("set").to_pylist()]
-        bands = np.array(t.column("bands").to_pylist(), dtype=np.int64)
+        sets, bands = rows_of(t.column("set")), np.stack(rows_of(t.column("bands")))
         sig = min_hash([x.view(U64) for x in sets], BLOCK_SIGNATURE)
         one = np.flatnonzero(side == 0)
         two = np.flatnonzero(side == 1) if (t.column("bi")[0].as_py() != t.column("bj")[0].as_py()) else one

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlens.llm.common import in_slices, stored, table
-from sessionlens.llm.near import band_keys, class_components, min_hash, set_digest, shingle_set, tuned
+from sessionlens.llm.near import band_keys, class_components, min_hash, set_digest, shingle_sets, tuned
 
 PERCENT = 80
 MIN_WORDS = 20
@@ -44,15 +44,15 @@ def units(docs: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches, 1024):
-            ids, start, end, n, fp = [], [], [], [], []
+            ids, start, end, units_ = [], [], [], []
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 for s, e, words in paragraphs_of(t, min_words):
-                    shingles = shingle_set(words)
                     ids.append(i)
                     start.append(s)
                     end.append(e)
-                    n.append(len(shingles))
-                    fp.append(set_digest(shingles))
+                    units_.append(words)
+            sets = shingle_sets(units_)
+            n, fp = [len(x) for x in sets], [set_digest(x) for x in sets]
             cols = [pa.array(ids, b.column("doc_id").type), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "end", "n", "fp"])
 
@@ -71,13 +71,13 @@ def _cut(docs: DataFrame, classes: DataFrame, shape: tuple[int, int, int] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches, 256):
-            fp, found = [], []
+            asked, cut = [], []
             for t, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
                 for w in wanted:
-                    s = shingle_set(t[w["start"] : w["end"]].encode().lower().split())
-                    if set_digest(s) == w["fp"]:
-                        fp.append(w["fp"])
-                        found.append(s)
+                    asked.append(w["fp"])
+                    cut.append(t[w["start"] : w["end"]].encode().lower().split())
+            hits = [(d, s) for d, s in zip(asked, shingle_sets(cut), strict=True) if set_digest(s) == d]
+            fp, found = [d for d, _ in hits], [s for _, s in hits]
             bands = None
             if shape and found:
                 bands = list(band_keys(min_hash(found, shape[0]), shape[1], shape[2]))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlens.llm.common import in_slices, stored, table
-from sessionlens.llm.near import MIX, U64, band_keys, class_components, set_digest, shingle_set, splitmix, tuned
+from sessionlens.llm.near import MIX, U64, band_keys, class_components, set_digest, shingle_sets, splitmix, tuned
 
 PERCENT = 85
 COMPONENTS = 120
@@ -85,7 +85,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _sets(b: pa.RecordBatch) -> list[np.ndarray]:
-    return [shingle_set(x.lower().split()) for x in b.column("text").cast(pa.binary()).to_pylist()]
+    return shingle_sets([x.lower().split() for x in b.column("text").cast(pa.binary()).to_pylist()])
 
 
 def signed(docs: DataFrame, bands: int, rows: int, m: int = COMPONENTS) -> DataFrame:
