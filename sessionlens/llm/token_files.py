@@ -18,6 +18,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,13 +39,14 @@ ORC_OPTIONS = {
     "orc.bloom.filter.fpp": "0.01",
     "orc.row.index.stride": "1000",
     "orc.stripe.size": str(32 << 20),
-    "compression": "zstd",
+    "compression": "lz4",
 }
 
 
 #: Words of Latin letters and closing marks. The tokenizer lower-cases them letter by letter, no two of these
 #: characters compose, and its pattern cuts them into the letters and the marks.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:$%&*#|]*)")
+_MARKS = ".,!?;:$%&*#|"
+_SIMPLE = re.compile(rf"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{_MARKS}]*)")
 
 
 class WordEncoder(dict):
@@ -64,35 +66,40 @@ class WordEncoder(dict):
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.pieces: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         """The ids of one pre-token, from the model: its bytes in the byte-level alphabet."""
-        ids = self.pieces.get(piece)
-        if ids is None:
-            text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(text))
-            self.pieces[piece] = ids
+        text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        ids = self.pieces[piece] = array("i", [t.id for t in self.model.tokenize(text)]).tobytes()
         return ids
 
     def __missing__(self, word: str) -> bytes:
-        m = _SIMPLE.fullmatch(word) if len(word) <= 64 else None
-        if m:
-            ids = self._piece(m[1].lower()) + self._piece(m[2])
-        elif word:
-            ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
+        pieces = self.pieces
+        if len(word) > 64:
+            return self._whole(word)
+        if word.isascii() and (body := word.rstrip(_MARKS)).isalpha():
+            letters, marks = body.lower(), word[len(body) :]
+        elif m := _SIMPLE.fullmatch(word):
+            letters, marks = m[1].lower(), m[2]
         else:
-            ids = b""
-        if len(word) <= 64:
-            self[word] = ids
+            ids = self[word] = self._whole(word) if word else b""
+            return ids
+        ids = pieces.get(letters) or self._piece(letters)
+        if marks:
+            ids += pieces.get(marks) or self._piece(marks)
+        self[word] = ids
         return ids
 
+    def _whole(self, word: str) -> bytes:
+        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
         if len(self) > CACHE:
             self.clear()
         if len(self.pieces) > CACHE:
-            self.pieces = {"": b""}
+            self.pieces = {}
         cut = (t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts)
         return [b"".join(map(self.__getitem__, words)) for words in cut]
 
