@@ -45,7 +45,8 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, top_k: int, stem: boo
         return F.size(F.filter("toks", lambda x: x == F.lit(term))).cast("long")
 
     cols = [times(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    rows = toks.select(key, F.size("toks").cast("long").alias("dl"), *cols)
+    # both the corpus statistics and the ranking need these few numbers of each document, not its text
+    rows = toks.select(key, F.size("toks").cast("long").alias("dl"), *cols).persist()
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     if not terms or not stats["n"]:
         return docs.select(F.col(key), F.lit(0.0).alias("score")).limit(0)

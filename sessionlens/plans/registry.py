@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,5 +53,14 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _QUERIES["r6_chunk_search"](spark, sf_dir)
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once a session, unless their Python finds it by path already."""
+    sc = spark.sparkContext
+    home = Path(__file__).resolve().parents[2]
+    places = [Path.cwd(), *map(Path, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))]
+    if getattr(sc, "_sessionlens_shipped", False) or any(p.resolve() == home for p in places):
+        return
+    folder = tempfile.mkdtemp(prefix="sl_ship_")  # the driver serves the archive from here while it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(f"{folder}/sessionlens", "zip", home, "sessionlens"))
+    sc._sessionlens_shipped = True

@@ -21,7 +21,7 @@ def discovered(spark: SparkSession, folder: str, pattern: str, file_type: str, s
     """abs_path, file_type, project, content_hash, size of the files under a folder. Reads metadata and content
     hashes in the executors; nothing is listed on the driver beyond Spark's own file index."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    root = F.lit(folder.rstrip("/").removeprefix("file://") + "/")
+    root = folder.rstrip("/").removeprefix("file://") + "/"
     rest = F.substring_index(F.col("path"), root, -1)
     out = files.select(F.col("path").alias("abs_path"), F.lit(file_type).alias("file_type"), F.element_at(F.split(rest, "/"), 1).alias("project"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size"))
     return out if subagents else out.where(~F.contains("abs_path", F.lit("/subagents/")))
