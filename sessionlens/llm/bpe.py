@@ -26,7 +26,7 @@ from sessionlens.llm.common import in_slices, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct pieces kept with their ids in a Python worker; two halves, the older one is dropped when full.
-CACHE = 150_000
+CACHE = 240_000
 PAIRS = 300_000
 
 
@@ -58,18 +58,6 @@ class PrefixEncoder:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank[vocab[a], vocab[b]] = r
             self.parts.setdefault(vocab[a + b], (vocab[a], vocab[b]))
-        # the parts that a token has had at its left and right edge: (part, rank of the merge that ended it)
-        never = len(self.rank)
-        self.left, self.right = {}, {}
-        for i in vocab.values():
-            for edges, side in ((self.left, 0), (self.right, 1)):
-                edge, now, until = [], i, never
-                while True:
-                    edge.append((now, until))
-                    if now not in self.parts:
-                        break
-                    until, now = self.rank[self.parts[now]], self.parts[now][side]
-                edges[i] = edge
         # a token that the merges never reach from its own bytes is never a result
         whole = {i for i in sorted(vocab.values(), key=lambda i: len(self.bytes[i])) if self._reached(i)}
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
@@ -86,6 +74,16 @@ class PrefixEncoder:
         self.old: dict[str, bytes] = {}
         self.fits: dict[int, bool] = {}
 
+    def _edge(self, i: int, side: int) -> Iterator[tuple[int, int]]:
+        """The parts that token i has had at its left (0) or right (1) edge: (part, rank of the merge that ended it)."""
+        until = len(self.rank)
+        while True:
+            yield i, until
+            pair = self.parts.get(i)
+            if pair is None:
+                return
+            until, i = self.rank[pair], pair[side]
+
     def _reached(self, i: int) -> bool:
         if i not in self.parts:
             return len(self.bytes[i]) == 1
@@ -99,8 +97,9 @@ class PrefixEncoder:
         Merges go by rank and, within a rank, from left to right: at a's side a part is gone once its own merge
         of the same rank is due, at b's side it is still there.
         """
-        for x, x_end in self.right[a]:
-            for y, y_end in self.left[b]:
+        left = list(self._edge(b, 0))
+        for x, x_end in self._edge(a, 1):
+            for y, y_end in left:
                 r = self.rank.get((x, y))
                 if r is not None and r < end and r < x_end and r <= y_end:
                     return True
