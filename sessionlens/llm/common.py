@@ -45,6 +45,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows up to which a table is sent to every executor.
+SMALL = 10_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has at most SMALL rows (counted), else as it is, for a shuffled join."""
+    return F.broadcast(df) if len(df.select(F.lit(1)).take(SMALL + 1)) <= SMALL else df
+
+
 def running_total(df: DataFrame, part: list[str], bucket: str, order: list, value: str, out: str) -> DataFrame:
     """Add `out`: the exclusive running sum of `value` within `part`, in the order (bucket, *order).
 

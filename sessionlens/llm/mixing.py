@@ -14,14 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import WORD, running_total, stored, table
+from sessionlens.llm.common import WORD, running_total, small, stored, table
 
 WEIGHTS = [3, 1, 2]
 SHARE = 1.5
 MOST = 2
 SEED = 17
 #: Rows of a bucket of the prefix sums, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def sized(docs: DataFrame, keep: list[str], seed: int = SEED) -> DataFrame:
@@ -72,7 +72,9 @@ def mixed(rows: DataFrame, plan: DataFrame) -> DataFrame:
     A source's taken words sum to floor(target) exactly; the document at the cut gives a part.
     """
     buckets = F.greatest(F.ceil(F.col("rows") / BUCKET_ROWS), F.lit(1))
-    rows = rows.join(plan, ["no_source", "source"])
+    plan = stored(plan, "mix-plan")
+    # a row for each source; if it goes to all executors, no exchange by source alone gathers a hot source
+    rows = rows.join(small(plan), ["no_source", "source"])
     rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)))
     rows = running_total(rows, ["no_source", "source"], "bucket", ["key", "tie"], "size", "start")
     goal = F.floor("target")
