@@ -118,6 +118,8 @@ _NAME = r"[A-Za-z0-9_%+-]++"
 _DISGUISED = re.compile(
     rf"(?<![A-Za-z0-9._%+-])({_NAME}(?:{_DOT}{_NAME}){{0,4}}?)({_AT}|@)([A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++){{1,4}})", re.I
 )
+#: Last labels of an address that is spelled with bare words for both the @ and the dot.
+_TOP = frozenset("com org net edu gov mil int info biz io co ai app dev me tv us uk de fr es it nl be ch at pl pt se no dk fi ie eu ru cn jp kr in br mx ca au nz za ar".split())
 _AT_MARK = re.compile(r"[\[({<]\s*(?:at|@)\s*[\])}>]|\sat\s", re.I)
 _DOT_MARK = re.compile(r"[\[({<]\s*(?:dot|\.)\s*[\])}>]|\sdot\s", re.I)
 _DIGIT_WORD = "(?:" + "|".join(_SPELLED) + "|[0-9])"
@@ -158,6 +160,8 @@ def _rewrites(text: str) -> list[tuple[int, int, str, bool]]:
             bare_at = re.fullmatch(r"\s+at\s+", m[2], re.I)
             if bare_at and not _DOT_MARK.search(m[3]):
                 continue  # "look at example.com" is prose
+            if bare_at and not re.search(r"[\[({<]", m[3]) and re.split(r"[^A-Za-z0-9]+", m[3])[-1].lower() not in _TOP:
+                continue  # so is "we met at the dot and"
             for group, pattern, new in ((1, _DOT, "."), (2, _AT, "@"), (3, _DOT, ".")):
                 for x in re.compile(pattern, re.I).finditer(text, m.start(group), m.end(group)):
                     out.append((x.start(), x.end(), new, False))

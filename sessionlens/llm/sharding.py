@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sessionlens.llm.common import checkpointed, running_total, stored, table
 
 SHARDS = 24
-ROUNDS = 4
+ROUNDS = 8
 #: Buckets that a group or a shard is dealt into when its rows get ranks.
 SPREAD = 64
 
