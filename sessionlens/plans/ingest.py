@@ -164,6 +164,109 @@ def p9(p):
     return E.command_mentions(p.select("page_id", cmd.alias("command")), ["page_id"], "command")
 
 
+def _written_files(spark: SparkSession, sf_dir: str) -> str:
+    """Pages as files of several kinds in a folder: chats, transcripts and notes."""
+    folder = scratch(spark, "files")
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id < 24")
+    chat = F.to_json(F.struct(F.concat(F.lit("s"), F.col("page_id").cast("string")).alias("sessionId"), F.array(F.struct(F.lit("user").alias("type"), F.col("url").alias("content")), F.struct(F.lit("gemini").alias("type"), F.lit("ok").alias("content"))).alias("messages")))
+    rows = p.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("project"), chat.alias("value"))
+    rows.repartition(24, "project").write.partitionBy("project").text(f"{folder}/chats")
+    rows.select("value").repartition(4).write.text(f"{folder}/notes")
+    return folder
+
+
+@query("sc2_discover_chats")
+def sc2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = H.discovered(spark, f"{_written_files(spark, sf_dir)}/chats", "*.txt", "gemini_cli")
+    return found.select(F.regexp_replace("project", "project=", "").alias("project"), "file_type", (F.col("size") > 0).alias("filled"))
+
+
+@query("sc5_discover_transcripts")
+def sc5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{_written_files(spark, sf_dir)}/notes"
+    both = H.discovered(spark, folder, "*.vtt", "zoom").unionByName(H.discovered(spark, folder, "*.txt", "otter"))
+    return both.groupBy("file_type").agg(F.count("*").alias("n"))
+
+
+@query("sc7_archived_copies")
+def sc7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files copied under an archive folder, twice: the second time all are there already."""
+    folder = _written_files(spark, sf_dir)
+    found = H.discovered(spark, f"{folder}/notes", "*.txt", "notes")
+    first = H.archived(found, f"{folder}/archive")
+    return spark.createDataFrame([(1, first), (2, H.archived(found, f"{folder}/archive"))], "pass int, copied long")
+
+
+@query("sc12_chat_parse", "SELECT 's' || CAST(page_id AS VARCHAR) AS session_id, pos, CASE pos WHEN 0 THEN 'user' ELSE 'gemini' END AS type, CASE pos WHEN 0 THEN url ELSE 'ok' END AS content FROM pages, (SELECT unnest(range(2)) AS pos) WHERE page_id < 24")
+def sc12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{_written_files(spark, sf_dir)}/chats"
+    whole = spark.read.text(folder).select(F.from_json("value", H.GEMINI).alias("s"))
+    rows = whole.select(F.col("s.sessionId").alias("session_id"), F.posexplode("s.messages").alias("pos", "m"))
+    return rows.select("session_id", F.col("pos").cast("long").alias("pos"), "m.type", "m.content")
+
+
+@query("sc17_analytics_batch_write")
+def sc17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analytics tables and their run record in one batch."""
+    s = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 200")
+    folder = scratch(spark, "analytics")
+    labels = s.groupBy((F.col("o_orderkey") % 5).alias("id")).agg(F.count("*").alias("n"))
+    TB.written_session({"clusters": labels, "analytics_runs": spark.createDataFrame([("run-1", "clusters")], "id string, kind string")}, folder)
+    return spark.read.parquet(f"{folder}/clusters").withColumn("runs", F.lit(spark.read.parquet(f"{folder}/analytics_runs").count()))
+
+
+@add("sc20_viewer_data", "records entities", "SELECT r.record_id, r.session_id, substr(r.chunk_text, 1, 200) AS text, count(e.entity_id) AS entities FROM records r LEFT JOIN entities e ON r.record_id % 50 = e.entity_id GROUP BY ALL")
+def sc20(r, e):
+    n = e.groupBy(F.col("entity_id").alias("k")).agg(F.count("*").alias("entities"))
+    rows = r.select("record_id", "session_id", F.left("chunk_text", F.lit(200)).alias("text"), (F.col("record_id") % 50).alias("k")).join(n, "k", "left")
+    return rows.select("record_id", "session_id", "text", F.coalesce("entities", F.lit(0)).alias("entities"))
+
+
+def _block(name: str, **given):
+    """A tool call as a block, with null for what isn't given."""
+    fields = ["file_path", "notebook_path", "command", "description", "subagent_type"]
+    made = F.struct(*[given.get(f, F.lit(None).cast("string")).alias(f) for f in fields])
+    return F.struct(F.lit(name).alias("name"), made.alias("input"))
+
+
+@add("p4_tool_input_summary", "pages", "SELECT page_id, 'file_path=' || url AS read_call, 'command=' || substr('cat ' || url, 1, 80) AS bash_call, 'explorer: ' || substr(url, 1, 60) AS agent_call FROM pages")
+def p4(p):
+    return p.select(
+        "page_id",
+        H.input_summary(_block("Read", file_path=F.col("url"))).alias("read_call"),
+        H.input_summary(_block("Bash", command=F.concat(F.lit("cat "), "url"))).alias("bash_call"),
+        H.input_summary(_block("Agent", subagent_type=F.lit("explorer"), description=F.col("url"))).alias("agent_call"),
+    )
+
+
+def _tool_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as agent turns: every assistant turn calls a tool, every later one also gets its result."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id < 40")
+    call = F.to_json(F.array(F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("u"), F.col("turn").cast("string")).alias("id"), F.lit("Bash").alias("name"), F.struct(F.concat(F.lit("run "), F.col("turn").cast("string")).alias("command")).alias("input"))))
+    result = F.to_json(F.array(F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("u"), F.col("turn").cast("string")).alias("tool_use_id"), F.left("text", F.lit(4000)).alias("content"), (F.col("turn") % 2 == 0).alias("is_error"))))
+    message = lambda kind, content, result_of: F.to_json(F.struct(F.lit(kind).alias("type"), result_of.alias("toolUseResult"), F.struct(content.alias("content")).alias("message")))
+    none = F.lit(None).cast("string")
+    user = c.where("role = 'user'").select("conv_id", (F.col("turn") * 2).alias("line"), message("user", F.to_json(F.array(F.struct(F.lit("text").alias("type"), "text"))), none).alias("value"))
+    said = c.where("role = 'assistant'")
+    one = said.select("conv_id", (F.col("turn") * 2).alias("line"), message("assistant", call, none).alias("value"))
+    two = said.select("conv_id", (F.col("turn") * 2 + 1).alias("line"), message("user", result, F.lit("yes")).alias("value"))
+    rows = user.unionByName(one).unionByName(two).withColumn("m", F.from_json("value", H.MESSAGE))
+    raw = F.col("m.message.content")
+    blocks = F.from_json(raw, f"array<{H.BLOCK}>")
+    return H.jsonl_exchanges(rows.select(F.col("conv_id").cast("string").alias("path"), "line", "m", blocks.alias("blocks"), F.lit(None).cast("string").alias("plain")))
+
+
+@query("p8_evidence_text", "WITH x AS (SELECT conv_id, turn, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS exchange FROM conversations WHERE conv_id < 40) SELECT CAST(conv_id AS VARCHAR) AS path, CAST(exchange AS BIGINT) AS exchange, string_agg('[tool: Bash(command=run ' || CAST(turn AS VARCHAR) || ')]' || chr(10) || substr(text, 1, 4000), chr(10) || chr(10) ORDER BY turn) AS evidence FROM x WHERE role = 'assistant' AND exchange >= 0 GROUP BY 1, 2")
+def p8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.evidence(_tool_turns(spark, sf_dir)).select("path", F.col("exchange").cast("long").alias("exchange"), "evidence")
+
+
+@query("p12_turn_descriptors", "WITH x AS (SELECT conv_id, turn, role, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS exchange FROM conversations WHERE conv_id < 40) SELECT CAST(conv_id AS VARCHAR) AS path, CAST(exchange AS BIGINT) AS exchange, count(*) FILTER (WHERE role = 'assistant') AS model_turns, count(*) FILTER (WHERE role = 'assistant') AS calls, count(*) FILTER (WHERE role = 'assistant' AND turn % 2 = 0) AS errors FROM x WHERE exchange >= 0 GROUP BY 1, 2")
+def p12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = H.descriptors(_tool_turns(spark, sf_dir))
+    return d.select("path", F.col("exchange").cast("long").alias("exchange"), F.col("model_turn_count").alias("model_turns"), F.size("tool_calls").cast("long").alias("calls"), F.size(F.filter("tool_errors", lambda e: e)).cast("long").alias("errors"))
+
+
 # ---- evaluation
 
 

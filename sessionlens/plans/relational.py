@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlens.functions import text as T
+from sessionlens.functions.ordering import average_ranks
 from sessionlens.operators import entities as E
 from sessionlens.plans.registry import add
 
@@ -395,21 +396,13 @@ def a31(c):
 
 @add("a32_spearman", "metadata", "WITH r AS (SELECT (rank() OVER (ORDER BY input_tokens) + (count(*) OVER (PARTITION BY input_tokens) - 1) / 2.0) AS a, (rank() OVER (ORDER BY tool_calls) + (count(*) OVER (PARTITION BY tool_calls) - 1) / 2.0) AS b FROM metadata) SELECT round(corr(a, b), 6) AS spearman FROM r")
 def a32(m):
-    # average ranks from value counts: no window over the rows themselves
-    def ranks(c: str) -> DataFrame:
-        k = m.groupBy(c).agg(n().alias("k"))
-        before = F.coalesce(F.sum("k").over(Window.partitionBy(F.lit(0)).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return k.select(c, (before + (F.col("k") + 1) / 2).alias(f"r_{c}"))
-
-    rows = m.join(ranks("input_tokens"), "input_tokens").join(ranks("tool_calls"), "tool_calls")
+    rows = m.join(average_ranks(m, "input_tokens", "r_input_tokens"), "input_tokens").join(average_ranks(m, "tool_calls", "r_tool_calls"), "tool_calls")
     return rows.agg(F.round(F.corr("r_input_tokens", "r_tool_calls"), 6).alias("spearman"))
 
 
 @add("a32_kruskal_wallis", "metadata", "WITH r AS (SELECT model, rank() OVER (ORDER BY tool_calls) + (count(*) OVER (PARTITION BY tool_calls) - 1) / 2.0 AS r, count(*) OVER () AS n FROM metadata) SELECT round(12.0 / (max(n) * (max(n) + 1)) * sum(s) - 3 * (max(n) + 1), 4) AS h FROM (SELECT model, sum(r) * sum(r) / count(*) AS s, max(n) AS n FROM r GROUP BY 1)")
 def a32b(m):
-    k = m.groupBy("tool_calls").agg(n().alias("k"))
-    before = F.coalesce(F.sum("k").over(Window.partitionBy(F.lit(0)).orderBy("tool_calls").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = k.select("tool_calls", (before + (F.col("k") + 1) / 2).alias("r"))
+    ranks = average_ranks(m, "tool_calls", "r")
     by = m.join(ranks, "tool_calls").groupBy("model").agg(F.sum("r").alias("s"), n().alias("k"))
     total = F.sum("k")
     return by.agg(F.round(12.0 / (total * (total + 1)) * F.sum(F.col("s") * F.col("s") / F.col("k")) - 3 * (total + 1), 4).alias("h"))

@@ -274,6 +274,23 @@ def r17(r):
     return r.select("record_id", F.to_json(F.struct(F.col("record_id").alias("id"), F.col("session_id").alias("session"))).alias("payload"))
 
 
+@add("t5_merged_top", "records vectors", "WITH " + _fused_sql(_bm25_sql("records", "record_id", "chunk_text", 10), _knn_sql("", 10), 3) + " SELECT record_id, round(score, 8) AS score FROM chosen")
+def t5(records, vectors):
+    lex = R.ranked(R.bm25(records, "record_id", "chunk_text", QUERY, 10), "record_id", [F.desc("score"), "record_id"], "lexical")
+    sem = R.ranked(R.knn(vectors, "record_id", "embedding", _query_vector(vectors), 10), "record_id", ["distance", "record_id"], "semantic")
+    return R.rrf(lex, sem, "record_id", 3).select("record_id", F.round("score", 8).alias("score"))
+
+
+@add("r18_answer", "records")
+def r18(records):
+    """An answer from retrieved chunks, by the offline provider: its seam is where a model goes."""
+    from sessionlens.operators.seams import completed
+
+    top = records.join(R.bm25(records, "record_id", "chunk_text", QUERY, 5), "record_id")
+    prompt = F.concat(F.lit(f"Answer from the context: {QUERY}\n\n"), F.left("chunk_text", F.lit(400)))
+    return completed(top.select("record_id", prompt.alias("prompt")), "prompt").select("record_id", "answer")
+
+
 @add("p31_context_builder", "records", "SELECT session_id, string_agg('[' || CAST(r AS VARCHAR) || '] ' || substr(chunk_text, 1, 80), chr(10) ORDER BY r) AS context FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY chunk_index) AS r FROM records) WHERE r <= 5 GROUP BY 1")
 def p31(r):
     w = Window.partitionBy("session_id").orderBy("chunk_index")
