@@ -241,7 +241,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20000, precision: floa
     """
     lab = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     lab = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = counted(docs.join(lab, "doc_id").select("doc_id", "text", "quality"), keep=["quality"])
+    # at most `sample` rows of two numbers, whatever the size of the tables
+    rows = counted(docs.join(F.broadcast(lab), "doc_id").select("doc_id", "text", "quality"), keep=["quality"])
     got = rows.where(~base_failed()).select(F.col("row.quality").alias("quality"), *features().values()).limit(2 * sample)
     got = got.toPandas()
     got = got.sort_values([*FEATURES, "quality"])
