@@ -166,7 +166,7 @@ class DecisionList:
 def _best_term(x: np.ndarray, bad: np.ndarray, rule: Rule, cuts: int) -> tuple[float, tuple[str, str, float] | None]:
     """The term with the greatest information gain (FOIL) over what the rule covers.
 
-    Of its feature's cuts that gain nearly as much (98 %) the one that covers least is taken: it lies within the
+    Of its feature's cuts that gain nearly as much (95 %) the one that covers least is taken: it lies within the
     bad rows rather than next to the good ones.
     """
     hit = rule.covers(x)
@@ -177,7 +177,7 @@ def _best_term(x: np.ndarray, bad: np.ndarray, rule: Rule, cuts: int) -> tuple[f
     for i, f in enumerate(FEATURES):
         v = x[hit, i]
         b = bad[hit]
-        for t in np.unique(np.quantile(v, np.linspace(0, 1, cuts + 2)[1:-1])):
+        for t in np.unique(np.quantile(np.unique(v), np.linspace(0, 1, cuts + 2)[:-1])):
             above = v > t
             if above.any():  # half-way to the next value, so that a cut keeps its distance from both sides
                 t = (t + v[above].min()) / 2
@@ -189,7 +189,7 @@ def _best_term(x: np.ndarray, bad: np.ndarray, rule: Rule, cuts: int) -> tuple[f
                     if gain > best:
                         best, term = gain, (f, op, float(t))
     if term:
-        near = [t for gain, t in cuts_of[term[:2]] if gain >= 0.98 * best]
+        near = [t for gain, t in cuts_of[term[:2]] if gain >= 0.95 * best]
         term = (*term[:2], max(near) if term[1] == ">" else min(near))
     return best, term
 
