@@ -144,15 +144,19 @@ def graph_walk(edges: DataFrame, sources: DataFrame, memories: DataFrame, seed_m
     sessions a hop, then the memories of the sessions reached. edges: src, tgt, weight; sources: memory_id,
     session_id; memories: memory_id, evidence, access. A hop's frontier has at most `per_hop` sessions."""
     strong = edges.where(F.col("weight") > MIN_WEIGHT)
-    seeds = [r[0] for r in sources.where(F.col("memory_id") == F.lit(seed_memory)).select("session_id").distinct().orderBy("session_id").collect()]
-    visited, frontier = list(seeds), list(seeds)
+    seeds = sources.where(F.col("memory_id") == F.lit(seed_memory)).select("session_id").distinct()
+    new = strong.join(seeds.withColumnRenamed("session_id", "src"), "src", "left_semi")
+    reached: list = []
     for _ in range(depth):
+        new = new.join(seeds.withColumnRenamed("session_id", "tgt"), "tgt", "left_anti")
+        if reached:
+            new = new.where(~F.col("tgt").isin(reached))
+        best = new.groupBy("tgt").agg(F.max("weight").alias("weight")).orderBy(F.desc("weight"), "tgt").limit(per_hop)
+        frontier = [r["tgt"] for r in best.collect()]
         if not frontier:
             break
-        new = strong.where(F.col("src").isin(frontier) & ~F.col("tgt").isin(visited)).groupBy("tgt").agg(F.max("weight").alias("weight"))
-        frontier = [r["tgt"] for r in new.orderBy(F.desc("weight"), "tgt").limit(per_hop).collect()]
-        visited += frontier
-    reached = visited[len(seeds) :]
+        reached += frontier
+        new = strong.where(F.col("src").isin(frontier))
     found = sources.where(F.col("session_id").isin(reached) if reached else F.lit(False)).select("memory_id").distinct()
     found = found.where(F.col("memory_id") != F.lit(seed_memory))
     return memories.join(found, "memory_id").orderBy(F.desc("evidence"), F.desc("access"), "memory_id").limit(most)

@@ -192,9 +192,8 @@ def sc5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sc7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files copied under an archive folder, twice: the second time all are there already."""
     folder = _written_files(spark, sf_dir)
-    found = H.discovered(spark, f"{folder}/notes", "*.txt", "notes")
-    first = H.archived(found, f"{folder}/archive")
-    return spark.createDataFrame([(1, first), (2, H.archived(found, f"{folder}/archive"))], "pass int, copied long")
+    copied = [H.archived(spark, f"{folder}/notes", "*.txt", "notes", f"{folder}/archive") for _ in range(2)]
+    return spark.createDataFrame([(1, copied[0]), (2, copied[1])], "pass int, copied long")
 
 
 @query("sc12_chat_parse", "SELECT 's' || CAST(page_id AS VARCHAR) AS session_id, pos, CASE pos WHEN 0 THEN 'user' ELSE 'gemini' END AS type, CASE pos WHEN 0 THEN url ELSE 'ok' END AS content FROM pages, (SELECT unnest(range(2)) AS pos) WHERE page_id < 24")

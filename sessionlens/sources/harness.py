@@ -191,19 +191,17 @@ def opencode_files(session: DataFrame, db: str) -> DataFrame:
     return session.where("time_archived IS NULL").select(path.alias("abs_path"), F.lit("opencode").alias("file_type"), F.element_at(F.split("directory", "/"), -1).alias("project"), F.sha2(F.concat_ws(":", "id", F.col("time_updated").cast("string")), 256).alias("content_hash"))
 
 
-def archived(found: DataFrame, folder: str) -> int:
-    """Copy files into an archive table (by file type: project, name, bytes) unless the bytes are there; how many
-    were copied. Executors copy the bytes; the driver handles the paths of the new files only."""
-    spark = found.sparkSession
-    name = F.element_at(F.split("abs_path", "/"), -1)
-    there = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    exists = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
-    rows = found.select("abs_path", "file_type", "project", "content_hash", name.alias("name"))
-    if exists:
-        have = spark.read.parquet(folder).select("content_hash").distinct()
+def archived(spark: SparkSession, folder: str, pattern: str, file_type: str, archive: str) -> int:
+    """Copy a folder's files into an archive table (by file type: path, project, hash, bytes) unless the bytes are
+    there; how many were copied. Executors read, hash and write; nothing but the count comes to the driver."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    rows = files.select(F.lit(file_type).alias("file_type"), F.col("path").alias("abs_path"), F.sha2("content", 256).alias("content_hash"), "content")
+    rows = rows.dropDuplicates(["content_hash"])
+    there = spark._jvm.org.apache.hadoop.fs.Path(archive)
+    before = 0
+    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        have = spark.read.parquet(archive).select("content_hash").distinct()
+        before = have.count()
         rows = rows.join(have, "content_hash", "left_anti")
-    n = rows.count()
-    if n:
-        data = spark.read.format("binaryFile").load([r["abs_path"] for r in rows.select("abs_path").collect()]).select(F.col("path").alias("abs_path"), "content")
-        rows.join(data, "abs_path").write.mode("append").partitionBy("file_type").parquet(folder)
-    return n
+    rows.write.mode("append").partitionBy("file_type").parquet(archive)
+    return spark.read.parquet(archive).select("content_hash").distinct().count() - before
