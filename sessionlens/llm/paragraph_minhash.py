@@ -1,10 +1,10 @@
 """Substring dedup by paragraphs: MinHash bands, exact Jaccard, removals by components.
 
-A paragraph is a line with at least `min_words` words. Equal shingle sets are one class; classes whose signatures
+A paragraph is a line with at least `min_words` words, or a run of shorter lines that together have them. Equal shingle sets are one class; classes whose signatures
 collide in a band are confirmed by exact Jaccard on their 5-word shingles, and of every component of classes the
 first occurrence (least doc_id, then position) stays and all others go. Bands are tuned for the threshold.
 
-Defined results: null and empty texts have no paragraphs; lines below min_words are never removed; a document's
+Defined results: null and empty texts have no paragraphs; shorter lines whose run is below min_words are never removed; a document's
 own repeats count like others'; rows with one doc_id count as one document (equal positions are one paragraph);
 rows with a null doc_id are left out of dedup and get a row with no removals; an empty table gives an empty
 result; other columns are ignored.
@@ -30,11 +30,24 @@ COMPONENTS = 128
 def paragraphs_of(text: str, min_words: int) -> list[tuple[int, int, list[bytes]]]:
     """(start, end, lower-case words) of each paragraph; positions in characters."""
     out, at = [], 0
+    first, run = 0, []  # the run of shorter lines before this one
+
+    def close(end: int) -> None:
+        if len(run) >= min_words:
+            out.append((first, end, list(run)))
+        run.clear()
+
     for line in text.split("\n"):
         words = line.encode().lower().split()
         if len(words) >= min_words:
+            close(at - 1)
             out.append((at, at + len(line), words))
+        elif words:
+            if not run:
+                first = at
+            run += words
         at += len(line) + 1
+    close(len(text))
     return out
 
 

@@ -154,6 +154,14 @@ def test_paragraphs_against_brute_force(docs, odd, none):
     assert paragraph_minhash.summary(none, paragraph_minhash.removals(none)).count() == 0
 
 
+def test_paragraphs_of_short_lines():
+    text = "a b c\n\nd e\n" + "x " * 5 + "\nlast line here"
+    got = paragraph_minhash.paragraphs_of(text, 5)
+    assert [text[s:e].split() for s, e, _ in got] == [["a", "b", "c", "d", "e"], ["x"] * 5]
+    assert [w for _, _, w in got] == [[b"a", b"b", b"c", b"d", b"e"], [b"x"] * 5]
+    assert paragraph_minhash.paragraphs_of("", 5) == [] and len(paragraph_minhash.paragraphs_of("a b\nc d e", 5)) == 1
+
+
 def test_bands_are_tuned():
     bands, rows = near.tuned(0.8, 128)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.99999 and bands * rows <= 128
