@@ -76,59 +76,56 @@ def dominant(rows: DataFrame) -> DataFrame:
     return rows.withColumn("dominant_feature", name).withColumn("dominant_z", value).withColumn("strength", best)
 
 
-def _episodes(pdf: pd.DataFrame, order: str) -> list[dict]:
-    rows, out, looping = pdf.sort_values("turn_index").to_dict("records"), [], False
-    for i, r in enumerate(rows):
-        if i < WINDOW or r["strength"] < Z:
-            continue
-        d, z = r["dominant_feature"], r["dominant_z"]
-        up = z > 0
-        kind = None
-        if (d == "model_turn_count" and up and r["read_only_ratio"] > 0.6) or (d == "read_only_ratio" and up):
-            kind = "agent_thrash"
-        elif d == "action_target_recurrence" and up:
-            kind = "loop_entry"
-        elif d == "action_entropy" and z:
-            kind = ("loop_exit" if looping else "strategy_pivot") if up else "loop_entry"
-        elif d == "error_rate" and up and r["error_rate"] > 0.5:
-            kind = "escalation"
-        elif d == "user_turn_length_ratio" and z < 0 and r["user_turn_length_ratio"] < 0.5:
-            kind = "user_correction"
-        if kind is None:
-            continue
-        if kind == "loop_exit":
-            looping = False
-            if out and out[-1]["inflection_type"] == "loop_entry":
-                out[-1]["exit_turn"] = i
-            continue
-        cause = max(0, i - 1)
-        for j in range(i - 1, max(0, i - LOOKBACK) - 1, -1):
-            after = rows[j + 1 if j + 1 < i else j]["action_target_recurrence"]
-            if (rows[j]["error_rate"] > 0 and (j == 0 or rows[j - 1]["error_rate"] == 0)) or (rows[j]["action_target_recurrence"] == 0 and after > 0):
-                cause = j
-                break
-        looping = looping or kind == "loop_entry"
-        out.append({"inflection_type": kind, "precipitating_turn": cause, "entry_turn": i, "exit_turn": None if kind == "loop_entry" else i, "entry_exchange": r[order], "signal_strength": round(r["strength"], 3), "dominant_feature": d})
-    return out
+def episode_kind() -> Column:
+    """The type of a turn's episode; `entropy_up` is a loop's exit within a loop and a change of strategy outside."""
+    d, z = F.col("dominant_feature"), F.col("dominant_z")
+    return (
+        F.when(((d == "model_turn_count") & (z > 0) & (F.col("read_only_ratio") > 0.6)) | ((d == "read_only_ratio") & (z > 0)), "agent_thrash")
+        .when((d == "action_target_recurrence") & (z > 0), "loop_entry")
+        .when((d == "action_entropy") & (z < 0), "loop_entry")
+        .when((d == "action_entropy") & (z > 0), "entropy_up")
+        .when((d == "error_rate") & (z > 0) & (F.col("error_rate") > 0.5), "escalation")
+        .when((d == "user_turn_length_ratio") & (z < 0) & (F.col("user_turn_length_ratio") < 0.5), "user_correction")
+    )
+
+
+def precipitating(session: str) -> Column:
+    """The turn, at most LOOKBACK back, where errors began or new targets were followed by known ones; else the one before."""
+    w = Window.partitionBy(session).orderBy("turn_index")
+    errors = (F.col("error_rate") > 0) & ((F.col("turn_index") == 0) | (F.lag("error_rate", 1).over(w) == 0))
+    fresh = (F.col("action_target_recurrence") == 0) & (F.lead("action_target_recurrence", 1).over(w) > 0)
+    found = [F.when(F.lag(errors, 1).over(w), F.col("turn_index") - 1)]
+    found += [F.when(F.lag(errors | fresh, k).over(w), F.col("turn_index") - k) for k in range(2, LOOKBACK + 1)]
+    return F.coalesce(*found, F.greatest(F.col("turn_index") - 1, F.lit(0)))
 
 
 def inflections(turns: DataFrame, session: str, order: str) -> DataFrame:
-    """Episodes of each session of more than WINDOW turns. Features are windows; only the loop automaton is a
-    fold, run for each session in Arrow batches. Turn numbers count genuine turns; entry_exchange is the order
-    value of the entry."""
-    rows = dominant(turn_features(turns, session, order)).where(F.col("n_turns") > WINDOW)
-    kind = rows.schema[session].dataType.simpleString()
-    out = f"{session} {kind}, inflection_type string, precipitating_turn bigint, entry_turn bigint, exit_turn bigint, entry_exchange {rows.schema[order].dataType.simpleString()}, signal_strength double, dominant_feature string"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _episodes(pdf, order)
-        frame = pd.DataFrame(found, columns=["inflection_type", "precipitating_turn", "entry_turn", "exit_turn", "entry_exchange", "signal_strength", "dominant_feature"])
-        frame.insert(0, session, pdf[session].iloc[0])
-        frame["exit_turn"] = frame["exit_turn"].astype("Int64")
-        return frame
-
-    cols = [session, order, "turn_index", "strength", "dominant_feature", "dominant_z", "read_only_ratio", "error_rate", "user_turn_length_ratio", "action_target_recurrence"]
-    return rows.select(cols).groupBy(session).applyInPandas(run, out)
+    """Episodes of each session of more than WINDOW turns.
+
+    Features, types and causes are windows; the loop automaton is one fold over a session's anomalous turns, in the
+    JVM. Turn numbers count genuine turns; entry_exchange is the order value of the entry.
+    """
+    rows = dominant(turn_features(turns, session, order)).withColumn("cause", precipitating(session)).withColumn("kind", episode_kind())
+    hits = rows.where((F.col("n_turns") > WINDOW) & (F.col("turn_index") >= WINDOW) & (F.col("strength") >= Z) & F.col("kind").isNotNull())
+    item = F.struct(F.col("turn_index").cast("bigint").alias("at"), "kind", F.col("cause").cast("bigint").alias("cause"), F.col(order).alias("entry_exchange"), F.round("strength", 3).alias("strength"), F.col("dominant_feature").alias("feature"))
+    by = hits.groupBy(session).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    kind = turns.schema[order].dataType.simpleString()
+    episode = f"struct<inflection_type:string,precipitating_turn:bigint,entry_turn:bigint,exit_turn:bigint,entry_exchange:{kind},signal_strength:double,dominant_feature:string>"
+    zero = F.struct(F.lit(False).alias("looping"), F.array().cast(f"array<{episode}>").alias("out"))
+
+    def made(x: Column, name: Column, exit_: Column) -> Column:
+        return F.struct(name.alias("inflection_type"), x["cause"].alias("precipitating_turn"), x["at"].alias("entry_turn"), exit_.alias("exit_turn"), x["entry_exchange"].alias("entry_exchange"), x["strength"].alias("signal_strength"), x["feature"].alias("dominant_feature"))
+
+    def step(acc: Column, x: Column) -> Column:
+        out, n = acc["out"], F.size(acc["out"])
+        closed = F.transform(out, lambda e, i: F.when((i == n - 1) & (e["inflection_type"] == "loop_entry"), e.withField("exit_turn", x["at"])).otherwise(e))
+        name = F.when(x["kind"] == "entropy_up", "strategy_pivot").otherwise(x["kind"])
+        more = F.concat(out, F.array(made(x, name, F.when(name != "loop_entry", x["at"]))))
+        leaves = acc["looping"] & (x["kind"] == "entropy_up")
+        state = lambda looping, o: F.struct(looping.alias("looping"), o.alias("out"))
+        return F.when(leaves, state(F.lit(False), closed)).otherwise(state(acc["looping"] | (x["kind"] == "loop_entry"), more))
+
+    return by.select(session, F.explode(F.aggregate("items", zero, step, lambda acc: acc["out"])).alias("e")).select(session, "e.*")
 
 
 def token_proxy(words: Column, n_calls: Column) -> Column:

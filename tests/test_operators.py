@@ -192,6 +192,59 @@ def _turns(spark, rows):
     return spark.createDataFrame([("s", i, w, m, [t], [f"{t}::{g}"], [e]) for i, (w, m, t, g, e) in enumerate(rows)], "s string, i long, user_word_count long, model_turn_count long, tools array<string>, targets array<string>, errors array<boolean>")
 
 
+WINDOW, Z, LOOKBACK = TR.WINDOW, TR.Z, TR.LOOKBACK
+
+
+def naive_episodes(pdf, order):
+    rows, out, looping = pdf.sort_values("turn_index").to_dict("records"), [], False
+    for i, r in enumerate(rows):
+        if i < WINDOW or r["strength"] < Z:
+            continue
+        d, z = r["dominant_feature"], r["dominant_z"]
+        up = z > 0
+        kind = None
+        if (d == "model_turn_count" and up and r["read_only_ratio"] > 0.6) or (d == "read_only_ratio" and up):
+            kind = "agent_thrash"
+        elif d == "action_target_recurrence" and up:
+            kind = "loop_entry"
+        elif d == "action_entropy" and z:
+            kind = ("loop_exit" if looping else "strategy_pivot") if up else "loop_entry"
+        elif d == "error_rate" and up and r["error_rate"] > 0.5:
+            kind = "escalation"
+        elif d == "user_turn_length_ratio" and z < 0 and r["user_turn_length_ratio"] < 0.5:
+            kind = "user_correction"
+        if kind is None:
+            continue
+        if kind == "loop_exit":
+            looping = False
+            if out and out[-1]["inflection_type"] == "loop_entry":
+                out[-1]["exit_turn"] = i
+            continue
+        cause = max(0, i - 1)
+        for j in range(i - 1, max(0, i - LOOKBACK) - 1, -1):
+            after = rows[j + 1 if j + 1 < i else j]["action_target_recurrence"]
+            if (rows[j]["error_rate"] > 0 and (j == 0 or rows[j - 1]["error_rate"] == 0)) or (rows[j]["action_target_recurrence"] == 0 and after > 0):
+                cause = j
+                break
+        looping = looping or kind == "loop_entry"
+        out.append({"inflection_type": kind, "precipitating_turn": cause, "entry_turn": i, "exit_turn": None if kind == "loop_entry" else i, "entry_exchange": r[order], "signal_strength": round(r["strength"], 3), "dominant_feature": d})
+    return out
+
+
+def test_inflections_match_a_plain_fold(spark):
+    rng = random.Random(11)
+    rows = []
+    for s in range(12):
+        for i in range(60):
+            busy = (i // 15) % 2
+            rows.append((f"s{s}", i, rng.choice([2, 5, 20, 21]), rng.choice([1, 1, 9]), [rng.choice(["Read", "Edit", "Bash"]) if busy else "Edit"], [f"g{rng.randrange(3 if busy else 30)}"], [rng.random() < 0.2 + 0.5 * busy]))
+    turns = spark.createDataFrame(rows, "s string, i long, user_word_count long, model_turn_count long, tools array<string>, targets array<string>, errors array<boolean>")
+    feats = TR.dominant(TR.turn_features(turns, "s", "i")).toPandas()
+    want = sorted((s, e["inflection_type"], e["precipitating_turn"], e["entry_turn"], -1 if e["exit_turn"] is None else e["exit_turn"]) for s, pdf in feats.groupby("s") for e in naive_episodes(pdf, "i"))
+    got = sorted((r["s"], r["inflection_type"], r["precipitating_turn"], r["entry_turn"], -1 if r["exit_turn"] is None else r["exit_turn"]) for r in TR.inflections(turns, "s", "i").collect())
+    assert got == want and len({k for _, k, *_ in got}) >= 3
+
+
 def test_inflections(spark):
     varied = [(20, 1, f"t{i}", f"g{i}", False) for i in range(10)]
     stuck = [(20, 1, "edit", "same", True) for _ in range(10)]
