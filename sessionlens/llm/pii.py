@@ -111,20 +111,31 @@ def _odd() -> re.Pattern:
     return re.compile("[" + "".join(map(re.escape, map(chr, sorted(_letters())))) + _ZERO_WIDTH + "]")
 
 
-_AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\.)"
+# at most four blanks in a row, so that long blank runs cost no more than their length
+_AT = r"(?:\s{0,4}[\[({<]\s{0,4}(?:at|@)\s{0,4}[\])}>]\s{0,4}|\s{1,4}at\s{1,4})"
+_DOT = r"(?:\s{0,4}[\[({<]\s{0,4}(?:dot|\.)\s{0,4}[\])}>]\s{0,4}|\s{1,4}dot\s{1,4}|\.)"
 _NAME = r"[A-Za-z0-9_%+-]++"
-#: An address of which the @, a dot or both are disguised; group 1 and 2 are rewritten part by part.
-_DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])({_NAME}(?:{_DOT}{_NAME}){{0,4}}?)({_AT}|@)([A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++){{1,4}})", re.I
-)
+_ANY_AT = re.compile(rf"{_AT}|@", re.I)
+_BEFORE = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:{_DOT}{_NAME}){{0,4}}$", re.I)
+_AFTER = re.compile(rf"[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++){{1,4}}", re.I)
+#: Characters looked back over for the part before the @, which names do not exceed.
+_BACK = 128
+_DOT_PART = re.compile(_DOT, re.I)
 #: Last labels of an address that is spelled with bare words for both the @ and the dot.
 _TOP = frozenset("com org net edu gov mil int info biz io co ai app dev me tv us uk de fr es it nl be ch at pl pt se no dk fi ie eu ru cn jp kr in br mx ca au nz za ar".split())
+_BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]", re.I)
 _AT_MARK = re.compile(r"[\[({<]\s*(?:at|@)\s*[\])}>]|\sat\s", re.I)
 _DOT_MARK = re.compile(r"[\[({<]\s*(?:dot|\.)\s*[\])}>]|\sdot\s", re.I)
-_DIGIT_WORD = "(?:" + "|".join(_SPELLED) + "|[0-9])"
+_WORD = "(?:" + "|".join(_SPELLED) + ")"
+_DIGIT_WORD = f"(?:{_WORD}|[0-9])"
 _SPELLED_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:(?:plus|\+)[ ,-]{{0,2}})?{_DIGIT_WORD}(?:[ ,-]{{1,2}}{_DIGIT_WORD}){{6,}}(?![A-Za-z0-9])", re.I)
 _ONE_DIGIT = re.compile(rf"plus|\+|{_DIGIT_WORD}", re.I)
+_ONE_WORD = re.compile(_WORD, re.I)
+#: Words of a spelled run that are words, at least.
+_LEAST_WORDS = 4
+_PART = rf"(?:[0-9]{{1,3}}|{_WORD}(?:[ -]{_WORD}){{0,2}})"
+#: Four numbers with dots between them, of which a dot or a number is disguised.
+_DOTTED = re.compile(rf"(?<![A-Za-z0-9.]){_PART}(?:{_DOT}{_PART}){{3}}(?![A-Za-z0-9])(?!\.[0-9])", re.I)
 
 
 class Rewritten:
@@ -150,27 +161,45 @@ class Rewritten:
         return s + (start - self.starts[a] if exact else 0), t + (end - self.starts[b]) if exact_end else e
 
 
-def _rewrites(text: str) -> list[tuple[int, int, str, bool]]:
-    """(start, end, new, identifier as a whole) of the pieces to replace, in order, without overlaps."""
+def _digits(text: str) -> str:
+    return "".join("+" if (x := d[0].lower()) in ("plus", "+") else _SPELLED.get(x, x) for d in _ONE_DIGIT.finditer(text))
+
+
+def _rewrites(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, new) of the pieces to replace, in order; some may overlap, the first then counts."""
     out = []
-    if _DOT_MARK.search(text) or _AT_MARK.search(text):
-        for m in _DISGUISED.finditer(text):
-            if not (_AT_MARK.search(text, m.start(), m.end()) or _DOT_MARK.search(text, m.start(), m.end())):
-                continue
-            bare_at = re.fullmatch(r"\s+at\s+", m[2], re.I)
-            if bare_at and not _DOT_MARK.search(m[3]):
-                continue  # "look at example.com" is prose
-            if bare_at and not re.search(r"[\[({<]", m[3]) and re.split(r"[^A-Za-z0-9]+", m[3])[-1].lower() not in _TOP:
-                continue  # so is "we met at the dot and"
-            for group, pattern, new in ((1, _DOT, "."), (2, _AT, "@"), (3, _DOT, ".")):
-                for x in re.compile(pattern, re.I).finditer(text, m.start(group), m.end(group)):
-                    out.append((x.start(), x.end(), new, False))
     low = text.lower()
-    if sum(w in low for w in _SPELLED) >= 1:
+    if "dot" in low or _BRACKETED.search(text):
+        for m in _ANY_AT.finditer(text):
+            after = _AFTER.match(text, m.end())
+            before = _BEFORE.search(text[max(0, m.start() - _BACK) : m.start()]) if after else None
+            if not before:
+                continue
+            start = m.start() - len(before[0])
+            dots = _DOT_MARK.search(text, m.end(), after.end())
+            if not (_AT_MARK.search(text, m.start(), m.end()) or dots or _DOT_MARK.search(text, start, m.start())):
+                continue  # a plain address
+            if re.fullmatch(r"\s+at\s+", m[0], re.I):
+                if not dots:
+                    continue  # "look at example.com" is prose
+                if not re.search(r"[\[({<]", after[0]) and re.split(r"[^A-Za-z0-9]+", after[0])[-1].lower() not in _TOP:
+                    continue  # so is "we met at the dot and"
+            out += [(x.start(), x.end(), ".") for x in _DOT_PART.finditer(text, start, m.start())]
+            out.append((m.start(), m.end(), "@"))
+            out += [(x.start(), x.end(), ".") for x in _DOT_PART.finditer(text, m.end(), after.end())]
+        for m in _DOTTED.finditer(text):
+            if _DOT_MARK.search(m[0]):
+                at, new = 0, []
+                for x in _DOT_PART.finditer(m[0]):
+                    new.append(_digits(m[0][at : x.start()]))
+                    at = x.end()
+                out.append((m.start(), m.end(), ".".join([*new, _digits(m[0][at:])])))
+    # inside a run a word has a blank, comma or hyphen on either side
+    spaced = low.replace(",", " ").replace("-", " ")
+    if any(f" {w} " in spaced for w in _SPELLED):
         for m in _SPELLED_RUN.finditer(text):
-            if m[0].isascii() and re.search("[a-z]{3}", m[0], re.I):
-                digits = "".join({"plus": "+", "+": "+"}.get(x := d[0].lower()) or _SPELLED.get(x, x) for d in _ONE_DIGIT.finditer(m[0]))
-                out.append((m.start(), m.end(), digits, True))
+            if m[0].isascii() and len(_ONE_WORD.findall(m[0])) >= _LEAST_WORDS:
+                out.append((m.start(), m.end(), _digits(m[0])))
     out.sort()
     return out
 
@@ -191,7 +220,7 @@ def deobfuscated(text: str) -> tuple[str, list] | None:
             now = "".join(r.parts)
     if pieces := _rewrites(now):
         r, at = Rewritten(), 0
-        for s, e, new, _ in pieces:
+        for s, e, new in pieces:
             if s < at:
                 continue
             r.add(now[at:s], at, s, True)
