@@ -3,7 +3,8 @@
 Base spans are the four exact patterns over each whole text. Then transducers rewrite the text (homoglyphs and
 compatibility forms letter by letter, zero-width characters to nothing, runs of spelled digits to digits, at/dot
 disguises to @ and .) and keep, for every piece of the rewritten text, where it came from; the same patterns run
-over the rewritten text, and spans that touch no base span are mapped back to source characters and added.
+over the rewritten text, and spans that are not part of a base span of their kind are mapped back to source
+characters and added beside the base ones.
 
 Defined results: a null text is empty and has no spans; repeated rows are treated one by one; an empty table
 gives an empty result; other columns are ignored; a null doc_id is kept. All patterns take linear time, so very
@@ -233,18 +234,18 @@ def deobfuscated(text: str) -> tuple[str, list] | None:
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
-    """Spans of disguised identifiers, in source characters, that touch no base span."""
+    """Spans of disguised identifiers, in source characters, but for those equal to or inside a base span of their kind."""
     made = deobfuscated(text)
     if made is None:
         return []
     now, maps = made
-    taken, out = sorted((s, e) for s, _, e in base), []
-    starts = [s for s, _ in taken]
+    taken = [[(s, e) for s, kind, e in base if kind == k] for k in range(len(KINDS))]
+    out = []
     for s, k, e in base_spans(now):
         for r in reversed(maps):
             s, e = r.source(s, e)
-        i = bisect_right(starts, e - 1) - 1
-        if i < 0 or all(taken[j][1] <= s for j in range(max(0, i - 3), i + 1)):
+        i = bisect_right(taken[k], s, key=lambda x: x[0]) - 1  # spans of one kind don't overlap
+        if i < 0 or taken[k][i][1] < e:
             out.append((s, k, e))
     return sorted(set(out))
 

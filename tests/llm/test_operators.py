@@ -273,6 +273,24 @@ def test_disguises(text, found):
     assert set(base) <= set(every)
 
 
+@pytest.mark.parametrize(
+    ("text", "full", "redacted"),
+    [
+        ("to jоhn@example.com now", "jоhn@example.com", "to [EMAIL] now"),
+        ("to john@mail.exаmple.com now", "john@mail.exаmple.com", "to [EMAIL] now"),
+        ("to jo\u200bhn@example.com now", "jo\u200bhn@example.com", "to [EMAIL] now"),
+        ("call +1 202 555 01２3 now", "+1 202 555 01２3", "call [PHONE] now"),
+        ("john@example.com, é and +1 202 555 0123", None, "[EMAIL], é and [PHONE]"),
+        ("john@example.com, ２ and +1 202 555 0123", None, "[EMAIL], ２ and [PHONE]"),
+    ],
+)
+def test_half_disguised(text, full, redacted):
+    base, every = pii.scan(text)
+    assert [text[s:e] for s, k, e in every if (s, k, e) not in base] == ([full] if full else [])
+    assert set(base) <= set(every) and base == brute_pii(text)
+    assert pii.redact(text, every) == redacted
+
+
 def test_pii_table(odd, none):
     assert pii.found(odd).count() == odd.count() and pii.found(none).count() == 0
     assert pii.redact("mail a@b.co or +1 234 567 8901", pii.scan("mail a@b.co or +1 234 567 8901")[1]) == "mail [EMAIL] or [PHONE]"
