@@ -129,11 +129,13 @@ _AT_MARK = re.compile(r"[\[({<]\s*(?:at|@)\s*[\])}>]|\sat\s", re.I)
 _DOT_MARK = re.compile(r"[\[({<]\s*(?:dot|\.)\s*[\])}>]|\sdot\s", re.I)
 _WORD = "(?:" + "|".join(_SPELLED) + ")"
 _DIGIT_WORD = f"(?:{_WORD}|[0-9])"
-_SPELLED_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:(?:plus|\+)[ ,-]{{0,2}})?{_DIGIT_WORD}(?:[ ,-]{{1,2}}{_DIGIT_WORD}){{6,}}(?![A-Za-z0-9])", re.I)
+_TOKEN = f"(?:{_WORD}|[0-9]++)"
+_BETWEEN = "[ ,().-]{1,4}"
+#: Spelled digits and groups of digits side by side; one is a word at least (checked where it is used).
+_SPELLED_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:(?:plus|\+)[ ,(-]{{0,2}})?{_TOKEN}(?:{_BETWEEN}{_TOKEN})+(?![A-Za-z0-9])", re.I)
+_ONE_TOKEN = re.compile(rf"plus|\+|{_TOKEN}", re.I)
 _ONE_DIGIT = re.compile(rf"plus|\+|{_DIGIT_WORD}", re.I)
-_ONE_WORD = re.compile(_WORD, re.I)
-#: Words of a spelled run that are words, at least.
-_LEAST_WORDS = 4
+_LONE_WORD = re.compile(rf"(?<![a-z0-9]){_WORD}(?![a-z0-9])")
 _PART = rf"(?:[0-9]{{1,3}}|{_WORD}(?:[ -]{_WORD}){{0,2}})"
 #: Four numbers with dots between them, of which a dot or a number is disguised.
 _DOTTED = re.compile(rf"(?<![A-Za-z0-9.]){_PART}(?:{_DOT}{_PART}){{3}}(?![A-Za-z0-9])(?!\.[0-9])", re.I)
@@ -166,6 +168,38 @@ def _digits(text: str) -> str:
     return "".join("+" if (x := d[0].lower()) in ("plus", "+") else _SPELLED.get(x, x) for d in _ONE_DIGIT.finditer(text))
 
 
+def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, new) of the runs of spelled digits, plain digits among them.
+
+    Dots stay between digits but for numbers with a plus, other separators go; a comma joins single digits only.
+    A lone word beside an identifier that is complete in plain digits is prose ("10.0.0.1 two hosts").
+    """
+    plain = None
+    for m in _SPELLED_RUN.finditer(text):
+        if not m[0].isascii():
+            continue
+        runs: list[list[re.Match]] = [[]]
+        for x in _ONE_TOKEN.finditer(text, m.start(), m.end()):
+            before = runs[-1][-1] if runs[-1] else None
+            if before and "," in text[before.end() : x.start()] and any(len(t[0]) > 1 and t[0].isdigit() for t in (before, x)):
+                runs.append([])
+            runs[-1].append(x)
+        for tokens in runs:
+            word = [x[0].lower() in _SPELLED for x in tokens]
+            for edge, beside in ((-1, -2), (0, 1)):
+                if len(tokens) > 1 and word[edge] and tokens[beside][0].isdigit():
+                    plain = base_spans(text) if plain is None else plain
+                    if any(s <= tokens[beside].start() and tokens[beside].end() <= e for s, _, e in plain):
+                        del tokens[edge], word[edge]
+            if len(tokens) < 2 or not any(word):
+                continue
+            dot = "" if tokens[0][0].lower() in ("plus", "+") else "."
+            new = [_digits(tokens[0][0])]
+            for x, y in zip(tokens, tokens[1:], strict=False):
+                new += [dot if "." in text[x.end() : y.start()] else "", _digits(y[0])]
+            yield tokens[0].start(), tokens[-1].end(), "".join(new)
+
+
 def _rewrites(text: str) -> list[tuple[int, int, str]]:
     """(start, end, new) of the pieces to replace, in order; some may overlap, the first then counts."""
     out = []
@@ -195,12 +229,13 @@ def _rewrites(text: str) -> list[tuple[int, int, str]]:
                     new.append(_digits(m[0][at : x.start()]))
                     at = x.end()
                 out.append((m.start(), m.end(), ".".join([*new, _digits(m[0][at:])])))
-    # inside a run a word has a blank, comma or hyphen on either side
-    spaced = low.replace(",", " ").replace("-", " ")
-    if any(f" {w} " in spaced for w in _SPELLED):
-        for m in _SPELLED_RUN.finditer(text):
-            if m[0].isascii() and len(_ONE_WORD.findall(m[0])) >= _LEAST_WORDS:
-                out.append((m.start(), m.end(), _digits(m[0])))
+    if _LONE_WORD.search(low):
+        # what at and dot stand between is theirs
+        out.sort()
+        starts, ends = [s for s, _, _ in out], [e for _, e, _ in out]
+        for s, e, new in _spelled(text):
+            if bisect_right(ends, s) == bisect_right(starts, e - 1):
+                out.append((s, e, new))
     out.sort()
     return out
 

@@ -291,6 +291,29 @@ def test_half_disguised(text, full, redacted):
     assert pii.redact(text, every) == redacted
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("call +1 2 0 2 five five five 0 1 4 3 now", "+1 2 0 2 five five five 0 1 4 3"),
+        ("call +1 2 0 2 five 5 5 0 1 4 3 now", "+1 2 0 2 five 5 5 0 1 4 3"),
+        ("call +1 202 five five five 0143 now", "+1 202 five five five 0143"),
+        ("plus 1 (202) five five five-0143", "plus 1 (202) five five five-0143"),
+        ("+1.202.five.five.five.0143", "+1.202.five.five.five.0143"),
+        ("card 4111 1111 1111 one one one one.", "4111 1111 1111 one one one one"),
+        ("card 4111 1111 1111 111 one.", "4111 1111 1111 111 one"),
+        ("one 111 1111 1111 1111, four 111 1111 1111 1111", "four 111 1111 1111 1111"),
+        ("+1 202 555 0143 one more", None),
+        ("hosts 10.0.0.1 two and 10.0.0.2, one of them", None),
+        ("card 4111 1111 1111 one one one two", None),
+        ("on 4 5 one two", None),
+        ("eighty 4111 1111 1111 111", None),
+    ],
+)
+def test_spelled_beside_digits(text, found):
+    base, every = pii.scan(text)
+    assert [text[s:e] for s, k, e in every if (s, k, e) not in base] == ([found] if found else [])
+
+
 def test_pii_table(odd, none):
     assert pii.found(odd).count() == odd.count() and pii.found(none).count() == 0
     assert pii.redact("mail a@b.co or +1 234 567 8901", pii.scan("mail a@b.co or +1 234 567 8901")[1]) == "mail [EMAIL] or [PHONE]"
