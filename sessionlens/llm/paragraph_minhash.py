@@ -4,6 +4,8 @@ A paragraph is a line with at least `min_words` words, or a run of shorter lines
 collide in a band are confirmed by exact Jaccard on their 5-word shingles, and of every component of classes the
 first occurrence (least doc_id, then position) stays and all others go. Bands are tuned for the threshold.
 
+Paragraphs follow the line layout; passages that repeat inside longer lines or across lines are added beside them.
+
 Defined results: null and empty texts have no paragraphs; shorter lines whose run is below min_words are never removed; a document's
 own repeats count like others'; rows with one doc_id count as one document (equal positions are one paragraph);
 rows with a null doc_id are left out of dedup and get a row with no removals; an empty table gives an empty
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from sessionlens.llm.common import in_slices, stored, table
 from sessionlens.llm.near import band_keys, class_components, min_hash, set_digest, shingle_sets, tuned
+from sessionlens.llm.passages import with_passages
 
 PERCENT = 80
 MIN_WORDS = 20
@@ -145,4 +148,4 @@ def summary(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return summary(docs, removals(docs))
+    return with_passages(summary(docs, removals(docs)), docs)

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sessionlens.llm import bpe, collision_count, common, mixing, near, paragraph_minhash, pii, quality_rules, sharding, suffix_dedup, super_minhash, token_files
+from sessionlens.llm import bpe, collision_count, common, mixing, near, paragraph_minhash, passages, pii, quality_rules, sharding, suffix_dedup, super_minhash, token_files
 
 DATA = Path("/root/testdata/sf0.001")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -154,6 +154,46 @@ def test_paragraphs_against_brute_force(docs, odd, none):
     assert paragraph_minhash.summary(none, paragraph_minhash.removals(none)).count() == 0
 
 
+def brute_passages(rows, run=passages.RUN):
+    """Characters of each document that a window holds that is not the first of its words."""
+    first, out = {}, defaultdict(set)
+    for i, t in sorted((i, t or "") for i, t in rows):
+        at = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        for k in range(len(at) - run + 1):
+            s, e = at[k][0], at[k + run - 1][1]
+            d, _, end = first.setdefault(tuple(x[2] for x in at[k : k + run]), (i, s, e))
+            if d != i or s >= end:
+                out[i].update(range(s, e))
+    return {i: {c for c in x if not dict(rows)[i][c].isspace()} for i, x in out.items()}
+
+
+def test_passages_anywhere(spark):
+    rng = random.Random(21)
+    planted, short = words(rng, 50, 10**6), words(rng, 49, 10**6)
+    other = lambda n: words(rng, n, 10**6)
+    wrapped = "\n".join(" ".join(planted.upper().split()[i : i + 7]) for i in range(0, 50, 7))
+    rows = [(1, f"{other(60)} {planted} {other(60)}"), (2, f"{other(90)} {planted} {other(40)}"), (3, f"é {other(8)}\n\n{wrapped}\n{other(9)}\n\n{other(5)}"), (4, f"{other(30)} {short} {other(30)}"), (5, f"{other(20)} {short} {other(50)}")]
+    rows += [(6, "x " * 140), (7, "x " * 49), (8, None), (9, ""), (10, f"{other(20)} {planted} {other(20)} {planted}")]
+    df = clashing(spark.createDataFrame([(i, t, None, None, None) for i, t in rows] + [(2, rows[1][1], None, None, None), (None, planted, None, None, None)], DOCS).repartition(3))
+    got = defaultdict(set)
+    for r in passages.passages(df).collect():
+        got[r["doc_id"]].update(c for c in range(r["start"], r["end"]) if not dict(rows)[r["doc_id"]][c].isspace())
+    assert got == brute_passages(rows) and set(got) == {2, 3, 6, 10}
+    out = {r["doc_id"]: r for r in passages.with_passages(paragraph_minhash.summary(df, paragraph_minhash.removals(df)), df).collect()}
+    assert [out[i]["n_passages"] for i in (1, 2, 3, 4, 5, 7, 8, 9, 10)] == [0, 1, 1, 0, 0, 0, 0, 0, 2] and out[3]["passage_of"] == [1]
+    assert out[2]["n_removed"] == 0
+
+
+def test_passages_against_brute_force(docs, odd, none):
+    for df in (docs, odd):
+        rows = {r["doc_id"]: r["text"] for r in df.collect() if r["doc_id"] is not None}
+        got = defaultdict(set)
+        for r in passages.passages(df).collect():
+            got[r["doc_id"]].update(c for c in range(r["start"], r["end"]) if not rows[r["doc_id"]][c].isspace())
+        assert got == brute_passages(list(rows.items()))
+    assert passages.passages(none).count() == 0
+
+
 def test_paragraphs_of_short_lines():
     text = "a b c\n\nd e\n" + "x " * 5 + "\nlast line here"
     got = paragraph_minhash.paragraphs_of(text, 5)
