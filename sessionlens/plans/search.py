@@ -192,8 +192,8 @@ def g7(s):
 
 @add("r8_graph_walk", "occurrences memory_sources memories")
 def r8(occ, sources, memories):
-    edges = G.shared_edges(_slice(occ), "session_id", "entity_id")
-    seed = sources.where("session_id % 10 = 0").agg(F.min("memory_id")).first()[0]
+    edges = G.shared_edges(occ, "session_id", "entity_id")
+    seed = sources.agg(F.min("memory_id")).first()[0]
     found = R.graph_walk(edges, sources, memories.select("memory_id", "evidence", "access"), seed, depth=2)
     return found.select("memory_id", "evidence", "access")
 
@@ -208,8 +208,8 @@ def set3(occ):
 
 @add("r9_recall_expansion", "occurrences memory_sources memories")
 def r9(occ, sources, memories):
-    edges = G.shared_edges(_slice(occ), "session_id", "entity_id")
-    seeds = sources.where("session_id % 10 = 0").select("memory_id").distinct().orderBy("memory_id").limit(3).collect()
+    edges = G.shared_edges(occ, "session_id", "entity_id")
+    seeds = sources.select("memory_id").distinct().orderBy("memory_id").limit(3).collect()
     out = None
     for i, s in enumerate(seeds):
         found = R.graph_walk(edges, sources, memories.select("memory_id", "evidence", "access"), s[0], depth=1)

@@ -348,3 +348,13 @@ def test_workspace_and_text(spark):
     assert [r[0] for r in df.select(T.format_workspace(F.col("w"))).collect()] == ["app", "app", "app", ""]
     t = spark.createDataFrame([("works correctly I think it is so",), ("too short",), ("a memory of more than six words here",)], "c string")
     assert [r[0] for r in t.select(T.trivial_memory(F.col("c"))).collect()] == [True, True, False]
+
+
+def test_walks_cover_all_sessions(spark):
+    from sessionlens.plans import search
+
+    occ = spark.createDataFrame([(1, 7), (2, 7), (2, 8), (13, 8)], "session_id long, entity_id long")
+    sources = spark.createDataFrame([(100, 1), (200, 2), (300, 13)], "memory_id long, session_id long")
+    memories = spark.createDataFrame([(100, 3, 0), (200, 2, 0), (300, 1, 0)], "memory_id long, evidence long, access long")
+    assert {r["memory_id"] for r in search.r8(occ, sources, memories).collect()} >= {200, 300}
+    assert {r["memory_id"] for r in search.r9(occ, sources, memories).collect()} >= {100, 200, 300}
