@@ -7,7 +7,7 @@
 2. Those units' bytes are sorted by induced suffix sorting, shard by shard: suffixes are typed, the leftmost
    S-type substrings are sorted and named, the string of names is sorted recursively, and their ranks are carried
    back to all suffixes as tuples (typed symbols up to the next such substring, its rank). Tuples are ordered by
-   queues that spill to disk beyond a bound, bucket by bucket, so that a shard may be larger than memory.
+   buckets whose row positions go to disk beyond a bound; their keys stay in memory, so a shard must fit into it.
 3. Neighbours in suffix order that share `length` bytes mark their windows; the common prefix is compared on the
    bytes themselves.
 
