@@ -65,7 +65,8 @@ def base_spans(text: str) -> list[Span]:
     """All spans of the contract's patterns, by start, then kind."""
     out = [(s, 0, e) for s, e in _emails(text)]
     for m in _IP.finditer(text):
-        if all(int(x) <= 255 for x in m[0].split(".") if len(x) < 5) and all(len(x.lstrip("0")) < 4 for x in m[0].split(".")):
+        parts = [x.lstrip("0") for x in m[0].split(".")]
+        if all(len(x) < 4 and int(x or 0) <= 255 for x in parts):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(d := _NON_DIGIT.sub("", m[0])) <= 19 and luhn(d):
@@ -112,31 +113,30 @@ def _odd() -> re.Pattern:
     return re.compile("[" + "".join(map(re.escape, map(chr, sorted(_letters())))) + _ZERO_WIDTH + "]")
 
 
-# at most four blanks in a row, so that long blank runs cost no more than their length
-_AT = r"(?:\s{0,4}[\[({<]\s{0,4}(?:at|@)\s{0,4}[\])}>]\s{0,4}|\s{1,4}at\s{1,4})"
-_DOT = r"(?:\s{0,4}[\[({<]\s{0,4}(?:dot|\.)\s{0,4}[\])}>]\s{0,4}|\s{1,4}dot\s{1,4}|\.)"
-_NAME = r"[A-Za-z0-9_%+-]++"
-_ANY_AT = re.compile(rf"{_AT}|@", re.I)
-_BEFORE = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:{_DOT}{_NAME}){{0,4}}$", re.I)
-_AFTER = re.compile(rf"[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++){{1,4}}", re.I)
-#: Characters looked back over for the part before the @, which names do not exceed.
-_BACK = 128
+# Marks of disguised addresses: at and dot in brackets, as bare words between blanks, or plain. A mark takes all
+# blanks around it; it begins where its blanks begin, so that a long run of blanks is read once.
+_MARK = re.compile(r"(?:(?<!\s)\s++|(?<!\s))[\[({<]\s*+(?:at|@|dot|\.)\s*+[\])}>]\s*+|(?<!\s)\s++(?:at|dot)\s++|[@.]", re.I)
+_PLAIN, _BARE, _BRACKET = range(3)
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
+_LABEL = re.compile(r"[A-Za-z0-9-]++")
+_DOT = r"(?:\s*+[\[({<]\s*+(?:dot|\.)\s*+[\])}>]\s*+|\s++dot\s++|\.)"
 _DOT_PART = re.compile(_DOT, re.I)
-#: Last labels of an address that is spelled with bare words for both the @ and the dot.
-_TOP = frozenset("com org net edu gov mil int info biz io co ai app dev me tv us uk de fr es it nl be ch at pl pt se no dk fi ie eu ru cn jp kr in br mx ca au nz za ar".split())
-_BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]", re.I)
-_AT_MARK = re.compile(r"[\[({<]\s*(?:at|@)\s*[\])}>]|\sat\s", re.I)
-_DOT_MARK = re.compile(r"[\[({<]\s*(?:dot|\.)\s*[\])}>]|\sdot\s", re.I)
+_DOT_MARK = re.compile(r"[\[({<]\s*+(?:dot|\.)\s*+[\])}>]|\sdot\s", re.I)
+_BRACKETED = re.compile(r"[\[({<]\s*+(?:at|@|dot|\.)\s*+[\])}>]", re.I)
+# Words that tell prose ("we met at the dot and left") from an address spelled with bare words only:
+# the first label is no determiner and the last no function word.
+_DETERMINERS = frozenset("a an the this that these those each every any some my your his her its our their one".split())
+_FUNCTION_WORDS = frozenset("a an and are as but by for from had has have he her his if its nor not of on or she that the their then they this to was were when where which who will with you".split())
 _WORD = "(?:" + "|".join(_SPELLED) + ")"
 _DIGIT_WORD = f"(?:{_WORD}|[0-9])"
 _TOKEN = f"(?:{_WORD}|[0-9]++)"
-_BETWEEN = "[ ,().-]{1,4}"
+_BETWEEN = "[ ,().-]++"
 #: Spelled digits and groups of digits side by side; one is a word at least (checked where it is used).
-_SPELLED_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:(?:plus|\+)[ ,(-]{{0,2}})?{_TOKEN}(?:{_BETWEEN}{_TOKEN})+(?![A-Za-z0-9])", re.I)
+_SPELLED_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:(?:plus|\+)[ ,(-]*+)?{_TOKEN}(?:{_BETWEEN}{_TOKEN})+(?![A-Za-z0-9])", re.I)
 _ONE_TOKEN = re.compile(rf"plus|\+|{_TOKEN}", re.I)
 _ONE_DIGIT = re.compile(rf"plus|\+|{_DIGIT_WORD}", re.I)
 _LONE_WORD = re.compile(rf"(?<![a-z0-9]){_WORD}(?![a-z0-9])")
-_PART = rf"(?:[0-9]{{1,3}}|{_WORD}(?:[ -]{_WORD}){{0,2}})"
+_PART = rf"(?:[0-9]++|{_WORD}(?:[ -]{_WORD}){{0,2}})"
 #: Four numbers with dots between them, of which a dot or a number is disguised.
 _DOTTED = re.compile(rf"(?<![A-Za-z0-9.]){_PART}(?:{_DOT}{_PART}){{3}}(?![A-Za-z0-9])(?!\.[0-9])", re.I)
 
@@ -200,28 +200,59 @@ def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
             yield tokens[0].start(), tokens[-1].end(), "".join(new)
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, new) of the marks of disguised addresses.
+
+    An address is a mark for @ with labels and marks for dots on both sides, of any number and any distance of
+    blanks. Every mark is looked at once from its left and once from its right.
+    """
+    marks = []
+    for m in _MARK.finditer(text):
+        inner = m[0].strip()
+        word = inner.strip("[](){}<>").strip().lower() if len(inner) > 1 else inner
+        marks.append((m.start(), m.end(), word in ("at", "@"), _PLAIN if len(inner) == 1 else _BRACKET if inner[0] in "[({<" else _BARE))
+    for i, (start, end, is_at, style) in enumerate(marks):
+        if not is_at or not (label := _LABEL.match(text, end)):
+            continue
+        first, after, j = label[0], [], i + 1
+        while j < len(marks) and marks[j][0] == label.end() and not marks[j][2] and (more := _LABEL.match(text, marks[j][1])):
+            after.append(marks[j])
+            label, j = more, j + 1
+        if not after:
+            continue
+        before, k, s = [], i - 1, start
+        while True:
+            low, e = (marks[k][1] if k >= 0 else 0), s
+            while s > low and text[s - 1] in _NAME:
+                s -= 1
+            if s == e:
+                break  # no label here
+            if e < start:
+                before.append(marks[k + 1])
+            if s > low or k < 0 or marks[k][2]:
+                break
+            s, k = marks[k][0], k - 1
+        if s == start:
+            continue
+        dots = max(x[3] for x in after)
+        if max(style, dots, *(x[3] for x in before), _PLAIN) == _PLAIN:
+            continue  # a plain address
+        if style == _BARE:
+            if dots == _PLAIN:
+                continue  # "look at example.com" is prose
+            if dots == _BARE and (first.lower() in _DETERMINERS or label[0].lower() in _FUNCTION_WORDS):
+                continue
+        yield from ((x[0], x[1], ".") for x in before)
+        yield start, end, "@"
+        yield from ((x[0], x[1], ".") for x in after)
+
+
 def _rewrites(text: str) -> list[tuple[int, int, str]]:
     """(start, end, new) of the pieces to replace, in order; some may overlap, the first then counts."""
     out = []
     low = text.lower()
     if "dot" in low or _BRACKETED.search(text):
-        for m in _ANY_AT.finditer(text):
-            after = _AFTER.match(text, m.end())
-            before = _BEFORE.search(text[max(0, m.start() - _BACK) : m.start()]) if after else None
-            if not before:
-                continue
-            start = m.start() - len(before[0])
-            dots = _DOT_MARK.search(text, m.end(), after.end())
-            if not (_AT_MARK.search(text, m.start(), m.end()) or dots or _DOT_MARK.search(text, start, m.start())):
-                continue  # a plain address
-            if re.fullmatch(r"\s+at\s+", m[0], re.I):
-                if not dots:
-                    continue  # "look at example.com" is prose
-                if not re.search(r"[\[({<]", after[0]) and re.split(r"[^A-Za-z0-9]+", after[0])[-1].lower() not in _TOP:
-                    continue  # so is "we met at the dot and"
-            out += [(x.start(), x.end(), ".") for x in _DOT_PART.finditer(text, start, m.start())]
-            out.append((m.start(), m.end(), "@"))
-            out += [(x.start(), x.end(), ".") for x in _DOT_PART.finditer(text, m.end(), after.end())]
+        out += _addresses(text)
         for m in _DOTTED.finditer(text):
             if _DOT_MARK.search(m[0]):
                 at, new = 0, []

@@ -354,6 +354,52 @@ def test_spelled_beside_digits(text, found):
     assert [text[s:e] for s, k, e in every if (s, k, e) not in base] == ([found] if found else [])
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("mail a dot b dot c dot d dot e dot f at x dot com", "a dot b dot c dot d dot e dot f at x dot com"),
+        ("mail a" + " " * 50 + "(at)" + " " * 50 + "b.org", "a" + " " * 50 + "(at)" + " " * 50 + "b.org"),
+        ("mail a" + " " * 50 + "at" + "\n" * 50 + "b   dot   org", "a" + " " * 50 + "at" + "\n" * 50 + "b   dot   org"),
+        (f"to {' dot '.join(f'p{i}' for i in range(20))} at {' dot '.join(f'q{i}' for i in range(20))}.", f"{' dot '.join(f'p{i}' for i in range(20))} at {' dot '.join(f'q{i}' for i in range(20))}"),
+        ("to " + "x" * 300 + "[dot]y[at]z.museum", "x" * 300 + "[dot]y[at]z.museum"),
+        ("jane at firm dot museum", "jane at firm dot museum"),
+        ("a [at] b [at] c [dot] com", "b [at] c [dot] com"),
+        ("[at] b.com, x [dot] y, @ z [dot] com", None),
+        ("he stood at this dot near me", None),
+        ("0010[dot]0.0.1", "0010[dot]0.0.1"),
+        ("00999[dot]1.1.1", None),
+        ("plus" + " " * 30 + "1 two" + " " * 30 + "three 4 5 6 7 8 9 0", "plus" + " " * 30 + "1 two" + " " * 30 + "three 4 5 6 7 8 9 0"),
+    ],
+)
+def test_disguises_of_any_length(text, found):
+    base, every = pii.scan(text)
+    assert [text[s:e] for s, k, e in every if (s, k, e) not in base] == ([found] if found else [])
+
+
+def test_ip_parts_of_any_length():
+    for text, n in (("00999.1.1.1", 0), ("00256.1.1.1", 0), ("00255.1.1.0000", 1), ("0" * 5000 + "7.1.1.1", 1), ("1" * 5000 + ".1.1.1", 0)):
+        assert sum(k == 1 for _, k, _ in pii.base_spans(text)) == n
+    rng = random.Random(16)
+    parts = ["0", "7", "255", "256", "00256", "00012", "99999", "000001", "1234567", "+1", "a@b", " "]
+    for _ in range(5000):
+        x = ".".join(rng.choice(parts) for _ in range(rng.randrange(2, 9)))
+        assert pii.base_spans(x) == brute_pii(x)
+
+
+def test_pii_columns(docs, odd):
+    """Every column of the query against the plain patterns; added spans are checked by the cases above."""
+    for df in (docs, odd):
+        got = sorted((r.asDict() for r in pii.found(df).collect()), key=lambda r: (r["doc_id"] is not None, r["doc_id"]))
+        rows = sorted(((r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0]))
+        for r, (i, t) in zip(got, rows, strict=True):
+            base = brute_pii(t)
+            joined = lambda spans: ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+            more = {tuple(x) for x in pii.added_spans(t, base)}
+            want = {f"n_{kind}": sum(k == at for _, k, _ in base) for at, kind in enumerate(pii.KINDS)}
+            want |= {"doc_id": i, "base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(), "spans": joined(set(base) | more), "n_added": len(more)}
+            assert r == want
+
+
 def test_pii_table(odd, none):
     assert pii.found(odd).count() == odd.count() and pii.found(none).count() == 0
     assert pii.redact("mail a@b.co or +1 234 567 8901", pii.scan("mail a@b.co or +1 234 567 8901")[1]) == "mail [EMAIL] or [PHONE]"
@@ -366,6 +412,8 @@ def test_pii_is_linear():
     t = time.time()
     for x in ("1" * 200_000, "a" * 200_000, "a@" * 50_000, "+1" * 50_000, "1." * 100_000, "a-" * 100_000 + "@", " " * 200_000 + " dot", "[ dot " * 40_000, "one " * 60_000, "a at b dot " * 20_000, "1 dot " * 40_000):
         pii.scan(x)
+    for x in ("a dot " * 40_000, "(at) " * 40_000, "( " * 100_000, "a (at) b dot " * 20_000, "1" + " " * 200_000 + "dot one", "one" + " " * 200_000 + "at ", "dot one, " * 30_000, "@." * 100_000 + "dot", "a@" + "b." * 100_000 + " dot ", "0" * 200_000 + " dot "):
+        pii.scan(x)
     assert time.time() - t < 20
 
 
