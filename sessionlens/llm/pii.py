@@ -109,8 +109,12 @@ def _letters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=1)
-def _odd() -> re.Pattern:
-    return re.compile("[" + "".join(map(re.escape, map(chr, sorted(_letters())))) + _ZERO_WIDTH + "]")
+def _odd() -> frozenset[str]:
+    return frozenset(map(chr, _letters())) | frozenset(_ZERO_WIDTH)
+
+
+#: Holds all of _odd and is quick to look for; texts in Latin letters have none of it.
+_MAYBE_ODD = re.compile("[\xa0\xad\u0250-\U0010ffff]")
 
 
 # Marks of disguised addresses: at and dot in brackets, as bare words between blanks, or plain. A mark takes all
@@ -275,7 +279,7 @@ def deobfuscated(text: str) -> tuple[str, list] | None:
     """The rewritten text and a chain of mappers back to source spans; None where nothing is disguised."""
     maps = []
     now = text
-    if not text.isascii() and _odd().search(text):
+    if not text.isascii() and _MAYBE_ODD.search(text) and not _odd().isdisjoint(text):
         now = text.translate(_letters())
         if any(c in now for c in _ZERO_WIDTH):
             r, at = Rewritten(), 0
