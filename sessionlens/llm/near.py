@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import block_pairs, components, stored
+from sessionlens.llm.common import block_pairs, components, released, stored
 
 U64 = np.uint64
 MIX = U64(0x9E3779B97F4A7C15)
@@ -66,12 +66,12 @@ def set_digest(s: np.ndarray) -> bytes | None:
 
 @lru_cache(maxsize=16)
 def tuned(threshold: float, most: int = 128, recall: float = 0.99999) -> tuple[int, int]:
-    """(bands, rows) of at most `most` components: the most rows (fewest false candidates) that still find a
-    pair at the threshold with probability `recall`, one minus (1 - threshold**rows)**bands."""
+    """(bands, rows) within `most` components: the most rows (fewest false candidates), and for them the fewest
+    bands, that find a pair at the threshold with probability `recall`, one minus (1 - threshold**rows)**bands."""
     for rows in range(16, 0, -1):
-        bands = most // rows
-        if 1 - (1 - threshold**rows) ** bands >= recall:
-            return bands, rows
+        for bands in range(1, most // rows + 1):
+            if 1 - (1 - threshold**rows) ** bands >= recall:
+                return bands, rows
     return most, 1
 
 
@@ -108,7 +108,9 @@ def rows_of(column: pa.ChunkedArray) -> list[np.ndarray]:
     return out
 
 
-#: In blocks, a pair whose signatures agree by less than the threshold minus this isn't confirmed: six deviations.
+#: In blocks, a pair whose signatures agree by less than the threshold minus this isn't confirmed. A signature's
+#: agreement deviates by sqrt(j * (1 - j) / 128), 0.035 at most from j = 0.8 on, so this is six deviations: of 1e9
+#: pairs at the threshold about one is lost here.
 SLACK = 0.22
 BLOCK_SIGNATURE = 128
 
@@ -146,9 +148,10 @@ def _across(percent: int):
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, s) sorted by both: give every row of a band of two or more distinct s the band's least as hub.
+    """Rows (band, s) sorted by band: give every row of a band of two or more distinct s the band's first as hub.
 
-    Streams: what it keeps between batches is one row, so a band of any size passes through.
+    Streams: what it keeps between batches is one row, so a band of any size passes through. An s that comes again
+    at once counts once.
     """
     band0 = hub0 = last0 = None
     hub_out = True
@@ -185,7 +188,8 @@ def class_components(classes: DataFrame, banded: DataFrame, sets_of: Callable[[D
     """
     threshold = percent / 100
     rows = banded.select(F.xxhash64("fp").alias("s"), F.explode("bands").alias("band"))
-    rows = rows.repartition("band").sortWithinPartitions("band", "s")
+    # one numeric sort column, which Spark sorts by its bits; any member of a bucket may be its hub
+    rows = rows.repartition("band").sortWithinPartitions("band")
     members = stored(rows.mapInArrow(_runs, "band bigint, s bigint, hub bigint"), "near-members")
     names = classes.select(F.xxhash64("fp").alias("s"), "fp", "n")
     pairs = members.where("s <> hub").select("s", "hub").distinct()
@@ -194,29 +198,46 @@ def class_components(classes: DataFrame, banded: DataFrame, sets_of: Callable[[D
     near = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
     links = confirmed(pairs.where(near & (F.col("a") != F.col("b"))).select("a", "b"), sets_of, percent)
     roots = stored(components(links), "near-roots")
+    released(links)
 
     # buckets of three and more that are still in several components: the pairs across them, in blocks
     wide = members.join(members.groupBy("band").agg(F.count("*").alias("size")).where("size > 2").select("band"), "band", "left_semi")
-    wide = wide.select("band", "s").join(names, "s").join(roots, F.col("fp") == F.col("node"), "left")
+    wide = wide.select("band", "s").distinct().join(names, "s").join(roots, F.col("fp") == F.col("node"), "left")
     wide = stored(wide.select("band", "fp", "n", F.coalesce("component", "fp").alias("comp")), "near-wide")
     split = wide.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
     rest = stored(wide.join(split, "band", "left_semi"), "near-rest")
+    released(members, wide)
     if rest.isEmpty():
         return roots
     full = stored(sets_of(rest.select("fp").distinct(), True), "near-full")
-    dealt = block_pairs(rest, ["band"], "fp", block).join(full, "fp")
+    dealt = block_pairs(rest, ["band"], "fp", block, "n").join(full, "fp")
     more = dealt.groupBy("band", "bi", "bj").applyInArrow(_across(percent), "a binary, b binary")
-    links = more.unionAll(roots.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return components(stored(links, "near-more"))
+    links = stored(more.unionAll(roots.select(F.col("node").alias("a"), F.col("component").alias("b"))), "near-more")
+    released(rest, full)
+    return components(links)
+
+
+#: Pairs of one hub that a lane takes, about.
+LANE = 4_096
 
 
 def confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame, bool], DataFrame], percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets pass."""
+    """The pairs (a, b) whose full sets pass.
+
+    A hub may be the b of very many pairs: they are dealt into lanes by a, as many as the number of pairs asks
+    for, and its set goes to each lane that it has pairs in.
+    """
     pairs = stored(pairs, "near-pairs")
+    lanes, n = 16, pairs.count()
+    while lanes * LANE < n:
+        lanes *= 2
     ends = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select(F.col("b").alias("fp"))).distinct()
     sets = stored(sets_of(ends, False), "near-sets")
-    out = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a")
-    out = out.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+    pairs_in = pairs.withColumn("lane", F.pmod(F.xxhash64("a"), F.lit(lanes)))
+    hubs = pairs_in.select("b", "lane").distinct().join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+    out = pairs_in.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(hubs, ["b", "lane"])
     both = F.size(F.array_intersect("x", "y")).cast("long")
     passes = F.lit(100) * both >= F.lit(percent) * (F.size("x") + F.size("y") - both)
-    return stored(out.where(passes).select("a", "b"), "near-links")
+    out = stored(out.where(passes).select("a", "b"), "near-links")
+    released(pairs, sets)
+    return out

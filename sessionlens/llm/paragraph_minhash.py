@@ -1,7 +1,7 @@
 """Substring dedup by paragraphs: MinHash bands, exact Jaccard, removals by components.
 
-A paragraph is a line with at least `min_words` words, or a run of shorter lines that together have them. Equal shingle sets are one class; classes whose signatures
-collide in a band are confirmed by exact Jaccard on their 5-word shingles, and of every component of classes the
+A paragraph is a line with at least `min_words` words, or a run of shorter lines that together have them. Equal
+shingle sets are one class; classes whose signatures collide in a band are confirmed by exact Jaccard on their 5-word shingles, and of every component of classes the
 first occurrence (least doc_id, then position) stays and all others go. Bands are tuned for the threshold.
 
 Paragraphs follow the line layout; passages that repeat inside longer lines or across lines are added beside them.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import in_slices, stored, table
+from sessionlens.llm.common import in_slices, joined, stored, table
 from sessionlens.llm.near import band_keys, class_components, min_hash, set_digest, shingle_sets, tuned
 from sessionlens.llm.passages import with_passages
 
@@ -108,44 +108,57 @@ def _cut(docs: DataFrame, classes: DataFrame, shape: tuple[int, int, int] | None
     return texts.mapInArrow(run, "fp binary, set array<bigint>, bands array<bigint>")
 
 
-def removals(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, m: int = COMPONENTS) -> DataFrame:
-    """doc_id, start, end, first_doc, first_start and removed of every paragraph."""
-    shape = (m, *tuned(percent / 100, m))
+def removals(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, most: int = COMPONENTS) -> DataFrame:
+    """doc_id, start, end, first_doc, first_start, removed and shared (another document has it too) of every paragraph."""
+    bands, rows = tuned(percent / 100, most)
+    shape = (bands * rows, bands, rows)
     every = stored(units(docs, min_words), "para-units")
-    classes = every.groupBy("fp").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.min(F.struct("doc_id", "start", "end")).alias("whole"), F.first("n").alias("n"), F.count("*").alias("copies"))
-    classes = stored(classes.select("fp", "first", F.col("whole.end").alias("first_end"), "n", "copies"), "para-classes")
+    classes = every.groupBy("fp").agg(
+        F.min(F.struct("doc_id", "start")).alias("first"), F.min(F.struct("doc_id", "start", "end")).alias("whole"), F.max("doc_id").alias("last_doc"), F.first("n").alias("n"), F.count("*").alias("copies")
+    )
+    classes = stored(classes.select("fp", "first", "last_doc", F.col("whole.end").alias("first_end"), "n", "copies"), "para-classes")
 
     def sets_of(wanted: DataFrame, with_bands: bool) -> DataFrame:
         cut = _cut(docs, classes.join(wanted, "fp", "left_semi"), shape if with_bands else None, True)
         return (cut if with_bands else cut.drop("bands")).dropDuplicates(["fp"])
 
     roots = class_components(classes, _cut(docs, classes, shape, False), sets_of, percent)
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "copies", F.coalesce("component", "fp").alias("component"), F.col("node").isNotNull().alias("near"))
-    least = rooted.where("near").groupBy("component").agg(F.min("first").alias("least"))
-    rooted = rooted.where("near or copies > 1").join(least, "component", "left").select("fp", F.coalesce("least", "first").alias("least"))
-    out = every.select("doc_id", "start", "end", "fp").dropDuplicates(["doc_id", "start"]).join(rooted, "fp", "left")
+    rooted = classes.select("fp", "first", "last_doc", "copies").join(roots, F.col("fp") == F.col("node"), "left")
+    rooted = rooted.select("fp", "first", "last_doc", "copies", F.coalesce("component", "fp").alias("component"), F.col("node").isNotNull().alias("near"))
+    least = rooted.where("near").groupBy("component").agg(F.min("first").alias("least"), F.max("last_doc").alias("last"))
+    rooted = rooted.where("near or copies > 1").join(least, "component", "left")
+    rooted = rooted.select("fp", "copies", F.coalesce("least", "first").alias("least"), F.coalesce("last", "last_doc").alias("last"))
+    out = joined(every.select("doc_id", "start", "end", "fp"), stored(rooted, "para-rooted"), "fp", "copies").dropDuplicates(["doc_id", "start"])
     first_doc, first_start = F.coalesce(F.col("least.doc_id"), F.col("doc_id")), F.coalesce(F.col("least.start"), F.col("start"))
-    return out.select("doc_id", "start", "end", first_doc.alias("first_doc"), first_start.alias("first_start")).withColumn("removed", (F.col("doc_id") != F.col("first_doc")) | (F.col("start") != F.col("first_start")))
+    out = out.select("doc_id", "start", "end", first_doc.alias("first_doc"), first_start.alias("first_start"), F.coalesce(F.col("last") != F.col("least.doc_id"), F.lit(False)).alias("shared"))
+    return out.withColumn("removed", (F.col("doc_id") != F.col("first_doc")) | (F.col("start") != F.col("first_start")))
 
 
 def summary(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """A row for each distinct doc_id: n_paragraphs, n_removed, removed (start:end, joined), duplicate_of (doc_ids)."""
+    """A row for each distinct doc_id: n_shared and n_removed (paragraphs), removed (start:end, joined), duplicate_of
+    (doc_ids), n_paragraphs."""
     gone = F.col("removed")
     by = found.groupBy("doc_id").agg(
-        F.count("*").alias("n_paragraphs"),
+        F.count_if("shared").alias("n_shared"),
         F.count_if(gone).alias("n_removed"),
         F.sort_array(F.collect_list(F.when(gone, F.struct("start", "end")))).alias("spans"),
         F.sort_array(F.collect_set(F.when(gone, F.col("first_doc")))).alias("duplicate_of"),
+        F.count("*").alias("n_paragraphs"),
     )
     ids = docs.select("doc_id").distinct()
     out = ids.join(by, "doc_id", "left")
     spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
     empty = F.array().cast(by.schema["duplicate_of"].dataType)
-    return out.select(
-        "doc_id", F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce(spans, F.lit("")).alias("removed"), F.coalesce("duplicate_of", empty).alias("duplicate_of")
-    )
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("doc_id", count("n_shared"), count("n_removed"), F.coalesce(spans, F.lit("")).alias("removed"), F.coalesce("duplicate_of", empty).alias("duplicate_of"), count("n_paragraphs"))
 
 
 def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_shared counts what another document has too: paragraphs, passages that repeat another document's, and one
+    more where others repeat a passage of this one. n_removed and n_passages are what goes; firsts stay."""
     docs = table(spark, sf_dir, "documents")
-    return with_passages(summary(docs, removals(docs)), docs)
+    out = with_passages(summary(docs, removals(docs)), docs)
+    others = F.size(F.array_except("passage_of", F.array("doc_id"))) > 0
+    passages = F.when(others, F.col("n_passages")).otherwise(F.lit(0)) + F.col("source_of").cast("long")
+    out = out.withColumn("n_shared", F.col("n_shared") + passages)
+    return out.select("doc_id", "n_shared", "n_removed", "removed", "n_passages", "passages", "duplicate_of", "passage_of", "n_paragraphs")

@@ -4,6 +4,8 @@ A window is RUN words in a row; equal windows have equal least hashes of their 2
 twice anywhere are kept in one bitmap (a filter only: what it lets through too much goes at the exact step), and all
 windows whose least is in it are grouped by their own hash. The first window (least doc_id, then position) stays, the
 others are repeats; within its own document a repeat doesn't overlap the first. Touching repeats make one passage.
+Windows of hot leasts are compared inside each task first: only a task's earliest row of such a window goes on to the
+others', the rest are repeats already. So no window's rows meet in one task, however common it is.
 Texts are read twice and never shuffled. Words are lower-cased (ASCII) and compared by 64-bit hashes.
 
 Defined results as in paragraph_minhash: null and empty texts have no passages, rows with one doc_id count as one
@@ -20,11 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import stored
+from sessionlens.llm.common import HOT, released, stored
 from sessionlens.llm.near import MIX, U64, splitmix
 
 RUN = 50
 PART = RUN // 2
+FACTOR, FACTOR5 = U64(int(MIX) ** 2 % 2**64), U64(int(MIX) ** 10 % 2**64)
 #: Bits of the bitmap for each repeated least, and at most (32 MB; beyond, more windows go to the exact step).
 BITS, MOST_BITS = 16, 1 << 28
 #: Bytes of text taken at once.
@@ -57,8 +60,7 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     base = np.cumsum(size) - size
     values = (b[at].astype(U64) + U64(1)) * power[np.arange(len(at)) - np.repeat(base, size)]
     h = splitmix(np.add.reduceat(values, base) ^ (size.astype(U64) * MIX))
-    factor = MIX * MIX
-    g = _rolled(_rolled(h, 5, 1, factor), 5, 5, factor * factor * factor * factor * factor)
+    g = _rolled(_rolled(h, 5, 1, FACTOR), 5, 5, FACTOR5)
     part = splitmix(g)
     least = part
     for wide in (1, 2, 4, 8):
@@ -98,78 +100,159 @@ def _leasts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(least[since % (RUN - PART + 1) == 0].view(np.int64))], names=["least"])
 
 
+class Earliest:
+    """The earliest row so far of each hot window in a task; `add` gives the rows that are settled by it."""
+
+    def __init__(self) -> None:
+        self.rows: dict[int, tuple] = {}  # h -> (doc_id, start, end)
+
+    def add(self, h: list, doc: list, start: list, end: list) -> tuple[list[tuple], list[tuple]]:
+        """(repeats as (h, row, first_doc), rows still open as (h, row)): a row that overlaps the earliest one of its
+        own document stays open, as does the earliest one itself."""
+        done, open_ = [], []
+        for k, *row in zip(h, doc, start, end, strict=True):
+            first, row = self.rows.get(k), tuple(row)
+            if first is None:
+                self.rows[k] = row
+                continue
+            if row < first:
+                self.rows[k] = row
+                first, row = row, first
+            if row[0] == first[0] and row[1] < first[2]:
+                open_.append((k, row))
+            else:
+                done.append((k, row, first[0]))
+        return done, open_
+
+
+_ROW = "h bigint, lane int, doc_id {0}, start int, end int, first_doc {0}"
+
+
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by h, doc_id, start: those that are not the first of their h, with the first's doc_id.
+    """Of rows sorted by h, lane, doc_id, start: those that are not the first of their h, with the first's doc_id.
 
-    Streams: what it keeps between batches is one row."""
+    Rows of a lane other than 0 are repeats already. Streams: what it keeps between batches is one row."""
     first = None
     for b in batches:
         if not b.num_rows:
             continue
         t = pa.Table.from_batches([b] if first is None else [first, b]).combine_chunks().to_batches()[0]
-        h = t.column("h").to_numpy()
+        h, lane = t.column("h").to_numpy(), t.column("lane").to_numpy()
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (lane[1:] != lane[:-1])])
         at = np.arange(len(h))
-        at = np.maximum.accumulate(np.where(np.concatenate([[True], h[1:] != h[:-1]]), at, 0))
+        at = np.maximum.accumulate(np.where(new, at, 0))
         head = t.take(pa.array(at))
         own = pc.equal(t.column("doc_id"), head.column("doc_id")).to_numpy(zero_copy_only=False)
         own &= t.column("start").to_numpy() < head.column("end").to_numpy()
-        out = pa.RecordBatch.from_arrays([*(t.column(c) for c in ("doc_id", "start", "end")), head.column("doc_id")], names=["doc_id", "start", "end", "first_doc"])
-        yield out.filter(pa.array(~own))
-        first = t.slice(int(at[-1]), 1)
+        told = lane > 0
+        of = pc.if_else(pa.array(told), t.column("first_doc"), head.column("doc_id"))
+        out = pa.RecordBatch.from_arrays([*(t.column(c) for c in ("doc_id", "start", "end")), of], names=["doc_id", "start", "end", "first_doc"])
+        yield out.filter(pa.array(told | ~own))
+        first = None if told[-1] else t.slice(int(at[-1]), 1)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by doc_id, start as passages: what touches is one, with the first_doc of its beginning."""
+    """Rows sorted by doc_id, start as passages: what touches is one, with the first_doc of its beginning; where
+    its first_doc changes inside, a row of no span names the next one."""
     left = None
     for b in batches:
         if not b.num_rows:
             continue
         t = pa.Table.from_batches([b] if left is None else [left, b]).combine_chunks().to_batches()[0]
-        start, end, doc = t.column("start").to_numpy(), t.column("end").to_numpy(), t.column("doc_id")
+        start, end, doc, of = t.column("start").to_numpy(), t.column("end").to_numpy(), t.column("doc_id"), t.column("first_doc")
         other = pc.not_equal(doc.slice(1), doc.slice(0, len(doc) - 1)).to_numpy(zero_copy_only=False)
-        at = np.flatnonzero(np.concatenate([[True], other | (start[1:] > end[:-1] + 1)]))
+        begins = np.concatenate([[True], other | (start[1:] > end[:-1] + 1)])
+        turns = np.concatenate([[False], pc.not_equal(of.slice(1), of.slice(0, len(of) - 1)).to_numpy(zero_copy_only=False)]) & ~begins
+        at = np.flatnonzero(begins)
         head = t.take(pa.array(at))
         head = head.set_column(2, "end", pa.array(np.maximum.reduceat(end, at), pa.int32()))
         left = head.slice(len(at) - 1)
         yield head.slice(0, len(at) - 1)
+        if turns.any():
+            more = t.take(pa.array(np.flatnonzero(turns)))
+            none = pa.nulls(len(more), pa.int32())
+            yield more.set_column(1, "start", none).set_column(2, "end", none)
     if left is not None:
         yield left
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end and first_doc of every passage that repeats an earlier one."""
+#: Lanes that the settled rows of hot windows are spread over.
+LANES = 256
+
+
+def found(docs: DataFrame) -> DataFrame:
+    """doc_id, start, end and first_doc of every passage that repeats an earlier one, and (doc_id, null, null,
+    first_doc) for every further document that a passage repeats."""
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    many = stored(texts.mapInArrow(_leasts, "least bigint").groupBy("least").agg(F.count("*").alias("n")).where("n > 1").select("least"), "passage-leasts")
+    many = stored(texts.mapInArrow(_leasts, "least bigint").groupBy("least").agg(F.count("*").alias("n")).where("n > 1"), "passage-leasts")
+    total = many.agg(F.count("*").alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     bits = 1 << 10
-    while bits < min(BITS * many.count(), MOST_BITS):
+    while bits < min(BITS * total["kinds"], MOST_BITS):
         bits *= 2
     bit = F.col("least").bitwiseAND(F.lit(bits - 1))
     rows = many.select(F.shiftright(bit, 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(least & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     bitmap = np.zeros(bits // 64, dtype=np.int64)
     bitmap[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
-    shared = spark.sparkContext.broadcast(bitmap)
+    # HOT of them at most, each with that part of the rows or more
+    hot = np.array([r[0] for r in many.where(F.col("n") * HOT >= total["rows"]).select("least").collect()], dtype=np.int64)
+    released(many)
+    shared = spark.sparkContext.broadcast((bitmap, hot))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = shared.value.view(U64)
+        have, hot = shared.value[0].view(U64), shared.value[1].view(U64)
+        earliest = Earliest()
+        names = ["h", "lane", "doc_id", "start", "end", "first_doc"]
+        id_type = None
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            """(h, lane, row, first_doc) as a batch."""
+            h, lane, row, of = zip(*rows, strict=True)
+            doc, start, end = zip(*row, strict=True)
+            kinds = (pa.int64(), pa.int32(), id_type, pa.int32(), pa.int32(), id_type)
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((h, lane, doc, start, end, of), kinds, strict=True)], names=names)
+
         for b, texts_ in _slices(batches):
+            id_type = b.column("doc_id").type
             doc, start, end, least, h = windows(texts_)
             place = least & U64(bits - 1)
-            fit = np.flatnonzero((have[place >> U64(6)] >> (place & U64(63))) & U64(1))
-            ids = b.column("doc_id").take(pa.array(doc[fit]))
-            yield pa.RecordBatch.from_arrays([pa.array(h[fit].view(np.int64)), ids, pa.array(start[fit], pa.int32()), pa.array(end[fit], pa.int32())], names=["h", "doc_id", "start", "end"])
+            fit = (have[place >> U64(6)] >> (place & U64(63))) & U64(1) != 0
+            is_hot = fit & np.isin(least, hot) if len(hot) else np.zeros(len(fit), dtype=bool)
+            at = np.flatnonzero(fit & ~is_hot)
+            n, ids = len(at), b.column("doc_id").take(pa.array(doc[at]))
+            cols = [pa.array(h[at].view(np.int64)), pa.array(np.zeros(n, dtype=np.int32)), ids, pa.array(start[at], pa.int32()), pa.array(end[at], pa.int32()), pa.nulls(n, id_type)]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+            if is_hot.any():
+                at = np.flatnonzero(is_hot)
+                ids = b.column("doc_id").take(pa.array(doc[at])).to_pylist()
+                done, open_ = earliest.add(h[at].view(np.int64).tolist(), ids, start[at].tolist(), end[at].tolist())
+                rows = [(k, 1 + i % LANES, row, of) for i, (k, row, of) in enumerate(done)] + [(k, 0, row, None) for k, row in open_]
+                if rows:
+                    yield batch(rows)
+        rest = [(k, 0, row, None) for k, row in earliest.rows.items()]
+        for at in range(0, len(rest), 1 << 14):
+            yield batch(rest[at : at + (1 << 14)])
 
-    rows = texts.mapInArrow(candidates, f"h bigint, doc_id {kind}, start int, end int").repartition("h").sortWithinPartitions("h", "doc_id", "start")
+    rows = texts.mapInArrow(candidates, _ROW.format(kind)).repartition("h", "lane").sortWithinPartitions("h", "lane", "doc_id", "start")
     schema = f"doc_id {kind}, start int, end int, first_doc {kind}"
     again = rows.mapInArrow(_repeats, schema).repartition("doc_id").sortWithinPartitions("doc_id", "start")
     return again.mapInArrow(_merged, schema)
 
 
-def with_passages(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """found (a row for each doc_id) with n_passages, passages (start:end, joined) and passage_of (doc_ids)."""
-    by = passages(docs).groupBy("doc_id").agg(F.count("*").alias("n_passages"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"), F.sort_array(F.collect_set("first_doc")).alias("passage_of"))
+def passages(docs: DataFrame) -> DataFrame:
+    """doc_id, start, end and first_doc (of its beginning) of every passage that repeats an earlier one."""
+    return found(docs).where("start is not null")
+
+
+def with_passages(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows (one for each doc_id) with n_passages, passages (start:end, joined), passage_of (doc_ids) and source_of:
+    whether a passage of this document is one that another one repeats."""
+    every = stored(found(docs), "passages")
+    spans = F.sort_array(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "end"))))
+    by = every.groupBy("doc_id").agg(F.count("start").alias("n_passages"), spans.alias("spans"), F.sort_array(F.collect_set("first_doc")).alias("passage_of"))
+    sources = every.where("first_doc <> doc_id").select(F.col("first_doc").alias("doc_id")).distinct().withColumn("source_of", F.lit(True))
     spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
     empty = F.array().cast(by.schema["passage_of"].dataType)
-    out = found.join(by, "doc_id", "left")
-    return out.select(*found.columns, F.coalesce("n_passages", F.lit(0)).alias("n_passages"), F.coalesce(spans, F.lit("")).alias("passages"), F.coalesce("passage_of", empty).alias("passage_of"))
+    out = rows.join(by, "doc_id", "left").join(sources, "doc_id", "left")
+    return out.select(*rows.columns, F.coalesce("n_passages", F.lit(0)).alias("n_passages"), F.coalesce(spans, F.lit("")).alias("passages"), F.coalesce("passage_of", empty).alias("passage_of"), F.coalesce("source_of", F.lit(False)).alias("source_of"))

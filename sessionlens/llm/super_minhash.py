@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import in_slices, stored, table
+from sessionlens.llm.common import in_slices, joined, stored, table
 from sessionlens.llm.near import MIX, U64, band_keys, class_components, set_digest, shingle_sets, splitmix, tuned
 
 PERCENT = 85
@@ -123,12 +123,12 @@ def _full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
     return sets.join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, m: int = COMPONENTS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, most: int = COMPONENTS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, and fp, for each row of docs (doc_id, text)."""
-    bands, rows = tuned(percent / 100, m)
-    signed_rows = stored(signed(docs, bands, rows, m), "near-signed")
+    bands, rows = tuned(percent / 100, most)
+    signed_rows = stored(signed(docs, bands, rows, bands * rows), "near-signed")
     usable = signed_rows.where("fp is not null and doc_id is not null")
-    classes = usable.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = usable.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     classes = stored(classes, "near-classes")
 
     def sets_of(wanted: DataFrame, with_bands: bool) -> DataFrame:
@@ -139,10 +139,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, m: int = COMPONENTS
     rooted = classes.select("fp", "first").join(roots, F.col("fp") == F.col("node"))
     least = rooted.groupBy("component").agg(F.min("first").alias("component_id"))
     of_class = rooted.join(least, "component").select("fp", "component_id")
-    of_class = classes.select("fp", "first").join(of_class, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    of_class = classes.select("fp", "first", "copies").join(of_class, "fp", "left").withColumn("component_id", F.coalesce("component_id", "first"))
     # only rows that share a class or have links need the join; the others are their own component
-    out = signed_rows.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(of_class, "fp", "left")
-    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    of_class = stored(of_class.where("copies > 1 or component_id <> first").drop("first"), "near-named")
+    rows = signed_rows.select("doc_id", F.col("n").alias("n_shingles"), "fp")
+    out = joined(rows.where("doc_id is not null"), of_class, "fp", "copies")
+    out = out.unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
+    comp = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), (F.col("doc_id").isNull() | (comp == F.col("doc_id"))).alias("kept"), "fp")
 
 
