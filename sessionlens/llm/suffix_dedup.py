@@ -4,12 +4,12 @@
    48-byte hashes, which depends on the window's bytes alone; equal windows therefore meet under one anchor hash.
    Neighbouring windows with one anchor make a unit. Units whose bytes are equal are repeated as a whole; only
    units that share an anchor hash but not their bytes need to be compared.
-2. Those units' bytes are sorted by induced suffix sorting, shard by shard: suffixes are typed, the leftmost
-   S-type substrings are sorted and named, the string of names is sorted recursively, and their ranks are carried
-   back to all suffixes as tuples (typed symbols up to the next such substring, its rank). Tuples are ordered by
-   buckets whose row positions go to disk beyond a bound; their keys stay in memory, so a shard must fit into it.
-3. Neighbours in suffix order that share `length` bytes mark their windows; the common prefix is compared on the
-   bytes themselves.
+2. Those units' bytes are sorted by external induced suffix sorting (see `induced`), shard by shard: tuples of a
+   suffix's symbols and the rank behind them go through queues that lie on disk beyond a bound, and common prefixes
+   are carried through the recursion. Units, text and results of a long shard are files of the task.
+3. Neighbours in suffix order that share `length` bytes mark their windows.
+An anchor with many open units is no single shard: its windows are dealt on by further anchors, the least bytes of
+other hashes over the same window, which equal windows share too.
 
 Strings are judged on the input and matches never cross documents. Defined results: a null text is empty;
 repeated rows count as documents of their own (their windows repeat); a null doc_id is a value like others; an
@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import in_slices, stored, table
+from sessionlens.llm.common import HOT, in_slices, stored, table
+from sessionlens.llm.induced import Disk, Text, sorted_suffixes
 from sessionlens.llm.near import U64, splitmix
 
 LENGTH = 400
@@ -38,8 +39,10 @@ GRAM = 48
 PIECE = 1 << 19
 #: Bytes of text that are sorted together, about; a larger group of units under one anchor is sorted whole.
 BLOCK = 2 << 20
-#: Tuples above which a sort spills to disk.
-IN_MEMORY = 1 << 23
+#: Tuples, and symbols of a text, above which a sort lies on disk.
+IN_MEMORY = 1 << 22
+#: Further hashes whose anchors deal out the windows of a hot anchor.
+FURTHER = 3
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _VALUES = splitmix(np.arange(1, 257, dtype=U64) * U64(0xD1B54A32D192ED03))
@@ -65,20 +68,43 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], fore[w - 1 : w - 1 + n])
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor hash, anchor position) of the window that starts at each position of `data` (at most 2**20 bytes)."""
+def grams(data: np.ndarray) -> np.ndarray:
+    """Hashes of the GRAM-byte strings of `data` (at most 2**20 bytes)."""
     if not _POWERS:
         _POWERS.extend(_powers(1 << 20))
     up, down = _POWERS
     total = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(_VALUES[data] * up[: len(data)], dtype=U64)])
-    h = splitmix((total[GRAM:] - total[:-GRAM]) * down[: len(data) - GRAM + 1])
+    return splitmix((total[GRAM:] - total[:-GRAM]) * down[: len(data) - GRAM + 1])
+
+
+def least(h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least hash, its position) of the window that starts at each position."""
     low = U64((1 << 20) - 1)
     at = np.arange(len(h), dtype=U64)
-    least = _sliding_min((h & ~low) | (low - at), length - GRAM + 1)  # of equal hashes the last position wins
-    pos = (low - (least & low)).astype(np.int64)
+    least_ = _sliding_min((h & ~low) | (low - at), length - GRAM + 1)  # of equal hashes the last position wins
+    pos = (low - (least_ & low)).astype(np.int64)
     return h[pos], pos
 
 
+def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor hash, anchor position) of the window that starts at each position of `data`."""
+    return least(grams(data), length)
+
+
+def dealt_on(data: bytes, length: int) -> list[tuple[int, int, int]]:
+    """(hash, first, last start) of a unit's windows by FURTHER other anchors each."""
+    h = grams(np.frombuffer(data, dtype=np.uint8))
+    name, new = np.zeros(len(data) - length + 1, dtype=U64), np.zeros(len(data) - length + 1, dtype=bool)
+    new[0] = True
+    for k in range(1, FURTHER + 1):
+        of, pos = least(splitmix(h + U64(k * _BASE % (1 << 64))), length)
+        name = splitmix(name ^ of)
+        new[1:] |= pos[1:] != pos[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:] - 1, len(name) - 1)
+    return list(zip(name[first].view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True))
+
+
 def units_of(texts: list[bytes], length: int) -> Iterator[tuple[int, int, int, int]]:
     """(text's number, anchor hash, first, last start) of the units of each text."""
     group: list[tuple[int, int, bytes]] = []
@@ -114,128 +140,85 @@ def units_of(texts: list[bytes], length: int) -> Iterator[tuple[int, int, int, i
         yield from flush()
 
 
-# ---- induced suffix sorting
-
-
-def ordered(*keys: np.ndarray) -> np.ndarray:
-    """Positions in the order of the keys, the first one first.
-
-    Beyond IN_MEMORY tuples the positions go to bucket files by the first key's quantiles and each bucket is
-    ordered by itself, in turn: a radix queue on disk. A bucket of one key value is ordered by the other keys.
-    """
-    n = len(keys[0])
-    if n <= IN_MEMORY:
-        return np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-    step = max(1, n // 65536)
-    cuts = np.unique(np.quantile(keys[0][::step], np.linspace(0, 1, 2 + 2 * n // IN_MEMORY)[1:-1], method="nearest"))
-    with tempfile.TemporaryDirectory() as spill:
-        sizes = np.zeros(len(cuts) + 1, dtype=np.int64)
-        for at in range(0, n, IN_MEMORY):
-            to = np.searchsorted(cuts, keys[0][at : at + IN_MEMORY], side="right")
-            for b in np.unique(to):
-                rows = np.flatnonzero(to == b) + at
-                sizes[b] += len(rows)
-                with open(os.path.join(spill, str(b)), "ab") as f:
-                    rows.tofile(f)
-        out, at = np.empty(n, dtype=np.int64), 0
-        for b in np.flatnonzero(sizes):
-            rows = np.fromfile(os.path.join(spill, str(b)), dtype=np.int64)
-            out[at : at + len(rows)] = rows[np.lexsort([k[rows] for k in keys[::-1]])]
-            at += len(rows)
-    return out
-
-
-def _typed(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbol * 2 + 1 if its suffix is less than the next one, positions of leftmost such suffixes).
-
-    The last symbol must be the single least one.
-    """
-    step = np.diff(text)
-    at = np.where(step != 0, np.arange(len(step)), len(step))
-    decides = np.minimum.accumulate(at[::-1])[::-1]
-    small = np.concatenate([step[decides] > 0, [True]])
-    left = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    return text * 2 + small, left
-
-
-def _sequence_ranks(typed: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Ranks of the sequences typed[start..end]: the number of sequences before the first equal one.
-
-    No sequence is a proper prefix of another, as the last symbol's type tells them apart.
-    """
-    bits = int(typed.max() + 1).bit_length()
-    per = max(1, 63 // bits)
-    size = ends - starts + 1
-    rank = np.zeros(len(starts), dtype=np.int64)
-    live = np.arange(len(starts))
-    off = 0
-    while len(live):
-        key = np.zeros(len(live), dtype=np.int64)
-        for t in range(off, off + per):
-            key <<= bits
-            more = size[live] > t
-            key[more] |= typed[starts[live[more]] + t] + 1
-        order = ordered(rank[live], key) if off else ordered(key)
-        r, k = rank[live][order], key[order]
-        new = np.concatenate([[True], (r[1:] != r[:-1]) | (k[1:] != k[:-1])])
-        group = np.concatenate([[True], r[1:] != r[:-1]])
-        at = np.arange(len(order))
-        first, base = np.maximum.accumulate(np.where(new, at, 0)), np.maximum.accumulate(np.where(group, at, 0))
-        rank[live[order]] = r + first - base
-        off += per
-        alone = new & np.concatenate([new[1:], [True]])
-        stay = order[~alone]
-        live = live[stay]
-        live = live[size[live] > off]
-    return rank
-
-
 def suffix_order(text: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
-    """Start positions (all, or the wanted ones) in the order of their suffixes.
-
-    text: integers, the last one the single least. Induced: leftmost S-type suffixes are ranked by recursion on
-    their names; every other suffix is a tuple of its typed symbols up to the next of them, and that one's rank.
-    """
-    typed, left = _typed(text)
-    wanted = np.arange(len(text)) if wanted is None else wanted
-    ends = np.concatenate([left[1:], left[-1:]])
-    names = _sequence_ranks(typed, left, ends)
-    _, names = np.unique(names, return_inverse=True)
-    if len(left) > 1 and names.max() + 1 < len(left):
-        order = suffix_order(names.astype(np.int64))
-        rank = np.empty(len(left), dtype=np.int64)
-        rank[order] = np.arange(len(left))
-    else:
-        rank = names
-    nxt = np.minimum(np.searchsorted(left, wanted, side="right"), len(left) - 1)
-    upto = np.maximum(left[nxt], wanted)
-    return wanted[ordered(_sequence_ranks(typed, wanted, upto), rank[nxt])]
-
-
-def repeated_starts(units: list[bytes], counts: list[int], length: int) -> np.ndarray:
-    """For the windows of all units in a row (counts[i] of unit i): does its string start anywhere else in them?"""
-    sizes = np.array([len(u) for u in units], dtype=np.int64)
-    data = np.frombuffer(b"\0".join(units) + b"\0", dtype=np.uint8)
-    at = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    text = data.astype(np.int64) + 2
-    text[at + sizes] = 1  # separators; windows never reach them
-    text = np.concatenate([text, [0]])
-    n = np.array(counts, dtype=np.int64)
-    first = np.cumsum(n) - n
-    wanted = np.repeat(at - first, n) + np.arange(int(n.sum()))
-    order = suffix_order(text, wanted)
-    # common prefixes of neighbours, eight bytes a step, and the last eight of the window at its end
-    words = np.lib.stride_tricks.sliding_window_view(data, 8) if len(data) >= 8 else None
-    one, two, live = order[:-1], order[1:], np.arange(len(order) - 1)
-    for off in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        if not len(live):
-            break
-        x, y = words[one[live] + off], words[two[live] + off]
-        live = live[(np.ascontiguousarray(x).view(U64) == np.ascontiguousarray(y).view(U64)).ravel()]
-    twice = np.zeros(len(text), dtype=bool)
-    twice[one[live]] = True
-    twice[two[live]] = True
-    return twice[wanted]
+    """Start positions (all, or the wanted ones) in the order of their suffixes; text as in `sorted_suffixes`."""
+    return sorted_suffixes(text, wanted, LENGTH, IN_MEMORY)[0]
+
+
+class Shard:
+    """Units that are sorted together. Their symbols (bytes plus two, one behind each unit) and what is known of them
+    go to files once they are long."""
+
+    UNIT = np.dtype([("key", "V16"), ("first", "<i8"), ("last", "<i8"), ("single", "?"), ("at", "<i8")])
+
+    def __init__(self, length: int) -> None:
+        self.length, self.size, self.windows = length, 0, 0
+        self.symbols: list[np.ndarray] = []
+        self.units: list[tuple] = []
+        self.held = 0
+        self.folder: tempfile.TemporaryDirectory | None = None
+
+    def add(self, key: bytes, first: int, last: int, single: bool, data: bytes) -> None:
+        x = np.ones(len(data) + 1, dtype=np.uint16)
+        x[:-1] = np.frombuffer(data, dtype=np.uint8)
+        x[:-1] += 2
+        self.symbols.append(x)
+        self.units.append((key, first, last, single, self.size))
+        self.size += len(x)
+        self.held += len(x)
+        self.windows += last - first + 1
+        if self.held > IN_MEMORY:
+            self._spill()
+
+    def _spill(self) -> None:
+        if self.folder is None:
+            self.folder = tempfile.TemporaryDirectory(prefix="sl_shard_")
+        with open(os.path.join(self.folder.name, "symbols"), "ab") as f:
+            np.concatenate(self.symbols).tofile(f)
+        with open(os.path.join(self.folder.name, "units"), "ab") as f:
+            np.array(self.units, dtype=self.UNIT).tofile(f)
+        self.symbols, self.units, self.held = [], [], 0
+
+    def _loaded(self) -> tuple[np.ndarray, np.ndarray]:
+        """(text with its end, units), from the files where there are any."""
+        self.symbols.append(np.zeros(1, dtype=np.uint16))
+        if self.folder is None:
+            return np.concatenate(self.symbols), np.array(self.units, dtype=self.UNIT)
+        self._spill()
+        return tuple(np.memmap(os.path.join(self.folder.name, name), dtype=kind, mode="r") for name, kind in (("symbols", np.uint16), ("units", self.UNIT)))
+
+    def repeated(self) -> Iterator[pa.RecordBatch]:
+        """(key, first, last) ranges of windows of single units whose string starts anywhere else in the shard."""
+        with tempfile.TemporaryDirectory(prefix="sl_sort_") as folder:
+            disk = Disk(IN_MEMORY, folder)
+            text, units = self._loaded()
+            wanted, at = disk.empty(self.windows), 0
+            for part in disk.parts(len(units)):
+                u = units[part]
+                n = u["last"] - u["first"] + 1
+                end = at + int(n.sum())
+                wanted[at:end] = np.repeat(u["at"] - (np.cumsum(n) - n), n) + np.arange(end - at)
+                at = end
+            order, shared = Text(disk, text).sorted(wanted, self.length)
+            twice = disk.empty(len(text), bool)
+            for part in disk.parts(len(text)):
+                twice[part] = False
+            for part in disk.parts(self.windows):
+                hit = np.flatnonzero(shared[part] >= self.length) + part.start
+                twice[order[hit]] = True
+                twice[order[hit - 1]] = True
+            for part in disk.parts(len(units)):
+                key, first, last = [], [], []
+                for k, s, e, single, at in units[part].tolist():
+                    if single:
+                        hit = np.flatnonzero(np.diff(np.concatenate([[0], twice[at : at + e - s + 1].astype(np.int8), [0]])))
+                        for a, b in zip(hit[::2].tolist(), hit[1::2].tolist(), strict=True):
+                            key.append(k)
+                            first.append(s + a)
+                            last.append(s + b - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=["key", "first", "last"])
+        if self.folder is not None:
+            self.folder.cleanup()
 
 
 # ---- the dataflow
@@ -324,59 +307,45 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=[x.split(" ")[0] for x in _SORTED.split(", ")])
 
 
-def _open_texts(rows: DataFrame, open_: DataFrame, length: int) -> DataFrame:
-    """The bytes of open units, cut from their documents."""
+def _open_texts(rows: DataFrame, open_: DataFrame, length: int, hot: frozenset[int]) -> DataFrame:
+    """The bytes of open units, cut from their documents; those under a hot anchor are dealt on (sub, offset in the
+    unit)."""
     by = open_.groupBy("key").agg(F.collect_list(F.struct("anchor", "digest", "first", "last", "single")).alias("units"))
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    names = ["anchor", "sub", "digest", "offset", "key", "first", "last", "single", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches):
             out = []
             for key, text, units in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("units").to_pylist(), strict=True):
-                out += [(u["anchor"], u["digest"], key, u["first"], u["last"], u["single"], text[u["first"] : u["last"] + length]) for u in units]
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-            names = ["anchor", "digest", "key", "first", "last", "single", "bytes"]
+                for u in units:
+                    first, last = u["first"], u["last"]
+                    pieces = dealt_on(text[first : last + length], length) if u["anchor"] in hot else [(0, 0, last - first)]
+                    out += [(u["anchor"], sub, u["digest"], s, key, first + s, first + e, u["single"], text[first + s : first + e + length]) for sub, s, e in pieces]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
 
-    return rows.select("key", "text").join(by, "key").mapInArrow(run, "anchor bigint, digest binary, key binary, first bigint, last bigint, single boolean, bytes binary")
+    schema = "anchor bigint, sub bigint, digest binary, offset bigint, key binary, first bigint, last bigint, single boolean, bytes binary"
+    return rows.select("key", "text").join(by, "key").mapInArrow(run, schema)
 
 
 def _compared(length: int):
-    """Stream open units sorted by anchor, sort the suffixes of whole anchors block by block, and give the
+    """Stream open units sorted by anchor, sort the suffixes of whole anchors shard by shard, and give the
     (key, first, last) ranges of windows of single units that start elsewhere too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[tuple] = []
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            key, first, last = [], [], []
-            counts = [u[3] - u[2] + 1 for u in block]
-            twice = repeated_starts([u[5] for u in block], counts, length)
-            at = 0
-            for (_, k, s, _, single, _), n in zip(block, counts, strict=True):
-                if single:
-                    hit = np.flatnonzero(np.diff(np.concatenate([[0], twice[at : at + n].astype(np.int8), [0]])))
-                    for a, b in zip(hit[::2].tolist(), hit[1::2].tolist(), strict=True):
-                        key.append(k)
-                        first.append(s + a)
-                        last.append(s + b - 1)
-                at += n
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=["key", "first", "last"])
-
-        before = None
+        shard, group, before = Shard(length), None, None
         for b in batches:
-            seen = (b.column(c).to_pylist() for c in ("anchor", "digest", "key", "first", "last", "single", "bytes"))
-            for anchor, digest, key, first, last, single, data in zip(*seen, strict=True):
-                if block and before == (anchor, digest):
+            seen = (b.column(c).to_pylist() for c in ("anchor", "sub", "digest", "offset", "key", "first", "last", "single", "bytes"))
+            for anchor, sub, digest, offset, key, first, last, single, data in zip(*seen, strict=True):
+                if before == (anchor, sub, digest, offset):
                     continue  # the same unit from a repeated row
-                if held >= BLOCK and block[-1][0] != anchor:
-                    yield flush()
-                    block, held = [], 0
-                before = (anchor, digest)
-                block.append((anchor, key, first, last, single, data))
-                held += len(data)
-        if block:
-            yield flush()
+                if shard.size >= BLOCK and group != (anchor, sub):
+                    yield from shard.repeated()
+                    shard = Shard(length)
+                group, before = (anchor, sub), (anchor, sub, digest, offset)
+                shard.add(key, first, last, single, data)
+        if shard.size:
+            yield from shard.repeated()
 
     return run
 
@@ -385,8 +354,14 @@ def covered(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """key, first, last: ranges of window starts whose string starts elsewhere too; may touch or overlap."""
     units = _units(rows, length).repartition("anchor").sortWithinPartitions("anchor", "digest", "key", "first")
     told = stored(units.mapInArrow(_sorted_out, _SORTED), "suffix-units")
-    texts = _open_texts(rows, told.where("open"), length)
-    texts = texts.repartition("anchor").sortWithinPartitions("anchor", "digest")
+    opens = told.where("open")
+    # anchors that hold 1 / HOT of the open bytes, HOT at most, and more than a shard
+    size = F.sum(F.col("last") - F.col("first") + length)
+    total = opens.agg(size).first()[0] or 0
+    big = opens.groupBy("anchor").agg(size.alias("size")).where((F.col("size") * HOT >= total) & (F.col("size") > BLOCK))
+    hot = frozenset(r[0] for r in big.select("anchor").collect())
+    texts = _open_texts(rows, opens, length, hot)
+    texts = texts.repartition("anchor", "sub").sortWithinPartitions("anchor", "sub", "digest", "offset")
     found = texts.mapInArrow(_compared(length), "key binary, first bigint, last bigint")
     return told.where("whole").select("key", "first", "last").unionAll(found)
 
