@@ -8,8 +8,8 @@ parallel and any document's global start is one small offset away; files follow
 Texts are cut at plain blanks before encoding, which this tokenizer drops and never encodes across, and each
 distinct word is encoded by the library once for as long as it stays in a bounded table.
 
-Defined results: a null text is empty (its one id is the end id); null doc_ids come first; repeated rows are all
-written, in the order of their texts; an empty table gives an empty result; other columns are ignored.
+Defined results: a null text is empty (its one id is the end id); null doc_ids come first; rows of one doc_id are all
+written, in the order of their texts, and equal rows one after another; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ VOCABULARY = "word_bpe_49k.json"
 END = 2
 #: Distinct words kept with their ids in a Python worker; the table is emptied when full.
 CACHE = 300_000
+#: Characters of a text that tell rows of one doc_id apart when they are dealt out.
+HEAD = 32
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -119,7 +121,9 @@ def write_ids(docs: DataFrame, out: str, path: str | None = None, end: int = END
     """Encode doc_id and text of docs and write the ids (with `end` after each document) as ORC into `out`."""
     path = path or vocabulary_path()
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one doc_id are ranged on by how their texts begin, which is the order of the texts too
+    rows = rows.withColumn("head", F.substring("text", 1, HEAD))
+    rows = rows.repartitionByRange("doc_id", "head").sortWithinPartitions("doc_id", "head", "text").select("doc_id", "text")
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, shard int, slot bigint, before bigint, n_tokens bigint, ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
