@@ -51,7 +51,9 @@ def repeat_words(words: list[bytes]) -> int:
     """How many words lie in a 5-word window that occurs twice or more in the text."""
     if len(words) <= WINDOW:
         return 0
-    h = np.fromiter(map(hash, words), dtype=np.int64, count=len(words)).view(np.uint64)
+    import xxhash
+
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
     n = len(words) - WINDOW + 1
     w = h[:n].copy()
     for k in range(1, WINDOW):
@@ -237,14 +239,16 @@ def learn(
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20000, precision: float = 0.97) -> DecisionList:
     """Learn from at most `sample` labelled documents, those of the least hash of doc_id. quality 0 is bad.
 
-    Rows with a null doc_id or quality are left out; several labels of a document count as its lowest.
+    Rows with a null doc_id or quality are left out; several labels of a document count as its lowest, and of several
+    rows with one doc_id the one whose text has the least digest counts.
     """
     lab = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     lab = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most `sample` rows of two numbers, whatever the size of the tables
-    rows = counted(docs.join(F.broadcast(lab), "doc_id").select("doc_id", "text", "quality"), keep=["quality"])
-    got = rows.where(~base_failed()).select(F.col("row.quality").alias("quality"), *features().values()).limit(2 * sample)
-    got = got.toPandas()
+    found = docs.join(F.broadcast(lab), "doc_id").select("doc_id", "quality", "text", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest"))
+    rows = counted(found, keep=["doc_id", "quality", "digest"]).select("row.*", base_failed().alias("failed"), *features().values())
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("digest", "failed", "quality", *FEATURES)).alias("one")).select("one.*")
+    got = one.where("not failed").select("quality", *FEATURES).toPandas()
     got = got.sort_values([*FEATURES, "quality"])
     return learn(got[FEATURES].to_numpy(dtype=float).reshape(-1, len(FEATURES)), (got["quality"] == 0).to_numpy(dtype=bool), precision)
 
