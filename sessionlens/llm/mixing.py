@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import WORD, running_total, small, stored, table
+from sessionlens.llm.common import SMALL, WORD, joined, running_total, stored, table
 
 WEIGHTS = [3, 1, 2]
 SHARE = 1.5
@@ -25,15 +25,18 @@ BUCKET_ROWS = 2_000
 
 
 def sized(docs: DataFrame, keep: list[str], seed: int = SEED) -> DataFrame:
-    """row (a struct of `keep`), source, size in words, key: the hash-random order, and tie."""
+    """row (a struct of `keep`), source, size in words, key: the hash-random order (of doc_id and text, so that rows
+    of one doc_id are dealt out too), and tie."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    tie = F.md5(text)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     return docs.select(
         F.struct(*keep).alias("row"),
         F.col("source").isNull().alias("no_source"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key"),
-        F.md5(text).alias("tie"),
+        F.md5(F.concat(F.lit(f"{seed}:"), name, F.lit(":"), tie)).alias("key"),
+        tie.alias("tie"),
     )
 
 
@@ -73,8 +76,13 @@ def mixed(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """
     buckets = F.greatest(F.ceil(F.col("rows") / BUCKET_ROWS), F.lit(1))
     plan = stored(plan, "mix-plan")
-    # a row for each source; if it goes to all executors, no exchange by source alone gathers a hot source
-    rows = rows.join(small(plan), ["no_source", "source"])
+    # a row for each source; to all executors where they are few, else only those of hot sources, so that no exchange
+    # by source alone gathers one
+    if len(plan.take(SMALL + 1)) <= SMALL:
+        rows = rows.join(F.broadcast(plan), ["no_source", "source"])
+    else:
+        name = F.concat(F.col("no_source").cast("string"), F.lit(":"), F.col("source"))
+        rows = joined(rows.withColumn("__of", name), plan.withColumn("__of", name).drop("no_source", "source"), "__of", "rows").drop("__of")
     rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)))
     rows = running_total(rows, ["no_source", "source"], "bucket", ["key", "tie"], "size", "start")
     goal = F.floor("target")
@@ -123,7 +131,7 @@ _SIZES = r"""
 sized AS (
   SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS source,
     length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'x', 'g'), '[\x20\x09-\x0D]', '', 'g')) AS size,
-    md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key, md5(coalesce(text, '')) AS tie
+    md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS key, md5(coalesce(text, '')) AS tie
   FROM documents)"""
 
 ORACLE_SQL = f"""
