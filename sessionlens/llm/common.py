@@ -102,9 +102,16 @@ def _oriented(a: Column, b: Column) -> list[Column]:
     return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
 
+#: Rows of an edge list up to which its nodes (no more than rows) are sent to every executor.
+FEW_EDGES = 100_000
+
+
 def _with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """rows (u, v) with the m of their u. least: u, m and n, the rows of u among `total`; nodes with 1 / HOT of
-    them, HOT at most, go to all executors, so that no task gathers the rows of a hub."""
+    them, HOT at most, go to all executors, so that no task gathers the rows of a hub. So do all nodes of no more
+    than FEW_EDGES rows."""
+    if total <= FEW_EDGES:
+        return rows.join(F.broadcast(least.drop("n")), "u")
     hot = F.col("n") * HOT >= total
     few = F.broadcast(least.where(hot).drop("n"))
     rest = rows.join(F.broadcast(least.where(hot).select("u")), "u", "left_anti")

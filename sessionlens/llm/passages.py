@@ -1,10 +1,12 @@
 """Passages of at least `RUN` words that repeat word for word, wherever they begin and whatever the line layout.
 
-A window is RUN words in a row; equal windows have equal least hashes of their 25-word parts. Leasts that occur
-twice anywhere are kept in one bitmap (a filter only: what it lets through too much goes at the exact step), and all
-windows whose least is in it are grouped by their own hash. The first window (least doc_id, then position) stays, the
-others are repeats; within its own document a repeat doesn't overlap the first. Touching repeats make one passage.
-Windows of hot leasts are compared inside each task first: only a task's earliest row of such a window goes on to the
+A window is RUN words in a row; equal windows have equal least hashes of their 25-word parts. Windows in a row with
+one least are a unit. Leasts that occur twice anywhere are kept in one bitmap, those that occur in units that differ
+in another (filters only: what they let through too much goes at the exact step). A repeated least whose units are all
+equal sends a row for each unit, the others one for each window, and rows are grouped by the hash of their words. The
+first (least doc_id, then position) stays, the others are repeats; within its own document a repeat doesn't overlap the
+first (units of one least that overlap count as different). Touching repeats make one passage.
+Rows of hot leasts are compared inside each task first: only a task's earliest row of equal ones goes on to the
 others', the rest are repeats already. So no window's rows meet in one task, however common it is.
 Texts are read twice and never shuffled. Words are lower-cased (ASCII) and compared by 64-bit hashes.
 
@@ -27,11 +29,15 @@ from sessionlens.llm.near import MIX, U64, splitmix
 
 RUN = 50
 PART = RUN // 2
+#: Windows of a unit at most, so that its first and its last window hold all its words.
+SPAN = RUN - PART + 1
 FACTOR, FACTOR5 = U64(int(MIX) ** 2 % 2**64), U64(int(MIX) ** 10 % 2**64)
-#: Bits of the bitmap for each repeated least, and at most (32 MB; beyond, more windows go to the exact step).
+#: Bits of the bitmap for each repeated least, and at most (32 MB a bitmap; beyond, more windows go to the exact step).
 BITS, MOST_BITS = 16, 1 << 28
 #: Bytes of text taken at once.
 SLICE = 1 << 20
+#: Hot rows that a task remembers; beyond, it begins anew and the tasks that follow compare what it had.
+MOST_EARLIEST = 1 << 17
 
 
 def _rolled(h: np.ndarray, k: int, step: int, factor: np.uint64) -> np.ndarray:
@@ -89,15 +95,26 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
     pa.default_memory_pool().release_unused()
 
 
+def _units(doc: np.ndarray, least: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, hash) of every unit: one begins at a new least, and after SPAN windows of one."""
+    new = np.concatenate([[True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])])
+    at = np.arange(len(doc))
+    begins = np.flatnonzero((at - np.maximum.accumulate(np.where(new, at, 0))) % SPAN == 0)
+    lasts = np.concatenate([begins[1:], [len(doc)]]) - 1
+    return begins, lasts, splitmix(whole[begins] * MIX ^ splitmix(whole[lasts] + (lasts - begins).astype(U64)))
+
+
 def _leasts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The least of every place that is one: once a run of windows, and again where a run is longer than one place's."""
+    """The least and the hash of every unit; another hash where it overlaps one of its text with the same least."""
     for _, texts in _slices(batches):
-        doc, _, _, least, _ = windows(texts)
+        doc, start, end, least, whole = windows(texts)
         if len(doc):
-            new = np.concatenate([[True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])])
-            at = np.arange(len(doc))
-            since = at - np.maximum.accumulate(np.where(new, at, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(least[since % (RUN - PART + 1) == 0].view(np.int64))], names=["least"])
+            begins, lasts, unit = _units(doc, least, whole)
+            doc, start, end, least = doc[begins], start[begins], end[lasts], least[begins]
+            order = np.lexsort((start, least, doc))
+            a, b = order[:-1], order[1:]
+            unit[b[(doc[a] == doc[b]) & (least[a] == least[b]) & (start[b] < end[a])]] ^= U64(1)
+            yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(unit.view(np.int64))], names=["least", "unit"])
 
 
 class Earliest:
@@ -185,19 +202,23 @@ def found(docs: DataFrame) -> DataFrame:
     first_doc) for every further document that a passage repeats."""
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    many = stored(texts.mapInArrow(_leasts, "least bigint").groupBy("least").agg(F.count("*").alias("n")).where("n > 1"), "passage-leasts")
+    by = texts.mapInArrow(_leasts, "least bigint, unit bigint").groupBy("least").agg(F.count("*").alias("n"), (F.min("unit") != F.max("unit")).alias("several"))
+    many = stored(by.where("n > 1"), "passage-leasts")
     total = many.agg(F.count("*").alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     bits = 1 << 10
     while bits < min(BITS * total["kinds"], MOST_BITS):
         bits *= 2
-    bit = F.col("least").bitwiseAND(F.lit(bits - 1))
-    rows = many.select(F.shiftright(bit, 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(least & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bitmap = np.zeros(bits // 64, dtype=np.int64)
-    bitmap[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    at = F.col("least").bitwiseAND(F.lit(bits - 1))
+    bit = F.expr("shiftleft(1L, cast(least & 63 as int))")
+    rows = many.select(F.shiftright(at, 6).cast("int").alias("at"), bit.alias("bit"), F.when(F.col("several"), bit).otherwise(F.lit(0)).alias("more"))
+    rows = rows.groupBy("at").agg(F.bit_or("bit").alias("repeated"), F.bit_or("more").alias("several")).toArrow()
+    bitmaps = np.zeros((2, bits // 64), dtype=np.int64)
+    for k, name in enumerate(("repeated", "several")):
+        bitmaps[k][rows.column("at").to_numpy()] = rows.column(name).to_numpy()
     # HOT of them at most, each with that part of the rows or more
     hot = np.array([r[0] for r in many.where(F.col("n") * HOT >= total["rows"]).select("least").collect()], dtype=np.int64)
     released(many)
-    shared = spark.sparkContext.broadcast((bitmap, hot))
+    shared = spark.sparkContext.broadcast((bitmaps, hot))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,13 +234,28 @@ def found(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), id_type, pa.int32(), pa.int32(), id_type)
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((h, lane, doc, start, end, of), kinds, strict=True)], names=names)
 
+        def rest(earliest: Earliest) -> Iterator[pa.RecordBatch]:
+            rows = [(k, 0, row, None) for k, row in earliest.rows.items()]
+            for at in range(0, len(rows), 1 << 14):
+                yield batch(rows[at : at + (1 << 14)])
+
         for b, texts_ in _slices(batches):
             id_type = b.column("doc_id").type
             doc, start, end, least, h = windows(texts_)
-            place = least & U64(bits - 1)
-            fit = (have[place >> U64(6)] >> (place & U64(63))) & U64(1) != 0
-            is_hot = fit & np.isin(least, hot) if len(hot) else np.zeros(len(fit), dtype=bool)
-            at = np.flatnonzero(fit & ~is_hot)
+            if not len(doc):
+                continue
+            begins, lasts, unit = _units(doc, least, h)
+            place = least[begins] & U64(bits - 1)
+            repeated, several = ((x[place >> U64(6)] >> (place & U64(63))) & U64(1) != 0 for x in have)
+            is_hot = repeated & np.isin(least[begins], hot) if len(hot) else np.zeros(len(begins), dtype=bool)
+            # a row for each unit, or for each of its windows
+            one = np.flatnonzero(repeated & ~several)
+            each = np.flatnonzero(np.repeat(several, lasts - begins + 1))
+            of = np.searchsorted(begins, each, "right") - 1
+            is_hot = np.concatenate([is_hot[one], is_hot[of]])
+            h = np.concatenate([unit[one], h[each]])
+            doc, start, end = np.concatenate([doc[begins[one]], doc[each]]), np.concatenate([start[begins[one]], start[each]]), np.concatenate([end[lasts[one]], end[each]])
+            at = np.flatnonzero(~is_hot)
             n, ids = len(at), b.column("doc_id").take(pa.array(doc[at]))
             cols = [pa.array(h[at].view(np.int64)), pa.array(np.zeros(n, dtype=np.int32)), ids, pa.array(start[at], pa.int32()), pa.array(end[at], pa.int32()), pa.nulls(n, id_type)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
@@ -230,9 +266,10 @@ def found(docs: DataFrame) -> DataFrame:
                 rows = [(k, 1 + i % LANES, row, of) for i, (k, row, of) in enumerate(done)] + [(k, 0, row, None) for k, row in open_]
                 if rows:
                     yield batch(rows)
-        rest = [(k, 0, row, None) for k, row in earliest.rows.items()]
-        for at in range(0, len(rest), 1 << 14):
-            yield batch(rest[at : at + (1 << 14)])
+                if len(earliest.rows) > MOST_EARLIEST:
+                    yield from rest(earliest)
+                    earliest = Earliest()
+        yield from rest(earliest)
 
     rows = texts.mapInArrow(candidates, _ROW.format(kind)).repartition("h", "lane").sortWithinPartitions("h", "lane", "doc_id", "start")
     schema = f"doc_id {kind}, start int, end int, first_doc {kind}"
