@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ TYPES = {
     "technology": "technology", "language": "technology", "person": "person", "user": "person", "org": "organization",
     "organization": "organization", "company": "organization", "commit": "commit", "pr": "pr", "concept": "concept",
 }
+# The types that entities of extracted memories have, and the raw types renamed to them.
+MEMORY_TYPES = ["technology", "concept", "dataset", "model", "org", "person", "tool", "file", "commit", "pr"]
+RENAMED_TYPES = {"framework": "technology", "algorithm": "concept", "project": "technology", "org": "org", "tool": "technology"}
 FILE_IN_COMMAND = r"""/[^\s"']+\.[a-zA-Z0-9]+"""
 COMMIT = r"\b[0-9a-f]{7,40}\b"
 PULL = r"PR\s*#(\d+)"
@@ -36,6 +41,13 @@ def normal_type(kind: Column) -> Column:
     return out
 
 
+def shared_type(kind: Column) -> Column:
+    """The shared vocabulary's type of a raw one: renamed, or as it is if the vocabulary has it, or concept."""
+    low = F.lower(F.regexp_replace(kind, r"^\s+|\s+$", ""))
+    renamed = F.create_map(*[F.lit(x) for pair in RENAMED_TYPES.items() for x in pair])
+    return F.coalesce(F.try_element_at(renamed, low), F.when(low.isin(MEMORY_TYPES), low), F.lit("concept"))
+
+
 def command_mentions(df: DataFrame, keep: list[str], command: str) -> DataFrame:
     """keep, name, entity_type, role, pos: files, commits (with a letter) and pull requests named in a command."""
     files = F.transform(F.regexp_extract_all(command, F.lit(FILE_IN_COMMAND), F.lit(0)), lambda x: F.struct(x.alias("name"), F.lit("file").alias("entity_type"), F.lit("subject").alias("role")))
@@ -72,9 +84,48 @@ def upserted(old: DataFrame, mentions: DataFrame) -> DataFrame:
 
 
 def fuzzy_resolved(mentions: DataFrame, most: int = 2) -> DataFrame:
-    """(mention_id, canonical_id): each mention goes to the first earlier one of its type within `most` edits.
+    """(mention_id, canonical_id): each mention goes to the first earlier one of its type within `most` edits, be that
+    one canonical itself or not. `resolved_in_order` compares with canonical ones only."""
+    low, near = _near_names(mentions, most)
+    near = near.groupBy("entity_type", "m").agg(F.min("first").alias("canonical_id"))
+    return low.join(near.withColumnRenamed("m", "n"), ["entity_type", "n"]).select("mention_id", "canonical_id")
 
-    mentions: mention_id (in order of sight), name, entity_type. A blocked theta join: names within `most` edits
+
+def resolved_in_order(mentions: DataFrame, most: int = 2) -> DataFrame:
+    """(mention_id, canonical_id): in order of sight, each mention goes to the first canonical name of its type
+    within `most` edits, or becomes canonical itself.
+
+    mentions: mention_id (in order of sight), name, entity_type. A name is canonical if none of its earlier
+    neighbours is, so each round settles the names whose earlier neighbours are all settled or one of which is
+    canonical already; rounds go on until all are settled, as many as the longest chain of earlier neighbours. Each round's
+    table is a reliable checkpoint. Null names and types are left out.
+    """
+    spark = mentions.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sl_ckpt_"))
+    low, near = _near_names(mentions.where("name is not null and entity_type is not null"), most)
+    near = near.where("first < at").select("at", "first").checkpoint()
+    none = F.lit(None).cast("boolean")
+    state = low.groupBy("entity_type", "n").agg(F.min("mention_id").alias("at")).select("at")
+    state = state.join(near.select("at").distinct().withColumn("later", F.lit(True)), "at", "left")
+    state = state.select("at", F.when(F.col("later"), none).otherwise(F.lit(True)).alias("canonical")).checkpoint()
+    while not state.where("canonical is null").isEmpty():
+        of = near.join(state.withColumnRenamed("at", "first"), "first").groupBy("at").agg(F.bool_or("canonical").alias("some"), F.count_if(F.col("canonical").isNull()).alias("open"))
+        found = F.when(F.col("some"), F.lit(False)).when(F.col("open") == 0, F.lit(True))
+        state = state.join(of, "at", "left").select("at", F.coalesce("canonical", found).alias("canonical")).checkpoint()
+    kept = state.where("canonical").select(F.col("at").alias("first"))
+    first = near.join(kept, "first", "left_semi").groupBy("at").agg(F.min("first").alias("canonical_id"))
+    names = low.groupBy("entity_type", "n").agg(F.min("mention_id").alias("at")).join(first, "at", "left")
+    return low.join(names, ["entity_type", "n"]).select("mention_id", F.coalesce("canonical_id", "at").alias("canonical_id"))
+
+
+def _near_names(mentions: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The mentions with lower-case names n, and (entity_type, m, at, n, first): every name m, first seen at `at`, with
+    each name n seen no later, at `first`, within `most` edits (itself too).
+
+    A blocked theta join: names within `most` edits
     differ by at most that in length and share one of their pieces when cut into most + 1 (the pigeonhole
     principle), so candidates meet on (type, piece number and text, length) and edits are counted for those alone.
     """
@@ -96,9 +147,8 @@ def fuzzy_resolved(mentions: DataFrame, most: int = 2) -> DataFrame:
     on = ["entity_type", "base", "i", "p"]
     index = index.select("entity_type", "n", "first", "base", "q.i", "q.p")
     probe = probe.select("entity_type", "m", "at", "base", "q.i", "q.p")
-    near = probe.join(index, on).where("first <= at").select("entity_type", "m", "n", "first").distinct()
-    near = near.where(F.levenshtein("m", "n", most) >= 0).groupBy("entity_type", "m").agg(F.min("first").alias("canonical_id"))
-    return low.join(near.withColumnRenamed("m", "n"), ["entity_type", "n"]).select("mention_id", "canonical_id")
+    near = probe.join(index, on).where("first <= at").select("entity_type", "m", "at", "n", "first").distinct()
+    return low, near.where(F.levenshtein("m", "n", most) >= 0)
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -96,7 +96,7 @@ def sc11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _written_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id < 20")
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     block = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
     body = F.to_json(F.struct(F.col("role").alias("type"), F.col("conv_id").cast("string").alias("sessionId"), F.struct(block.alias("content"), F.lit("m1").alias("model")).alias("message")))
     folder = scratch(spark, "jsonl")
@@ -123,14 +123,16 @@ def sc13(c):
     return H.opencode_turns(session, message, part).select("session_id", F.col("pos").cast("long").alias("pos"), "role", "text")
 
 
-@query("sc16_session_batch_write")
+@query("sc16_session_batch_write", "SELECT o_orderkey AS id, o_orderpriority AS note, coalesce(n, 0) AS memories FROM orders LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def sc16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same batch written twice: the second time adds nothing."""
-    s = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 500").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("note"))
+    """The same batch of two tables, one with a composite key, written twice: the second time adds nothing."""
+    s = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("note"))
+    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("memory_id"), F.col("l_orderkey").alias("session_id"))
     folder = scratch(spark, "batch")
-    TB.written_session({"sessions": s}, folder)
-    TB.written_session({"sessions": s}, folder)
-    return spark.read.parquet(f"{folder}/sessions")
+    for _ in range(2):
+        TB.written_session({"sessions": s, "memory_sources": x}, folder)
+    n = spark.read.parquet(f"{folder}/memory_sources").groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("memories"))
+    return spark.read.parquet(f"{folder}/sessions").join(n, "id", "left").select("id", "note", F.coalesce("memories", F.lit(0)).alias("memories"))
 
 
 @add("sc18_vector_upsert", "vectors", "SELECT record_id, CASE WHEN record_id % 4 = 0 THEN 1.0 ELSE round(CAST(embedding[1] AS DOUBLE), 6) END AS first_component FROM vectors")
@@ -167,7 +169,7 @@ def p9(p):
 def _written_files(spark: SparkSession, sf_dir: str) -> str:
     """Pages as files of several kinds in a folder: chats, transcripts and notes."""
     folder = scratch(spark, "files")
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id < 24")
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     chat = F.to_json(F.struct(F.concat(F.lit("s"), F.col("page_id").cast("string")).alias("sessionId"), F.array(F.struct(F.lit("user").alias("type"), F.col("url").alias("content")), F.struct(F.lit("gemini").alias("type"), F.lit("ok").alias("content"))).alias("messages")))
     rows = p.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("project"), chat.alias("value"))
     rows.repartition(24, "project").write.partitionBy("project").text(f"{folder}/chats")
@@ -196,7 +198,7 @@ def sc7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(1, copied[0]), (2, copied[1])], "pass int, copied long")
 
 
-@query("sc12_chat_parse", "SELECT 's' || CAST(page_id AS VARCHAR) AS session_id, pos, CASE pos WHEN 0 THEN 'user' ELSE 'gemini' END AS type, CASE pos WHEN 0 THEN url ELSE 'ok' END AS content FROM pages, (SELECT unnest(range(2)) AS pos) WHERE page_id < 24")
+@query("sc12_chat_parse", "SELECT 's' || CAST(page_id AS VARCHAR) AS session_id, pos, CASE pos WHEN 0 THEN 'user' ELSE 'gemini' END AS type, CASE pos WHEN 0 THEN url ELSE 'ok' END AS content FROM pages, (SELECT unnest(range(2)) AS pos)")
 def sc12(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{_written_files(spark, sf_dir)}/chats"
     whole = spark.read.text(folder).select(F.from_json("value", H.GEMINI).alias("s"))
@@ -204,10 +206,10 @@ def sc12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session_id", F.col("pos").cast("long").alias("pos"), "m.type", "m.content")
 
 
-@query("sc17_analytics_batch_write")
+@query("sc17_analytics_batch_write", "SELECT o_orderkey % 5 AS id, count(*) AS n, 1 AS runs FROM orders GROUP BY 1")
 def sc17(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analytics tables and their run record in one batch."""
-    s = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 200")
+    s = spark.read.parquet(f"{sf_dir}/orders.parquet")
     folder = scratch(spark, "analytics")
     labels = s.groupBy((F.col("o_orderkey") % 5).alias("id")).agg(F.count("*").alias("n"))
     TB.written_session({"clusters": labels, "analytics_runs": spark.createDataFrame([("run-1", "clusters")], "id string, kind string")}, folder)
@@ -240,7 +242,7 @@ def p4(p):
 
 def _tool_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations as agent turns: every assistant turn calls a tool, every later one also gets its result."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id < 40")
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     call = F.to_json(F.array(F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("u"), F.col("turn").cast("string")).alias("id"), F.lit("Bash").alias("name"), F.struct(F.concat(F.lit("run "), F.col("turn").cast("string")).alias("command")).alias("input"))))
     result = F.to_json(F.array(F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("u"), F.col("turn").cast("string")).alias("tool_use_id"), F.left("text", F.lit(4000)).alias("content"), (F.col("turn") % 2 == 0).alias("is_error"))))
     message = lambda kind, content, result_of: F.to_json(F.struct(F.lit(kind).alias("type"), result_of.alias("toolUseResult"), F.struct(content.alias("content")).alias("message")))
@@ -255,12 +257,12 @@ def _tool_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.jsonl_exchanges(rows.select(F.col("conv_id").cast("string").alias("path"), "line", "m", blocks.alias("blocks"), F.lit(None).cast("string").alias("plain")))
 
 
-@query("p8_evidence_text", "WITH x AS (SELECT conv_id, turn, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS exchange FROM conversations WHERE conv_id < 40) SELECT CAST(conv_id AS VARCHAR) AS path, CAST(exchange AS BIGINT) AS exchange, string_agg('[tool: Bash(command=run ' || CAST(turn AS VARCHAR) || ')]' || chr(10) || substr(text, 1, 4000), chr(10) || chr(10) ORDER BY turn) AS evidence FROM x WHERE role = 'assistant' AND exchange >= 0 GROUP BY 1, 2")
+@query("p8_evidence_text", "WITH x AS (SELECT conv_id, turn, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS exchange FROM conversations) SELECT CAST(conv_id AS VARCHAR) AS path, CAST(exchange AS BIGINT) AS exchange, string_agg('[tool: Bash(command=run ' || CAST(turn AS VARCHAR) || ')]' || chr(10) || substr(text, 1, 4000), chr(10) || chr(10) ORDER BY turn) AS evidence FROM x WHERE role = 'assistant' AND exchange >= 0 GROUP BY 1, 2")
 def p8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.evidence(_tool_turns(spark, sf_dir)).select("path", F.col("exchange").cast("long").alias("exchange"), "evidence")
 
 
-@query("p12_turn_descriptors", "WITH x AS (SELECT conv_id, turn, role, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS exchange FROM conversations WHERE conv_id < 40) SELECT CAST(conv_id AS VARCHAR) AS path, CAST(exchange AS BIGINT) AS exchange, count(*) FILTER (WHERE role = 'assistant') AS model_turns, count(*) FILTER (WHERE role = 'assistant') AS calls, count(*) FILTER (WHERE role = 'assistant' AND turn % 2 = 0) AS errors FROM x WHERE exchange >= 0 GROUP BY 1, 2")
+@query("p12_turn_descriptors", "WITH x AS (SELECT conv_id, turn, role, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS exchange FROM conversations) SELECT CAST(conv_id AS VARCHAR) AS path, CAST(exchange AS BIGINT) AS exchange, count(*) FILTER (WHERE role = 'assistant') AS model_turns, count(*) FILTER (WHERE role = 'assistant') AS calls, count(*) FILTER (WHERE role = 'assistant' AND turn % 2 = 0) AS errors FROM x WHERE exchange >= 0 GROUP BY 1, 2")
 def p12(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = H.descriptors(_tool_turns(spark, sf_dir))
     return d.select("path", F.col("exchange").cast("long").alias("exchange"), F.col("model_turn_count").alias("model_turns"), F.size("tool_calls").cast("long").alias("calls"), F.size(F.filter("tool_errors", lambda e: e)).cast("long").alias("errors"))

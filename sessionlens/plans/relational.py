@@ -145,11 +145,10 @@ def j8(m, v):
     return m.join(v.select(F.col("record_id").alias("memory_id")), "memory_id", "left_semi").select("memory_id")
 
 
-@add("j9_chunks_sharing_entity", "occurrences", "SELECT DISTINCT a.record_id, b.record_id AS other FROM occurrences a JOIN occurrences b ON a.entity_id = b.entity_id AND a.record_id <> b.record_id WHERE a.session_id % 50 = 7")
+@add("j9_chunks_sharing_entity", "occurrences", "SELECT DISTINCT a.record_id, b.record_id AS other FROM occurrences a JOIN occurrences b ON a.entity_id = b.entity_id AND a.record_id <> b.record_id")
 def j9(o):
-    pairs = o.select("record_id", "entity_id", "session_id").distinct()
-    a = pairs.where("session_id % 50 = 7").select("record_id", "entity_id")
-    b = pairs.select(F.col("record_id").alias("other"), "entity_id")
+    a = o.select("record_id", "entity_id").distinct()
+    b = a.select(F.col("record_id").alias("other"), "entity_id")
     return a.join(b, "entity_id").where("record_id <> other").select("record_id", "other").distinct()
 
 
@@ -200,6 +199,16 @@ def j17(e):
     return E.fuzzy_resolved(e.select(F.col("entity_id").alias("mention_id"), F.col("canonical_name").alias("name"), "entity_type"))
 
 
+@add("j17_resolved_in_order", "entities", """WITH RECURSIVE names AS (SELECT *, row_number() OVER (PARTITION BY entity_type ORDER BY first) AS r FROM (SELECT entity_type, lower(canonical_name) AS n, min(entity_id) AS first FROM entities GROUP BY 1, 2)),
+  fold AS (SELECT entity_type, n, r, first AS canonical_id, [{'first': first, 'n': n}] AS made FROM names WHERE r = 1
+    UNION ALL SELECT d.entity_type, d.n, d.r, coalesce(list_filter(f.made, lambda x: levenshtein(x.n, d.n) <= 2)[1].first, d.first),
+      CASE WHEN len(list_filter(f.made, lambda x: levenshtein(x.n, d.n) <= 2)) > 0 THEN f.made ELSE list_append(f.made, {'first': d.first, 'n': d.n}) END
+    FROM fold f JOIN names d ON d.entity_type = f.entity_type AND d.r = f.r + 1)
+  SELECT e.entity_id AS mention_id, f.canonical_id FROM entities e JOIN fold f ON e.entity_type = f.entity_type AND lower(e.canonical_name) = f.n""")
+def j17r(e):
+    return E.resolved_in_order(e.select(F.col("entity_id").alias("mention_id"), F.col("canonical_name").alias("name"), "entity_type"))
+
+
 @add("j18_any_case_name", "entities part", "SELECT e.entity_id, min(p.p_partkey) AS first_match FROM entities e JOIN part p ON lower(upper(p.p_name)) = lower(e.canonical_name) GROUP BY 1")
 def j18(e, p):
     first = p.groupBy(F.lower(F.upper("p_name")).alias("k")).agg(F.min("p_partkey").alias("first_match"))
@@ -438,9 +447,9 @@ def q1(s, m, x, mem):
     return out.select("session_id", "ts", "memories", "recoveries", "input_tokens").orderBy(F.desc("ts"), "session_id")
 
 
-@add("q2_session_entities", "occurrences entities", "SELECT o.session_id, e.canonical_name, e.entity_type, e.confidence, count(*) AS occurrences FROM occurrences o JOIN entities e ON o.entity_id = e.entity_id WHERE o.session_id < 40 GROUP BY 1, 2, 3, 4")
+@add("q2_session_entities", "occurrences entities", "SELECT o.session_id, e.canonical_name, e.entity_type, e.confidence, count(*) AS occurrences FROM occurrences o JOIN entities e ON o.entity_id = e.entity_id GROUP BY 1, 2, 3, 4")
 def q2(o, e):
-    return o.where("session_id < 40").join(e, "entity_id").groupBy("session_id", "canonical_name", "entity_type", "confidence").agg(n().alias("occurrences"))
+    return o.join(e, "entity_id").groupBy("session_id", "canonical_name", "entity_type", "confidence").agg(n().alias("occurrences"))
 
 
 @add("q3_entities_by_type", "occurrences entities", "SELECT o.session_id, e.entity_type, string_agg(DISTINCT e.canonical_name, ',' ORDER BY e.canonical_name) AS names FROM occurrences o JOIN entities e ON o.entity_id = e.entity_id GROUP BY 1, 2")

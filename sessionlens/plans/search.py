@@ -72,7 +72,7 @@ def r2s(records):
     return R.bm25(records, "record_id", "chunk_text", QUERY, 50, stem=True)
 
 
-@add("r2_postings", "records", f"SELECT doc, term, count(*) AS tf, max(dl) AS dl FROM (SELECT record_id AS doc, len(toks) AS dl, unnest(toks) AS term FROM (SELECT record_id, {TOKENS.format('chunk_text').replace('{{', '{').replace('}}', '}')} AS toks FROM records WHERE record_id < 1000000)) GROUP BY 1, 2")
+@add("r2_postings", "records", f"SELECT doc, term, count(*) AS tf, max(dl) AS dl FROM (SELECT record_id AS doc, len(toks) AS dl, unnest(toks) AS term FROM (SELECT record_id, {TOKENS.format('chunk_text').replace('{{', '{').replace('}}', '}')} AS toks FROM records)) GROUP BY 1, 2")
 def r2p(records):
     return R.postings(records, "record_id", "chunk_text").select("doc", "term", "tf", "dl")
 
@@ -122,19 +122,14 @@ def r7(records, vectors):
 _EDGES = "SELECT a.session_id AS src, b.session_id AS tgt, a.entity_id AS via, 1.0 / n.n AS weight FROM (SELECT DISTINCT session_id, entity_id FROM occurrences) a JOIN (SELECT DISTINCT session_id, entity_id FROM occurrences) b ON a.entity_id = b.entity_id AND a.session_id <> b.session_id JOIN (SELECT entity_id, count(DISTINCT session_id) AS n FROM occurrences GROUP BY 1) n ON a.entity_id = n.entity_id"
 
 
-def _slice(occ):
-    """A project's own occurrences: the sessions of every tenth order."""
-    return occ.where("session_id % 10 = 0")
-
-
-@add("g1_structural_edges", "occurrences", f"SELECT src, tgt, via, round(weight, 8) AS weight FROM ({_EDGES.replace('occurrences', '(SELECT * FROM occurrences WHERE session_id % 10 = 0)')})")
+@add("g1_structural_edges", "occurrences", f"SELECT src, tgt, via, round(weight, 8) AS weight FROM ({_EDGES})")
 def g1(occ):
-    return G.shared_edges(_slice(occ), "session_id", "entity_id").select("src", "tgt", F.col("entity_id").alias("via"), F.round("weight", 8).alias("weight"))
+    return G.shared_edges(occ, "session_id", "entity_id").select("src", "tgt", F.col("entity_id").alias("via"), F.round("weight", 8).alias("weight"))
 
 
-@add("j11_sessions_sharing", "occurrences", f"SELECT src, tgt, count(*) AS shared FROM ({_EDGES.replace('occurrences', '(SELECT * FROM occurrences WHERE session_id % 10 = 0)')}) GROUP BY 1, 2")
+@add("j11_sessions_sharing", "occurrences", f"SELECT src, tgt, count(*) AS shared FROM ({_EDGES}) GROUP BY 1, 2")
 def j11(occ):
-    return G.shared_edges(_slice(occ), "session_id", "entity_id").groupBy("src", "tgt").agg(F.count("*").alias("shared"))
+    return G.shared_edges(occ, "session_id", "entity_id").groupBy("src", "tgt").agg(F.count("*").alias("shared"))
 
 
 @add("g2_workspace_edges", "customer", "SELECT a.c_custkey AS src, b.c_custkey AS tgt, round(1.0 / n, 8) AS weight FROM (SELECT c_custkey, concat(c_nationkey, c_mktsegment) AS w, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n FROM customer) a JOIN (SELECT c_custkey, concat(c_nationkey, c_mktsegment) AS w FROM customer) b ON a.w = b.w AND a.c_custkey <> b.c_custkey")
@@ -158,9 +153,9 @@ def w16(occ):
     return by.withColumn("r", F.row_number().over(w)).where("r <= 3").drop("r")
 
 
-@add("g4_shared_memory_edges", "memberships memory_sources", "WITH s AS (SELECT DISTINCT cluster_id, session_id FROM memberships JOIN memory_sources ON member_id = memory_id WHERE session_id % 20 = 0), n AS (SELECT cluster_id, count(*) AS n FROM s GROUP BY 1) SELECT a.session_id AS src, b.session_id AS tgt, a.cluster_id, round(1.0 / n.n, 8) AS weight FROM s a JOIN s b ON a.cluster_id = b.cluster_id AND a.session_id <> b.session_id JOIN n ON a.cluster_id = n.cluster_id")
+@add("g4_shared_memory_edges", "memberships memory_sources", "WITH s AS (SELECT DISTINCT cluster_id, session_id FROM memberships JOIN memory_sources ON member_id = memory_id), n AS (SELECT cluster_id, count(*) AS n FROM s GROUP BY 1) SELECT a.session_id AS src, b.session_id AS tgt, a.cluster_id, round(1.0 / n.n, 8) AS weight FROM s a JOIN s b ON a.cluster_id = b.cluster_id AND a.session_id <> b.session_id JOIN n ON a.cluster_id = n.cluster_id")
 def g4(c, x):
-    s = c.join(x.where("session_id % 20 = 0"), c["member_id"] == x["memory_id"])
+    s = c.join(x, c["member_id"] == x["memory_id"])
     return G.shared_edges(s, "session_id", "cluster_id").select("src", "tgt", "cluster_id", F.round("weight", 8).alias("weight"))
 
 
@@ -198,9 +193,9 @@ def r8(occ, sources, memories):
     return found.select("memory_id", "evidence", "access")
 
 
-@add("set3_visited_difference", "occurrences", "WITH e AS (SELECT DISTINCT a.session_id AS src, b.session_id AS tgt FROM occurrences a JOIN occurrences b ON a.entity_id = b.entity_id AND a.session_id <> b.session_id WHERE a.session_id % 10 = 0 AND b.session_id % 10 = 0), one AS (SELECT DISTINCT tgt FROM e WHERE src = 0), two AS (SELECT DISTINCT e.tgt FROM e JOIN one ON e.src = one.tgt) SELECT tgt FROM two WHERE tgt <> 0 AND tgt NOT IN (SELECT tgt FROM one)")
+@add("set3_visited_difference", "occurrences", "WITH e AS (SELECT DISTINCT a.session_id AS src, b.session_id AS tgt FROM occurrences a JOIN occurrences b ON a.entity_id = b.entity_id AND a.session_id <> b.session_id), one AS (SELECT DISTINCT tgt FROM e WHERE src = 0), two AS (SELECT DISTINCT e.tgt FROM e JOIN one ON e.src = one.tgt) SELECT tgt FROM two WHERE tgt <> 0 AND tgt NOT IN (SELECT tgt FROM one)")
 def set3(occ):
-    e = G.shared_edges(_slice(occ), "session_id", "entity_id").select("src", "tgt").distinct()
+    e = G.shared_edges(occ, "session_id", "entity_id").select("src", "tgt").distinct()
     one = e.where("src = 0").select("tgt").distinct()
     two = e.join(one.withColumnRenamed("tgt", "src"), "src").select("tgt").distinct()
     return two.where("tgt <> 0").join(one, "tgt", "left_anti")
@@ -240,9 +235,9 @@ def r12(m, r):
     return m.join(n, "memory_id", "left").select("memory_id", (F.col("access") + F.coalesce("n", F.lit(0))).alias("access"))
 
 
-@add("r13_related_with_reasons", "occurrences entities", "WITH p AS (SELECT DISTINCT session_id, entity_id FROM occurrences WHERE session_id % 10 = 0), e AS (SELECT a.session_id AS src, b.session_id AS tgt, n.canonical_name AS reason FROM p a JOIN p b ON a.entity_id = b.entity_id AND a.session_id <> b.session_id JOIN entities n ON a.entity_id = n.entity_id) SELECT src, tgt, count(DISTINCT reason) AS reasons, array_to_string(list_sort(list(DISTINCT reason))[1:5], ', ') AS named FROM e GROUP BY 1, 2")
+@add("r13_related_with_reasons", "occurrences entities", "WITH p AS (SELECT DISTINCT session_id, entity_id FROM occurrences), e AS (SELECT a.session_id AS src, b.session_id AS tgt, n.canonical_name AS reason FROM p a JOIN p b ON a.entity_id = b.entity_id AND a.session_id <> b.session_id JOIN entities n ON a.entity_id = n.entity_id) SELECT src, tgt, count(DISTINCT reason) AS reasons, array_to_string(list_sort(list(DISTINCT reason))[1:5], ', ') AS named FROM e GROUP BY 1, 2")
 def r13(occ, ent):
-    e = G.shared_edges(_slice(occ), "session_id", "entity_id").join(ent.select("entity_id", F.col("canonical_name").alias("reason")), "entity_id")
+    e = G.shared_edges(occ, "session_id", "entity_id").join(ent.select("entity_id", F.col("canonical_name").alias("reason")), "entity_id")
     by = e.groupBy("src", "tgt").agg(F.array_sort(F.collect_set("reason")).alias("all"))
     return by.select("src", "tgt", F.size("all").cast("long").alias("reasons"), F.array_join(F.slice("all", 1, 5), ", ").alias("named"))
 

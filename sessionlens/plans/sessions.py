@@ -39,13 +39,13 @@ def p5(d):
     return d.select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
-@add("p6_greedy_chunks", "documents", f"""WITH RECURSIVE d AS (SELECT source, doc_id AS exchange, CAST(greatest(1, floor({_WORDS.format('text')} * 1.3)) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE source IN ('src1', 'src2', 'src3')),
+@add("p6_greedy_chunks", "documents", f"""WITH RECURSIVE d AS (SELECT source, doc_id AS exchange, CAST(greatest(1, floor({_WORDS.format('text')} * 1.3)) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
   fold AS (SELECT source, r, exchange, tokens, CASE WHEN tokens > 800 THEN tokens ELSE tokens END AS acc, tokens > 800 AS big, 0 AS chunk FROM d WHERE r = 1
     UNION ALL SELECT d.source, d.r, d.exchange, d.tokens, CASE WHEN d.tokens > 800 OR f.big OR f.acc + d.tokens > 800 THEN d.tokens ELSE f.acc + d.tokens END, d.tokens > 800,
-      CASE WHEN d.tokens > 800 OR f.big OR f.acc + d.tokens > 800 THEN f.chunk + 1 ELSE f.chunk END FROM fold f JOIN d ON d.source = f.source AND d.r = f.r + 1)
+      CASE WHEN d.tokens > 800 OR f.big OR f.acc + d.tokens > 800 THEN f.chunk + 1 ELSE f.chunk END FROM fold f JOIN d ON d.source IS NOT DISTINCT FROM f.source AND d.r = f.r + 1)
   SELECT source, CAST(chunk AS BIGINT) AS chunk_index, min(exchange) AS span_start, max(exchange) AS span_end, CAST(sum(tokens) AS BIGINT) AS token_count FROM fold GROUP BY 1, 2""")
 def p6(d):
-    rows = d.where(F.col("source").isin("src1", "src2", "src3")).select("source", F.col("doc_id").alias("exchange"), T.token_estimate(F.col("text")).alias("tokens"))
+    rows = d.select("source", F.col("doc_id").alias("exchange"), T.token_estimate(F.col("text")).alias("tokens"))
     return X.packed_chunks(rows, "source")
 
 
@@ -148,6 +148,14 @@ def p25(p):
     return p.select("p_partkey", normal_type(raw).alias("entity_type"))
 
 
+@add("p25_shared_vocabulary", "part", "SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN 'technology' WHEN 1 THEN 'technology' WHEN 2 THEN 'org' WHEN 3 THEN 'dataset' WHEN 4 THEN 'model' WHEN 5 THEN 'technology' ELSE 'concept' END AS entity_type FROM part")
+def p25s(p):
+    from sessionlens.operators.entities import shared_type
+
+    raw = F.element_at(F.array(*map(F.lit, ["Tool", " project ", "ORG", "dataset", "Model", "framework", "algorithm", "library"])), (F.col("p_size") % 8 + 1).cast("int"))
+    return p.select("p_partkey", shared_type(raw).alias("entity_type"))
+
+
 @add("p26_trivial_memories", "memories", f"SELECT memory_id FROM memories WHERE {_WORDS.format('lower(trim(content))')} < 6 OR regexp_matches(lower(content), 'works correctly|works\\.|works!|was created successfully|is correct|completed successfully|succeeded|the file|the directory|the working directory')")
 def p26(m):
     return m.where(T.trivial_memory(F.col("content"))).select("memory_id")
@@ -418,9 +426,9 @@ def w20(d):
     return f.select("session_id", "focus", (F.col("focus") + F.col("o")).alias("exchange_idx"), label.alias("label"))
 
 
-@add("tr5_evidence_map", "descriptors records", "WITH s AS (SELECT record_id, chunk_text, (record_id % 10) * 8 AS lo, (record_id % 10) * 8 + 7 AS hi, record_id % 150 AS session_id FROM records WHERE record_id < 300) SELECT d.session_id, d.exchange_idx, right(string_agg(s.chunk_text, chr(10) ORDER BY s.record_id), 800) AS evidence FROM descriptors d JOIN s ON d.session_id = s.session_id AND d.exchange_idx BETWEEN s.lo AND s.hi GROUP BY 1, 2")
+@add("tr5_evidence_map", "descriptors records", "WITH s AS (SELECT record_id, chunk_text, (record_id % 10) * 8 AS lo, (record_id % 10) * 8 + 7 AS hi, record_id % 150 AS session_id FROM records) SELECT d.session_id, d.exchange_idx, right(string_agg(s.chunk_text, chr(10) ORDER BY s.record_id), 800) AS evidence FROM descriptors d JOIN s ON d.session_id = s.session_id AND d.exchange_idx BETWEEN s.lo AND s.hi GROUP BY 1, 2")
 def tr5(d, r):
-    s = r.where("record_id < 300").select("record_id", "chunk_text", (F.col("record_id") % 150).alias("session_id"), F.explode(F.sequence((F.col("record_id") % 10) * 8, (F.col("record_id") % 10) * 8 + 7)).alias("exchange_idx"))
+    s = r.select("record_id", "chunk_text", (F.col("record_id") % 150).alias("session_id"), F.explode(F.sequence((F.col("record_id") % 10) * 8, (F.col("record_id") % 10) * 8 + 7)).alias("exchange_idx"))
     rows = d.select("session_id", F.col("exchange_idx").cast("long").alias("exchange_idx")).join(s, ["session_id", "exchange_idx"])
     by = rows.groupBy("session_id", "exchange_idx").agg(F.array_sort(F.collect_list(F.struct("record_id", "chunk_text"))).alias("all"))
     return by.select("session_id", "exchange_idx", F.right(F.array_join(F.transform("all", lambda x: x["chunk_text"]), "\n"), F.lit(800)).alias("evidence"))

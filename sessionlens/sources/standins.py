@@ -75,6 +75,8 @@ def with_views(body: str, *names: str) -> str:
     """An oracle's SQL: the stand-ins as common table expressions before the body."""
     head = ",\n".join(f"{n} AS ({SELECTS[n].strip()})" for n in names)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"

@@ -26,6 +26,15 @@ SCHEMAS = {
     "memory_retrievals": "id string, memory_id string, query string, method string, rank bigint, retrieved_at timestamp",
 }
 
+#: Keys of the tables that have more than one key column; the others' key is their first column.
+KEYS = {
+    "session_graph_edges": ["src", "tgt", "edge_type", "via_entity_id"],
+    "memory_sources": ["memory_id", "session_id"],
+    "memory_cluster_members": ["cluster_id", "member_id"],
+    "step_scores": ["session_id", "exchange_idx"],
+    "session_inflections": ["session_id", "inflection_type", "precipitating_turn", "entry_turn"],
+}
+
 
 def schema(name: str) -> T.StructType:
     return T.StructType.fromDDL(SCHEMAS[name])
@@ -76,14 +85,20 @@ def written(df: DataFrame, path: str, parts: list[str] | None = None) -> None:
     fs.delete(old, True)
 
 
-def written_session(tables: dict[str, DataFrame], folder: str) -> None:
-    """Append one batch to several tables; a table's rows that are there already (by first column) are skipped."""
+def written_session(tables: dict[str, DataFrame], folder: str, keys: dict[str, list[str]] | None = None) -> None:
+    """Append one batch to several tables; rows whose keys are there already are skipped. A table's keys are those
+    given, or those in KEYS, or its first column. Null keys are equal to each other.
+
+    Tables are appended one after the other: a batch that breaks off is completed by writing it again.
+    """
     for name, df in tables.items():
+        key = (keys or {}).get(name) or KEYS.get(name) or df.columns[:1]
         path = f"{folder}/{name}"
         spark = df.sparkSession
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-        new = df.dropDuplicates([df.columns[0]])
+        new = df.dropDuplicates(key)
         if there:
-            new = new.join(spark.read.parquet(path), df.columns[0], "left_anti").select(df.columns)
+            old = spark.read.parquet(path).select(*[F.col(c).alias(f"__{c}") for c in key])
+            new = new.join(old, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key], "left_anti")
         new.write.mode("append").parquet(path)

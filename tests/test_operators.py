@@ -149,6 +149,45 @@ def test_fuzzy_resolution_matches_all_pairs(spark):
     assert got == want
 
 
+def test_names_resolve_in_order(spark):
+    """Against the plain fold: a mention meets canonical names only, the first of them within two edits wins."""
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choice("abc") for _ in range(rng.randint(0, 9))), "person" if i % 3 else "org") for i in range(120)]
+    rows += [(200, "annabel", "tool"), (201, "annabelxy", "tool"), (202, "Annabelxyzw", "tool"), (203, "ANNABEL", "tool"), (204, None, "tool")]
+    pairs = spark.createDataFrame(sorted({(a[1].lower(), b[1].lower()) for a in rows for b in rows if a[1] is not None and b[1] is not None}), "a string, b string")
+    near = {(r[0], r[1]) for r in pairs.where(F.levenshtein("a", "b") <= 2).collect()}
+    made, want = [], {}
+    for i, name, kind in rows:
+        if name is not None:
+            hit = next((j for j, n, k in made if k == kind and (name.lower(), n) in near), None)
+            want[i] = i if hit is None else hit
+            if hit is None:
+                made.append((i, name.lower(), kind))
+    df = spark.createDataFrame(rows, "mention_id int, name string, entity_type string")
+    assert dict(map(tuple, E.resolved_in_order(df).collect())) == want
+    assert (want[201], want[202], want[203]) == (200, 202, 200)
+    assert E.resolved_in_order(df.limit(0)).count() == 0
+
+
+def test_batches_keep_rows_of_composite_keys(spark, tmp_path):
+    sources = spark.createDataFrame([("m1", "s1"), ("m1", "s2"), ("m2", "s1"), ("m1", "s1")], TB.SCHEMAS["memory_sources"])
+    edges = spark.createDataFrame([("a", "b", "structural", "e1", 1.0), ("a", "c", "structural", "e1", 1.0), ("a", "b", "workspace", None, 0.5)], TB.SCHEMAS["session_graph_edges"])
+    scores = spark.createDataFrame([("s", i, 0.1, 1.0, 0.0, "{}") for i in range(3)], TB.SCHEMAS["step_scores"])
+    other = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (1, 2, "z")], "a int, b int, c string")
+    batch = {"memory_sources": sources, "session_graph_edges": edges, "step_scores": scores, "other": other}
+    for _ in range(2):
+        TB.written_session(batch, str(tmp_path), {"other": ["a", "b"]})
+    assert {n: spark.read.parquet(f"{tmp_path}/{n}").count() for n in batch} == {"memory_sources": 3, "session_graph_edges": 3, "step_scores": 3, "other": 2}
+    TB.written_session({"memory_sources": spark.createDataFrame([("m1", "s3"), ("m2", "s1")], TB.SCHEMAS["memory_sources"])}, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/memory_sources").count() == 4
+
+
+def test_shared_types(spark):
+    raw = ["Framework", "algorithm", " project", "org", "TOOL", "dataset", "model", "person", "file", "commit", "pr", "concept", "technology", "library", "", None]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, x string").select("i", E.shared_type(F.col("x"))).collect()
+    assert [r[1] for r in sorted(got)] == ["technology", "concept", "technology", "org", "technology", "dataset", "model", "person", "file", "commit", "pr", "concept", "technology", "concept", "concept", "concept"]
+
+
 def test_confidence_never_drops(spark):
     chunks = spark.createDataFrame([(1, "s", "r1"), (1, "s", "r2"), (2, "s", "r1"), (3, "s", "r1"), (3, "s", "r2")], "entity_id int, session_id string, record_id string")
     now = spark.createDataFrame([(1, "raw"), (2, "raw"), (3, "corpus"), (4, "session")], "entity_id int, confidence string")
