@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlens.functions import text as T
-from sessionlens.operators import cluster, entities, graph, retrieval
+from sessionlens.operators import cluster, entities, graph, postings, retrieval
 from sessionlens.operators.seams import Embedder, HashedWords
 
 Store = dict[str, DataFrame]
@@ -19,8 +19,10 @@ Store = dict[str, DataFrame]
 class Engine:
     """Search, graph, clustering and upkeep over a store."""
 
-    def __init__(self, store: Store, embedder: Embedder | None = None) -> None:
+    def __init__(self, store: Store, embedder: Embedder | None = None, chunk_index: str | None = None) -> None:
+        """chunk_index: a folder that `index_chunks` wrote for the store's records."""
         self.store = store
+        self.chunk_index = chunk_index
         self.embedder = embedder or HashedWords()
 
     def _vector(self, query: str) -> list[float]:
@@ -45,12 +47,20 @@ class Engine:
             out = out.unionByName(more.join(out.select("id"), "id", "left_anti"))
         return out.orderBy(F.desc("score"), "id")
 
+    def index_chunks(self, folder: str) -> None:
+        """Write the postings of all chunks; searches over all sessions read them from then on."""
+        postings.written(self.store["records"], "id", "chunk_text", folder)
+        self.chunk_index = folder
+
     def chunk_search(self, query: str, top_k: int = 10, session: str | None = None, include_graph: bool = False, method: str = "hybrid", metric: str = "l2") -> DataFrame:
         r = self.store["records"]
         if session:
             r = r.where(F.col("session_id").startswith(session))
         vec = self.store["record_embeddings"].join(r.select("id"), "id", "left_semi")
-        top = retrieval.hybrid(r, vec, "id", "chunk_text", "embedding", query, self._vector(query), top_k, metric=metric, method=method)
+        lexical = None
+        if self.chunk_index and not session and method != "semantic":
+            lexical = postings.bm25(r.sparkSession, self.chunk_index, "id", query, 5 * top_k)
+        top = retrieval.hybrid(r, vec, "id", "chunk_text", "embedding", query, self._vector(query), top_k, metric=metric, method=method, lexical=lexical)
         out = r.join(top, "id").select("id", "session_id", "chunk_index", F.left("chunk_text", F.lit(500)).alias("chunk_text"), F.round("score", 6).alias("score"))
         if not include_graph:
             return out.orderBy(F.desc("score"), "id")

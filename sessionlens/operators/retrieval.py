@@ -11,6 +11,8 @@ from sessionlens.functions import text as T
 from sessionlens.functions import vectors as V
 
 K1, B = 1.2, 0.75
+#: Weight of a term that half of the documents or more have.
+IDF_FLOOR = 1e-6
 RRF_K = 60
 DECAY = 0.5
 HOP_NEIGHBOURS = 10
@@ -55,7 +57,7 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, top_k: int, stem: boo
     parts = []
     for i in range(len(terms)):
         idf = math.log((stats["n"] - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5))
-        idf = idf if idf > 0 else 1e-6
+        idf = idf if idf > 0 else IDF_FLOOR
         tf = F.col(f"tf{i}")
         parts.append(F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"] or 1.0))))
     hit = reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(terms))])
@@ -69,7 +71,7 @@ def _bm25_from_postings(post: DataFrame, total: DataFrame, terms: list[str], key
     hits = post.where(F.col("term").isin(stems))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    one = F.when(idf > 0, idf).otherwise(F.lit(1e-6)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
+    one = F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     out = hits.join(df, "term").groupBy("doc").agg(F.sum(one).alias("score"))
     return out.select(F.col("doc").alias(key), "score").orderBy(F.desc("score"), key).limit(top_k)
 
@@ -110,12 +112,14 @@ def rrf(lexical: DataFrame, semantic: DataFrame, key: str, top_k: int | None = N
     return inside.where(keep).select(key, "score").orderBy(F.desc("score"), key)
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, key: str, text: str, vector: str, query: str, query_vec: list[float], top_k: int, over: int = 5, metric: str = "l2", method: str = "hybrid") -> DataFrame:
-    """(key, score): BM25 and nearest-neighbour legs of over * top_k rows each, fused."""
+def hybrid(docs: DataFrame, vectors: DataFrame, key: str, text: str, vector: str, query: str, query_vec: list[float], top_k: int, over: int = 5, metric: str = "l2", method: str = "hybrid", lexical: DataFrame | None = None) -> DataFrame:
+    """(key, score): BM25 and nearest-neighbour legs of over * top_k rows each, fused; `lexical` is a BM25 leg that
+    is there already."""
     empty = docs.select(key, F.lit(1).alias("rank")).limit(0)
     lex = sem = empty
     if method != "semantic":
-        lex = ranked(bm25(docs, key, text, query, over * top_k), key, [F.desc("score"), key], "lexical")
+        leg = bm25(docs, key, text, query, over * top_k) if lexical is None else lexical
+        lex = ranked(leg, key, [F.desc("score"), key], "lexical")
     if method != "lexical":
         sem = ranked(knn(vectors, key, vector, query_vec, over * top_k, metric), key, ["distance", key], "semantic")
     return rrf(lex, sem, key, top_k)

@@ -180,10 +180,11 @@ def critical_steps(steps: DataFrame, session: str, order: str, low: float = 0.35
     by, run = Window.partitionBy(session), Window.partitionBy(session).orderBy(order)
     valid = F.when(~F.col("parse_failed"), F.col("score"))
     rows = steps.withColumn("valid", valid)
-    sorted_ = F.array_sort(F.collect_list("valid").over(by))
-    rows = rows.withColumn("__s", sorted_).withColumn("__n", F.size("__s"))
-    p20 = F.element_at("__s", F.greatest(F.floor(F.col("__n") * 0.2) - 1, F.lit(0)).cast("int") + 1)
-    p80 = F.element_at("__s", F.least(F.col("__n") - 1, F.floor(F.col("__n") * 0.8)).cast("int") + 1)
+    place = F.row_number().over(by.orderBy(F.asc_nulls_last("valid"))) - 1
+    rows = rows.withColumn("__at", place).withColumn("__n", F.count("valid").over(by))
+    at = lambda i: F.max(F.when(F.col("__at") == i, F.col("valid"))).over(by)
+    p20 = at(F.greatest(F.floor(F.col("__n") * 0.2) - 1, F.lit(0)))
+    p80 = at(F.least(F.col("__n") - 1, F.floor(F.col("__n") * 0.8)))
     enough = (F.col("__n") >= 5) & F.lit(calibrate)
     rows = rows.withColumn("eff_low", F.when(enough, F.greatest(F.lit(low), p20)).otherwise(F.lit(low)))
     rows = rows.withColumn("eff_high", F.when(enough, F.greatest(F.lit(high), p80)).otherwise(F.lit(high)))
@@ -204,7 +205,7 @@ def critical_steps(steps: DataFrame, session: str, order: str, low: float = 0.35
         .when(absolute, F.lit(None).cast("string"))
         .when((F.col("score") >= F.col("eff_high")) & (F.col("tokens") > 0.1), "success_critical")
     )
-    return rows.withColumn("tag", tag).drop("__s", "__n", "__w", "valid", "prev")
+    return rows.withColumn("tag", tag).drop("__at", "__n", "__w", "valid", "prev")
 
 
 def spaced(rows: DataFrame, session: str, at: str, order: list[str], most: int = 2, gap: int = 7) -> DataFrame:

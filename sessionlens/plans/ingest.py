@@ -6,10 +6,12 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionlens.functions.ordering import at_positions
 from sessionlens.operators import entities as E
+from sessionlens.operators import quality as Q
 from sessionlens.plans.registry import add, query
 from sessionlens.sources import harness as H
 from sessionlens.sources import tables as TB
@@ -307,6 +309,34 @@ def a23(m, x):
     return a.join(cross, "one").select("total", "trivial", "coverage", "cross_session", "passes")
 
 
+_EXPECTED = "SELECT e.entity_id AS expected_id, e.canonical_name AS entity_name, CASE WHEN e.entity_id % 2 = 0 THEN m.memory_type ELSE '' END AS memory_type, concat_ws(' ', split_part(m.content, ' ', 1), split_part(m.content, ' ', 2)) AS content_hint FROM entities e JOIN memories m ON m.memory_id = e.entity_id + CASE WHEN e.entity_id % 5 = 0 THEN 1 ELSE 0 END"
+
+
+@add("a23_memory_gate", "memories memory_sources occurrences entities labels", f"""
+    WITH expected AS ({_EXPECTED}),
+    want AS (SELECT expected_id, lower(entity_name) AS name, lower(memory_type) AS type, list_filter(regexp_split_to_array(lower(content_hint), '\\s+'), lambda w: length(w) > 1) AS words FROM expected WHERE entity_name <> '' AND content_hint <> ''),
+    visits AS (SELECT DISTINCT expected_id, type, words, session_id FROM want JOIN entities e ON name = lower(e.canonical_name) JOIN occurrences o ON o.entity_id = e.entity_id),
+    near AS (SELECT DISTINCT expected_id, type, words, memory_id FROM visits JOIN memory_sources x ON x.session_id = visits.session_id),
+    met AS (SELECT expected_id, min(n.memory_id) AS memory_id FROM near n JOIN memories m ON m.memory_id = n.memory_id WHERE len(list_filter(words, lambda w: NOT contains(lower(m.content), w))) = 0 AND (type = '' OR type = lower(m.memory_type)) GROUP BY 1),
+    own AS (SELECT entity_id FROM entities WHERE confidence IN ('session', 'corpus')),
+    covered AS (SELECT DISTINCT o.entity_id FROM occurrences o JOIN memory_sources x ON x.session_id = o.session_id JOIN memories m ON m.memory_id = x.memory_id),
+    r AS (SELECT (SELECT count(DISTINCT memory_id) FROM met) / CAST((SELECT count(*) FROM expected) AS DOUBLE) AS recall, (SELECT count(*) FILTER (WHERE quality = 0) / CAST(count(*) AS DOUBLE) FROM labels) AS false_rate)
+    SELECT (SELECT count(*) FROM memories) AS total, (SELECT count(*) FROM memories WHERE evidence >= 2) AS cross_session,
+      (SELECT count(*) FROM memories WHERE length(content) - length(replace(content, ' ', '')) + 1 < 10) AS trivial,
+      round((SELECT count(*) FROM own WHERE entity_id IN (SELECT entity_id FROM covered)) / CAST((SELECT count(*) FROM own) AS DOUBLE), 6) AS coverage,
+      round(recall, 6) AS recall, round(false_rate, 6) AS false_rate, recall > 0.60 AND false_rate < 0.25 AS passes FROM r""")
+def a23_gate(m, x, occ, ent, lab):
+    word = lambda i: F.split_part("content", F.lit(" "), F.lit(i))
+    of = F.col("entity_id") + F.when(F.col("entity_id") % 5 == 0, 1).otherwise(0)
+    mem = m.select(F.col("memory_id").alias("of"), "memory_type", F.concat_ws(" ", word(1), word(2)).alias("content_hint"))
+    kind = F.when(F.col("entity_id") % 2 == 0, F.col("memory_type")).otherwise(F.lit(""))
+    expected = ent.withColumn("of", of).join(mem, "of").select(F.col("entity_id").alias("expected_id"), F.col("canonical_name").alias("entity_name"), kind.alias("memory_type"), "content_hint")
+    promoted = ent.withColumn("promoted", F.col("confidence").isin("session", "corpus"))
+    labelled = lab.select(F.when(F.col("quality") == 0, "incorrect").otherwise("correct").alias("label"))
+    out = Q.gate(m, x, occ, promoted, expected, labelled)
+    return out.select("total", "cross_session", "trivial", *[F.round(c, 6).alias(c) for c in ("coverage", "recall", "false_rate")], "passes")
+
+
 @add("a25_labelled_precision", "labels documents", "SELECT d.lang AS tag, count(*) AS labelled, round(avg(CAST(l.quality AS DOUBLE)), 6) AS precision, avg(CAST(l.quality AS DOUBLE)) >= 0.8 AND count(*) >= 20 AS ships FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY 1")
 def a25(lab, d):
     p = F.avg(F.col("quality").cast("double"))
@@ -327,11 +357,10 @@ def a34(b, d):
 
 @add("a36_score_distribution", "descriptors", "SELECT tool AS model, round(avg(CASE WHEN words = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_share, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS sd, list_sort(list(value))[greatest(CAST(floor(count(*) * 0.2) AS BIGINT) - 1, 0) + 1] AS p20, list_sort(list(value))[least(count(*) - 1, CAST(floor(count(*) * 0.8) AS BIGINT)) + 1] AS p80 FROM descriptors GROUP BY 1")
 def a36(d):
-    # positional percentiles by rank, so that no group's values meet in one array
-    w = Window.partitionBy("tool").orderBy("value")
-    rows = d.withColumn("r", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("tool")))
-    at = lambda i: F.max(F.when(F.col("r") == i, F.col("value")))
-    return rows.groupBy(F.col("tool").alias("model")).agg(F.round(F.avg((F.col("words") == 0).cast("double")), 6).alias("zero_share"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_samp("value"), 4).alias("sd"), at(F.greatest(F.floor(F.col("n") * 0.2) - 1, F.lit(0))).alias("p20"), at(F.least(F.col("n") - 1, F.floor(F.col("n") * 0.8))).alias("p80"))
+    places = {"p20": lambda n: F.greatest(F.floor(n * 0.2) - 1, F.lit(0)), "p80": lambda n: F.least(n - 1, F.floor(n * 0.8))}
+    at = at_positions(d.select("tool", "value"), "tool", "value", places).withColumnRenamed("tool", "of")
+    by = d.groupBy(F.col("tool").alias("model")).agg(F.round(F.avg((F.col("words") == 0).cast("double")), 6).alias("zero_share"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_samp("value"), 4).alias("sd"))
+    return by.join(at, F.col("model").eqNullSafe(F.col("of"))).drop("of")
 
 
 @add("a39_missed_names", "part", "SELECT lower(p_type) AS kind, p_partkey AS name FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 4 = 0")

@@ -9,7 +9,9 @@ from sessionlens.functions import text as T
 from sessionlens.functions import vectors as V
 from sessionlens.operators import cluster as C
 from sessionlens.operators import graph as G
+from sessionlens.operators import postings as P
 from sessionlens.operators import retrieval as R
+from sessionlens.plans.ingest import scratch
 from sessionlens.plans.registry import add
 
 QUERY = "the threa ouen inor of nting"
@@ -67,6 +69,14 @@ def r2(records):
     return R.bm25(records, "record_id", "chunk_text", QUERY, 50).select("record_id", F.round("score", 6).alias("score"))
 
 
+@add("r2_indexed_lookup", "records", f"SELECT record_id, round(score, 6) AS score FROM ({_bm25_sql('records', 'record_id', 'chunk_text', 50)})")
+def r2i(records):
+    """The index is written here once; a lookup reads the buckets of its terms."""
+    folder = scratch(records.sparkSession, "postings")
+    P.written(records, "record_id", "chunk_text", folder)
+    return P.bm25(records.sparkSession, folder, "record_id", QUERY, 50).select("record_id", F.round("score", 6).alias("score"))
+
+
 @add("r2_bm25_stemmed", "records")
 def r2s(records):
     return R.bm25(records, "record_id", "chunk_text", QUERY, 50, stem=True)

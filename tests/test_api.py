@@ -44,6 +44,13 @@ def test_chunks_and_tools(engine):
     assert engine.chunk_search("the of", method="lexical").count() == 0
 
 
+def test_indexed_chunks(engine, tmp_path):
+    indexed = Engine(engine.store)
+    indexed.index_chunks(f"file://{tmp_path}/chunks")
+    for q in ("entity model", "pdf rendering", "the of"):
+        assert indexed.chunk_search(q).collect() == engine.chunk_search(q).collect()
+
+
 def test_drop_session(engine):
     s = engine.dropped_session("s2")
     assert {r["id"] for r in s["memories"].collect()} == {"m1", "m3"}

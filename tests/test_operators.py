@@ -10,11 +10,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionlens.functions import text as T
+from sessionlens.functions.ordering import at_positions
 from sessionlens.functions import vectors as V
 from sessionlens.operators import cluster as C
 from sessionlens.operators import entities as E
 from sessionlens.operators import exchanges as X
 from sessionlens.operators import graph as G
+from sessionlens.operators import postings as P
+from sessionlens.operators import quality as Q
 from sessionlens.operators import retrieval as R
 from sessionlens.operators import seams as S
 from sessionlens.operators import trajectory as TR
@@ -301,6 +304,70 @@ def test_critical_steps_pinned(spark):
     assert got[4] == "recovery_critical" and got[5] == "failure_critical" and got[0] == "failure_critical" and got[6] == "recovery_critical" and got[7] == "success_critical"
 
 
+def test_critical_thresholds(spark):
+    rng = random.Random(3)
+    scores = {s: [rng.choice([None, 0.2, 0.4, 0.5, 0.9, 0.95]) for _ in range(n)] for s, n in (("a", 40), ("b", 5), ("c", 4), ("d", 1))}
+    scores["e"] = [None, None]
+    rows = spark.createDataFrame([(s, i, x, 0.5, "0%", x is None) for s, v in scores.items() for i, x in enumerate(v)], "s string, i int, score double, tokens double, error_bucket string, parse_failed boolean")
+    got = {r["s"]: (r["eff_low"], r["eff_high"]) for r in TR.critical_steps(rows, "s", "i").collect()}
+    for s, v in scores.items():
+        v = sorted(x for x in v if x is not None)
+        n = len(v)
+        want = (max(0.35, v[max(int(n * 0.2) - 1, 0)]), max(0.80, v[min(n - 1, int(n * 0.8))])) if n >= 5 else (0.35, 0.80)
+        assert got[s] == want
+
+
+def test_at_positions(spark):
+    rng = random.Random(5)
+    groups = {"a": [rng.randrange(1000) for _ in range(3000)], "b": [7] * 500, None: [1, None, 3], "d": [rng.choice([1, 2, None]) for _ in range(50)], "e": [9], "f": [None]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v int")
+    places = {"low": lambda n: F.floor(n * 0.2), "last": lambda n: n - 1}
+    got = {r["k"]: (r["low"], r["last"]) for r in at_positions(df, "k", "v", places, buckets=8).collect()}
+    for k, vs in groups.items():
+        vs = sorted(vs, key=lambda v: (v is not None, v))
+        assert got[k] == (vs[int(len(vs) * 0.2)], vs[-1])
+
+
+def test_stored_postings(spark, tmp_path):
+    rng = random.Random(7)
+    vocabulary = [f"word{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(vocabulary, weights=range(60, 0, -1), k=rng.randrange(1, 80))) for _ in range(200)] + [None, "", "Größe und WORD3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    folder = f"file://{tmp_path}/index"
+    P.written(docs, "id", "text", folder, buckets=16)
+    for q in ("word3 word50", "größe word59 absent", "word0"):
+        want = [(r["id"], round(r["score"], 9)) for r in R.bm25(docs, "id", "text", q, 20).collect()]
+        assert [(r["id"], round(r["score"], 9)) for r in P.bm25(spark, folder, "id", q, 20).collect()] == want
+    assert P.bm25(spark, folder, "id", "the of", 5).count() == 0 and P.bm25(spark, folder, "id", "absent", 5).count() == 0
+    found = P.hits(spark, folder, ["word3"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "bucket#" in plan.split("PartitionFilters:")[1].split("]")[0]
+    assert "In(term" in plan or "EqualTo(term" in plan
+    P.written(docs.limit(0), "id", "text", folder + "-none")
+    assert P.bm25(spark, folder + "-none", "id", "word3", 5).count() == 0
+
+
+def test_memory_gate(spark):
+    f = spark.createDataFrame
+    memories = f([(1, "the parser fails on PDF tables in the second page of every report", "fact", 2), (2, "short one", "fact", 1), (3, "parser of tables again, pdf", "insight", 1)], "memory_id int, content string, memory_type string, evidence int")
+    sources = f([(1, "s1"), (2, "s2"), (3, "s1")], "memory_id int, session_id string")
+    occ = f([("e1", "s1"), ("e1", "s1"), ("e2", "s2"), ("e3", "s9")], "entity_id string, session_id string")
+    ent = f([("e1", "Parser", True), ("e2", "Lexer", True), ("e3", "Gone", True), ("e4", "Raw", False)], "entity_id string, canonical_name string, promoted boolean")
+    rows = [(1, "parser", "", "PDF tables"), (2, "PARSER", "insight", "pdf a"), (3, "lexer", "fact", "missing"), (4, "", "", "pdf"), (5, "parser", None, "parser")]
+    expected = f(rows, "expected_id int, entity_name string, memory_type string, content_hint string")
+    got = {r["expected_id"]: r["memory_id"] for r in Q.matched(memories, sources, occ, ent, expected).collect()}
+    assert got == {1: 1, 2: 3, 5: 1}
+    labels = f([("correct",), ("partial",), ("incorrect",), ("correct",), ("correct",), ("correct",)], "label string")
+    one = Q.gate(memories, sources, occ, ent, expected, labels).first().asDict()
+    assert one == {"total": 3, "cross_session": 1, "trivial": 2, "coverage": 2 / 3, "recall": 2 / 5, "false_rate": 1 / 5, "passes": False}
+    one = Q.gate(memories, sources, occ, ent, expected.where("expected_id = 1"), labels).first()
+    assert one["recall"] == 1.0 and one["passes"]
+    one = Q.gate(memories, sources, occ, ent, expected, labels.limit(0)).first()
+    assert one["false_rate"] == 1 / 3
+    one = Q.gate(memories.limit(0), sources, occ, ent, expected.limit(0), labels.limit(0)).first()
+    assert (one["total"], one["coverage"], one["recall"], one["false_rate"], one["passes"]) == (0, 0.0, 0.0, 1.0, False)
+
+
 def test_spaced(spark):
     rows = spark.createDataFrame([("s", i, float(100 - i)) for i in range(20)], "s string, at long, v double")
     assert sorted(r["at"] for r in TR.spaced(rows, "s", "at", ["-v"]).collect()) == [0, 7]
