@@ -19,6 +19,7 @@ MODULES = {
     "op8_super_minhash": "super_minhash",
     "op9_sharding": "sharding",
     "op10_bpe": "bpe",
+    "op11_structure_repair": "turns",
     "op12_best_fit_packing": "packing",
     "op13_merkle_manifest": "merkle",
 }
