@@ -401,3 +401,66 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     nothing = hashlib.sha256(b"").hexdigest()
     numbers = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", *_COUNTS, "cost")]
     return out.select(F.col("id").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(nothing)).alias("repaired_sha256"))
+
+
+def _oracle_sql() -> str:
+    bit = "lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END"
+    byte = f"lambda c, b: list_reduce(list_prepend(xor(c, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), {bit})"
+    key = "concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))"
+    codes = f"list_transform(string_split({key}, ''), lambda x: ascii(x)::UBIGINT)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {codes}), {byte}), 4294967295::UBIGINT)"
+    between = ", ".join(f"({q}, {to}, {m}, '{'I' * m}', '{(NAMES[USER if to == ASSISTANT else ASSISTANT] + ':') if m else ''}')" for (q, to), m in BETWEEN.items())
+    ends = ", ".join(f"({q}, {m}, '{'I' * m}', '{chr(44).join((['user:', 'assistant:'] if q == SYSTEM else ['assistant:'])[:m])}')" for q, m in enumerate(AT_END))
+    roles = ", ".join(f"({r}, '{LETTERS[r]}', '{NAMES[r]}')" for r in (SYSTEM, USER, ASSISTANT))
+    return rf"""
+WITH RECURSIVE drawn AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS kind FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, copy, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM drawn, (VALUES (0), (1)) AS copies(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS before
+  FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (place > 1 AND before || substr(role, 1, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id),
+between_(q, dest, m, ins, line) AS (VALUES {between}),
+ends(q, m, ins, lines) AS (VALUES {ends}),
+roles(r, letter, name) AS (VALUES {roles}),
+moves AS (
+  SELECT conv_id, place, q, q AS dest, {DELETE} AS price, 'D' AS edit, CAST([] AS VARCHAR[]) AS made
+  FROM judged, (VALUES (0), (1), (2), (3)) AS states(q)
+  UNION ALL
+  SELECT conv_id, place, q, dest, m * {INSERT} + CASE WHEN fault = 'truncated' THEN {TRUNCATED} ELSE 0 END + CASE WHEN substr(role, 1, 1) = letter THEN 0 ELSE {RE_ROLE} END,
+         ins || CASE WHEN substr(role, 1, 1) = letter THEN 'K' ELSE 'R' END,
+         CASE WHEN m > 0 THEN [line] ELSE [] END || [CASE WHEN substr(role, 1, 1) = letter THEN role ELSE name END || ':' || text]
+  FROM judged, between_ JOIN roles ON dest = r
+  WHERE fault NOT IN ('blank', 'duplicate') AND (substr(role, 1, 1) = letter OR r > 1)),
+paths AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS place, 0 AS q, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'made': CAST([] AS VARCHAR[])}} AS best FROM counted
+  UNION ALL
+  SELECT p.conv_id, p.place + 1, s.dest, min({{'cost': p.best.cost + s.price, 'audit': p.best.audit || s.edit, 'made': p.best.made || s.made}})
+  FROM paths p JOIN moves s ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND s.place = p.place + 1 AND s.q = p.q
+  GROUP BY ALL),
+ended AS (
+  SELECT p.conv_id, min({{'cost': best.cost + e.m * {INSERT}, 'audit': best.audit || e.ins, 'made': best.made || CASE WHEN e.m > 0 THEN string_split(e.lines, ',') ELSE [] END}}) AS best
+  FROM paths p JOIN counted c ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.place = c.n JOIN ends e USING (q) GROUP BY p.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit,
+       sha256(coalesce(array_to_string(best.made, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counted c ON a.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ended e ON a.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+ORACLE_SQL = _oracle_sql()

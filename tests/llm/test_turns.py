@@ -148,6 +148,16 @@ def test_repair_of_the_table(spark):
     assert table_of(turns.op11_structure_repair(spark, str(DATA))) == expected(rows)
 
 
+def test_sql_of_odd_rows():
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.sql("create table conversations(conv_id bigint, turn bigint, role varchar, text varchar)")
+    rows = [r for r in odd_rows() if r[0] != 103]
+    duck.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    assert {r[0]: tuple(r[1:]) for r in duck.sql(turns.ORACLE_SQL).fetchall()} == expected(rows)
+
+
 def test_repair_of_nothing(asked):
     assert asked([]).count() == 0
 
