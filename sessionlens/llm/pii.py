@@ -172,6 +172,21 @@ def _digits(text: str) -> str:
     return "".join("+" if (x := d[0].lower()) in ("plus", "+") else _SPELLED.get(x, x) for d in _ONE_DIGIT.finditer(text))
 
 
+def _by_kind(spans: list[Span]) -> list[tuple[list[int], list[int]]]:
+    """Starts and ends of the spans of each kind, in order; those of one kind don't overlap."""
+    by: dict[int, tuple[list[int], list[int]]] = {}
+    for s, kind, e in sorted(spans):
+        starts, ends = by.setdefault(kind, ([], []))
+        starts.append(s)
+        ends.append(e)
+    return list(by.values())
+
+
+def _inside(by_kind: list[tuple[list[int], list[int]]], start: int, end: int) -> bool:
+    """Does a span hold start to end?"""
+    return any((k := bisect_right(starts, start)) and end <= ends[k - 1] for starts, ends in by_kind)
+
+
 def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, new) of the runs of spelled digits, plain digits among them.
 
@@ -192,8 +207,8 @@ def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
             word = [x[0].lower() in _SPELLED for x in tokens]
             for edge, beside in ((-1, -2), (0, 1)):
                 if len(tokens) > 1 and word[edge] and tokens[beside][0].isdigit():
-                    plain = base_spans(text) if plain is None else plain
-                    if any(s <= tokens[beside].start() and tokens[beside].end() <= e for s, _, e in plain):
+                    plain = _by_kind(base_spans(text)) if plain is None else plain
+                    if _inside(plain, *tokens[beside].span()):
                         del tokens[edge], word[edge]
             if len(tokens) < 2 or not any(word):
                 continue

@@ -545,6 +545,11 @@ def test_pii_is_linear():
     for x in ("a dot " * 40_000, "(at) " * 40_000, "( " * 100_000, "a (at) b dot " * 20_000, "1" + " " * 200_000 + "dot one", "one" + " " * 200_000 + "at ", "dot one, " * 30_000, "@." * 100_000 + "dot", "a@" + "b." * 100_000 + " dot ", "0" * 200_000 + " dot "):
         pii.scan(x)
     assert time.time() - t < 20
+    mixed = ("1.1.1.1 two hosts ", "4111 1111 1111 1111 one card, ", "+1 202 555 0143 five calls ", "a@b.co one 10.0.0.1 two ")
+    for x in mixed:  # plain identifiers beside spelled words, a megabyte of each
+        t = time.time()
+        pii.scan(x * (1_000_000 // len(x)))
+        assert time.time() - t < 10
 
 
 # ---- 4
