@@ -7,13 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The ladder of confidence, and names of entity types in the shared vocabulary.
+# The ladder of confidence.
 LADDER = ["raw", "llm_verified", "session", "corpus"]
-TYPES = {
-    "file": "file", "filepath": "file", "path": "file", "tool": "tool", "library": "technology", "framework": "technology",
-    "technology": "technology", "language": "technology", "person": "person", "user": "person", "org": "organization",
-    "organization": "organization", "company": "organization", "commit": "commit", "pr": "pr", "concept": "concept",
-}
 # The types that entities of extracted memories have, and the raw types renamed to them.
 MEMORY_TYPES = ["technology", "concept", "dataset", "model", "org", "person", "tool", "file", "commit", "pr"]
 RENAMED_TYPES = {"framework": "technology", "algorithm": "concept", "project": "technology", "org": "org", "tool": "technology"}
@@ -33,14 +28,6 @@ def name_of(rank: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, LADDER)), rank.cast("int") + 1)
 
 
-def normal_type(kind: Column) -> Column:
-    low = F.lower(F.trim(kind))
-    out = F.lit("concept")
-    for a, b in TYPES.items():
-        out = F.when(low == a, b).otherwise(out)
-    return out
-
-
 def shared_type(kind: Column) -> Column:
     """The shared vocabulary's type of a raw one: renamed, or as it is if the vocabulary has it, or concept."""
     low = F.lower(F.regexp_replace(kind, r"^\s+|\s+$", ""))
@@ -83,14 +70,6 @@ def upserted(old: DataFrame, mentions: DataFrame) -> DataFrame:
     return rows.groupBy("entity_id").agg(F.countDistinct("session_id").alias("degree"), F.max("seen").alias("last_seen"), name_of(F.max(rank_of(F.col("confidence")))).alias("confidence"))
 
 
-def fuzzy_resolved(mentions: DataFrame, most: int = 2) -> DataFrame:
-    """(mention_id, canonical_id): each mention goes to the first earlier one of its type within `most` edits, be that
-    one canonical itself or not. `resolved_in_order` compares with canonical ones only."""
-    low, near = _near_names(mentions, most)
-    near = near.groupBy("entity_type", "m").agg(F.min("first").alias("canonical_id"))
-    return low.join(near.withColumnRenamed("m", "n"), ["entity_type", "n"]).select("mention_id", "canonical_id")
-
-
 def resolved_in_order(mentions: DataFrame, most: int = 2) -> DataFrame:
     """(mention_id, canonical_id): in order of sight, each mention goes to the first canonical name of its type
     within `most` edits, or becomes canonical itself.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -143,13 +144,20 @@ def session_expansion(edges: DataFrame, seed, seed_score: float) -> DataFrame:
     return hop.select("tgt", (F.lit(seed_score) * DECAY * F.col("weight")).alias("score"))
 
 
-def graph_walk(edges: DataFrame, sources: DataFrame, memories: DataFrame, seed_memory, depth: int = 2, per_hop: int = HOP_NEIGHBOURS, most: int = EXPANSION_MEMORIES) -> DataFrame:
+def graph_walk(edges: DataFrame | Callable[[DataFrame], DataFrame], sources: DataFrame, memories: DataFrame, seed_memory, depth: int = 2, per_hop: int = HOP_NEIGHBOURS, most: int = EXPANSION_MEMORIES) -> DataFrame:
     """(memory_id, evidence, access): breadth-first from a memory's sessions, the strongest `per_hop` new
     sessions a hop, then the memories of the sessions reached. edges: src, tgt, weight; sources: memory_id,
-    session_id; memories: memory_id, evidence, access. A hop's frontier has at most `per_hop` sessions."""
-    strong = edges.where(F.col("weight") > MIN_WEIGHT)
+    session_id; memories: memory_id, evidence, access. A hop's frontier has at most `per_hop` sessions.
+
+    edges may be a function that gives the edges out of the sessions in a column src (graph.edges_from), so that
+    no edge is built that the walk doesn't meet."""
+
+    def out_of(sessions: DataFrame) -> DataFrame:
+        found = edges(sessions) if callable(edges) else edges.join(F.broadcast(sessions), "src", "left_semi")
+        return found.where(F.col("weight") > MIN_WEIGHT)
+
     seeds = sources.where(F.col("memory_id") == F.lit(seed_memory)).select("session_id").distinct()
-    new = strong.join(seeds.withColumnRenamed("session_id", "src"), "src", "left_semi")
+    new = out_of(seeds.withColumnRenamed("session_id", "src"))
     reached: list = []
     for _ in range(depth):
         new = new.join(seeds.withColumnRenamed("session_id", "tgt"), "tgt", "left_anti")
@@ -160,7 +168,7 @@ def graph_walk(edges: DataFrame, sources: DataFrame, memories: DataFrame, seed_m
         if not frontier:
             break
         reached += frontier
-        new = strong.where(F.col("src").isin(frontier))
+        new = out_of(sources.sparkSession.createDataFrame([(x,) for x in frontier], f"src {seeds.schema['session_id'].dataType.simpleString()}"))
     found = sources.where(F.col("session_id").isin(reached) if reached else F.lit(False)).select("memory_id").distinct()
     found = found.where(F.col("memory_id") != F.lit(seed_memory))
     return memories.join(found, "memory_id").orderBy(F.desc("evidence"), F.desc("access"), "memory_id").limit(most)

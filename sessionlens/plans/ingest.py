@@ -301,14 +301,6 @@ def a22(r, v):
     return r.join(has, "record_id", "left").agg(F.round(F.count("has") / F.count("*"), 6).alias("coverage"))
 
 
-@add("a23_memory_quality", "memories memory_sources", "WITH m AS (SELECT m.*, length(content) < 60 AS thin FROM memories m) SELECT count(*) AS total, count(*) FILTER (WHERE thin) AS trivial, round(count(*) FILTER (WHERE entity_id IS NOT NULL) / CAST(count(*) AS DOUBLE), 6) AS coverage, (SELECT count(*) FROM (SELECT memory_id FROM memory_sources GROUP BY 1 HAVING count(DISTINCT session_id) > 1)) AS cross_session, count(*) FILTER (WHERE status = 'resolved') / CAST(count(*) AS DOUBLE) > 0.60 AS passes FROM m")
-def a23(m, x):
-    cross = x.groupBy("memory_id").agg(F.countDistinct("session_id").alias("k")).where("k > 1").agg(F.count("*").alias("cross_session"), F.lit(1).alias("one"))
-    n = F.count("*")
-    a = m.agg(n.alias("total"), F.count_if(F.char_length("content") < 60).alias("trivial"), F.round(F.count("entity_id") / n, 6).alias("coverage"), (F.count_if(F.col("status") == "resolved") / n > 0.60).alias("passes"), F.lit(1).alias("one"))
-    return a.join(cross, "one").select("total", "trivial", "coverage", "cross_session", "passes")
-
-
 _EXPECTED = "SELECT e.entity_id AS expected_id, e.canonical_name AS entity_name, CASE WHEN e.entity_id % 2 = 0 THEN m.memory_type ELSE '' END AS memory_type, concat_ws(' ', split_part(m.content, ' ', 1), split_part(m.content, ' ', 2)) AS content_hint FROM entities e JOIN memories m ON m.memory_id = e.entity_id + CASE WHEN e.entity_id % 5 = 0 THEN 1 ELSE 0 END"
 
 

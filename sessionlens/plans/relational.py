@@ -194,11 +194,6 @@ def j16(m):
     return m.join(top, "memory_id").where(~F.col("status").eqNullSafe("superseded")).select("memory_id", "memory_type", "rank")
 
 
-@add("j17_fuzzy_first_match", "entities", "WITH names AS (SELECT entity_type, lower(canonical_name) AS n, min(entity_id) AS first FROM entities GROUP BY 1, 2), best AS (SELECT a.entity_type, a.n, min(b.first) AS canonical_id FROM names a JOIN names b ON a.entity_type = b.entity_type AND levenshtein(a.n, b.n) <= 2 AND b.first <= a.first GROUP BY 1, 2) SELECT e.entity_id AS mention_id, b.canonical_id FROM entities e JOIN best b ON e.entity_type = b.entity_type AND lower(e.canonical_name) = b.n")
-def j17(e):
-    return E.fuzzy_resolved(e.select(F.col("entity_id").alias("mention_id"), F.col("canonical_name").alias("name"), "entity_type"))
-
-
 @add("j17_resolved_in_order", "entities", """WITH RECURSIVE names AS (SELECT *, row_number() OVER (PARTITION BY entity_type ORDER BY first) AS r FROM (SELECT entity_type, lower(canonical_name) AS n, min(entity_id) AS first FROM entities GROUP BY 1, 2)),
   fold AS (SELECT entity_type, n, r, first AS canonical_id, [{'first': first, 'n': n}] AS made FROM names WHERE r = 1
     UNION ALL SELECT d.entity_type, d.n, d.r, coalesce(list_filter(f.made, lambda x: levenshtein(x.n, d.n) <= 2)[1].first, d.first),

@@ -195,35 +195,60 @@ def g7(s):
     return by.select("community", "size", F.when(F.size("ws") > 4, more).otherwise(F.array_join("ws", ", ")).alias("workspaces"), "harnesses")
 
 
-@add("r8_graph_walk", "occurrences memory_sources memories")
+# things that few sessions share, so that edges are heavy enough to be walked
+_FINE = "SELECT session_id, entity_id * 10 + chunk_index AS entity_id FROM occurrences"
+_WALKED = f"""
+    p AS (SELECT DISTINCT session_id, entity_id FROM ({_FINE})),
+    n AS (SELECT entity_id, count(*) AS n FROM p GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4),
+    e AS (SELECT a.session_id AS src, b.session_id AS tgt, 1.0 / n AS weight FROM p a JOIN n ON a.entity_id = n.entity_id JOIN p b ON a.entity_id = b.entity_id AND a.session_id <> b.session_id)"""
+
+
+def _walk(occ, sources, memories, seed, depth):
+    fine = occ.select("session_id", (F.col("entity_id") * 10 + F.col("chunk_index")).alias("entity_id"))
+    edges = lambda sessions: G.edges_from(fine, "session_id", "entity_id", sessions, round(1 / R.MIN_WEIGHT) - 1)
+    return R.graph_walk(edges, sources, memories.select("memory_id", "evidence", "access"), seed, depth=depth)
+
+
+@add("r8_graph_walk", "occurrences memory_sources memories", f"""WITH {_WALKED},
+    seed AS (SELECT min(memory_id) AS m FROM memory_sources),
+    zero AS (SELECT DISTINCT session_id AS tgt FROM memory_sources JOIN seed ON memory_id = m),
+    one AS (SELECT tgt FROM (SELECT tgt, max(weight) AS w FROM e WHERE src IN (FROM zero) AND tgt NOT IN (FROM zero) GROUP BY 1 ORDER BY w DESC, tgt LIMIT 10)),
+    two AS (SELECT tgt FROM (SELECT tgt, max(weight) AS w FROM e WHERE src IN (FROM one) AND tgt NOT IN (FROM zero) AND tgt NOT IN (FROM one) GROUP BY 1 ORDER BY w DESC, tgt LIMIT 10)),
+    found AS (SELECT DISTINCT memory_id FROM memory_sources, seed WHERE session_id IN (FROM one UNION FROM two) AND memory_id <> m)
+    SELECT memory_id, evidence, access FROM memories WHERE memory_id IN (FROM found) ORDER BY evidence DESC, access DESC, memory_id LIMIT 30""")
 def r8(occ, sources, memories):
-    edges = G.shared_edges(occ, "session_id", "entity_id")
     seed = sources.agg(F.min("memory_id")).first()[0]
-    found = R.graph_walk(edges, sources, memories.select("memory_id", "evidence", "access"), seed, depth=2)
-    return found.select("memory_id", "evidence", "access")
+    return _walk(occ, sources, memories, seed, 2).select("memory_id", "evidence", "access")
 
 
 @add("set3_visited_difference", "occurrences", "WITH e AS (SELECT DISTINCT a.session_id AS src, b.session_id AS tgt FROM occurrences a JOIN occurrences b ON a.entity_id = b.entity_id AND a.session_id <> b.session_id), one AS (SELECT DISTINCT tgt FROM e WHERE src = 0), two AS (SELECT DISTINCT e.tgt FROM e JOIN one ON e.src = one.tgt) SELECT tgt FROM two WHERE tgt <> 0 AND tgt NOT IN (SELECT tgt FROM one)")
 def set3(occ):
-    e = G.shared_edges(occ, "session_id", "entity_id").select("src", "tgt").distinct()
-    one = e.where("src = 0").select("tgt").distinct()
-    two = e.join(one.withColumnRenamed("tgt", "src"), "src").select("tgt").distinct()
+    start = occ.sparkSession.createDataFrame([(0,)], f"src {occ.schema['session_id'].dataType.simpleString()}")
+    hop = lambda sessions: G.edges_from(occ, "session_id", "entity_id", sessions).select("tgt").distinct()
+    one = hop(start)
+    two = hop(one.withColumnRenamed("tgt", "src"))
     return two.where("tgt <> 0").join(one, "tgt", "left_anti")
 
 
-@add("r9_recall_expansion", "occurrences memory_sources memories")
+@add("r9_recall_expansion", "occurrences memory_sources memories", f"""WITH {_WALKED},
+    seeds AS (SELECT memory_id AS m, row_number() OVER (ORDER BY memory_id) - 1 AS seed FROM (SELECT DISTINCT memory_id FROM memory_sources) ORDER BY memory_id LIMIT 3),
+    zero AS (SELECT DISTINCT seed, session_id AS tgt FROM memory_sources JOIN seeds ON memory_id = m),
+    hop AS (SELECT z.seed, e.tgt, max(weight) AS w FROM e JOIN zero z ON e.src = z.tgt WHERE NOT EXISTS (SELECT 1 FROM zero y WHERE y.seed = z.seed AND y.tgt = e.tgt) GROUP BY ALL),
+    one AS (SELECT seed, tgt FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY w DESC, tgt) AS r FROM hop) WHERE r <= 10),
+    found AS (SELECT DISTINCT o.seed, x.memory_id FROM one o JOIN memory_sources x ON x.session_id = o.tgt JOIN seeds s ON s.seed = o.seed WHERE x.memory_id <> s.m),
+    best AS (SELECT f.seed, m.memory_id, row_number() OVER (PARTITION BY f.seed ORDER BY evidence DESC, access DESC, m.memory_id) AS r FROM found f JOIN memories m ON f.memory_id = m.memory_id)
+    SELECT memory_id, round(0.5 / (min(seed) + 1), 8) AS score FROM best WHERE r <= 30 GROUP BY 1""")
 def r9(occ, sources, memories):
-    edges = G.shared_edges(occ, "session_id", "entity_id")
     seeds = sources.select("memory_id").distinct().orderBy("memory_id").limit(3).collect()
     out = None
     for i, s in enumerate(seeds):
-        found = R.graph_walk(edges, sources, memories.select("memory_id", "evidence", "access"), s[0], depth=1)
+        found = _walk(occ, sources, memories, s[0], 1)
         found = found.select("memory_id", F.lit(i).alias("seed"), F.lit(R.DECAY / (i + 1)).alias("score"))
         out = found if out is None else out.unionByName(found)
     if out is None:
         return memories.select("memory_id", F.lit(0.0).alias("score")).limit(0)
     w = Window.partitionBy("memory_id").orderBy("seed")
-    return out.withColumn("r", F.row_number().over(w)).where("r = 1").select("memory_id", "score")
+    return out.withColumn("r", F.row_number().over(w)).where("r = 1").select("memory_id", F.round("score", 8).alias("score"))
 
 
 @add("r10_chunk_expansion", "occurrences", "WITH p AS (SELECT DISTINCT record_id, entity_id FROM occurrences), mine AS (SELECT entity_id FROM p WHERE record_id = (SELECT min(record_id) FROM p)), near AS (SELECT p.* FROM p JOIN mine ON p.entity_id = mine.entity_id), k AS (SELECT entity_id, 1.0 / count(*) AS w FROM near GROUP BY 1), c AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY record_id) AS r FROM near WHERE record_id <> (SELECT min(record_id) FROM p)) SELECT record_id, round(0.5 * max(w), 8) AS score FROM c JOIN k ON c.entity_id = k.entity_id WHERE r <= 10 GROUP BY 1 ORDER BY max(w) DESC, record_id LIMIT 30")

@@ -140,14 +140,6 @@ def p24(r):
     return r.select("record_id", "session_id", at.alias("pos"), F.left("chunk_text", F.lit(300)).alias("context")).where("pos > 0")
 
 
-@add("p25_type_vocabulary", "part", "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'file' WHEN 1 THEN 'technology' WHEN 2 THEN 'person' WHEN 3 THEN 'organization' ELSE 'concept' END AS entity_type FROM part")
-def p25(p):
-    from sessionlens.operators.entities import normal_type
-
-    raw = F.element_at(F.array(*map(F.lit, ["FilePath", " library ", "User", "Company", "mood"])), (F.col("p_size") % 5 + 1).cast("int"))
-    return p.select("p_partkey", normal_type(raw).alias("entity_type"))
-
-
 @add("p25_shared_vocabulary", "part", "SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN 'technology' WHEN 1 THEN 'technology' WHEN 2 THEN 'org' WHEN 3 THEN 'dataset' WHEN 4 THEN 'model' WHEN 5 THEN 'technology' ELSE 'concept' END AS entity_type FROM part")
 def p25s(p):
     from sessionlens.operators.entities import shared_type

@@ -134,24 +134,6 @@ def test_superseded(spark):
     assert [tuple(r) for r in C.superseded(new, old).collect()] == [("o1", "n1")]
 
 
-def test_fuzzy_resolution_matches_all_pairs(spark):
-    rng = random.Random(1)
-    names = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 6))) for _ in range(60)]
-    rows = [(i, n, "person" if i % 3 else "org") for i, n in enumerate(names)]
-
-    def dist(a, b):
-        d = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            p, d[0] = d[0], i
-            for j, y in enumerate(b, 1):
-                p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
-        return d[-1]
-
-    want = {i: min(j for j, m, t in rows if t == kind and dist(n, m) <= 2 and min(k for k, q, t2 in rows if q == m and t2 == kind) <= min(k for k, q, t2 in rows if q == n and t2 == kind)) for i, n, kind in rows}
-    got = {r[0]: r[1] for r in E.fuzzy_resolved(spark.createDataFrame(rows, "mention_id int, name string, entity_type string")).collect()}
-    assert got == want
-
-
 def test_names_resolve_in_order(spark):
     """Against the plain fold: a mention meets canonical names only, the first of them within two edits wins."""
     rng = random.Random(2)
