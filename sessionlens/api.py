@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlens.functions import text as T
-from sessionlens.operators import cluster, entities, graph, postings, retrieval
+from sessionlens.operators import cluster, entities, graph, postings, retrieval, vector_index
 from sessionlens.operators.seams import Embedder, HashedWords
 
 Store = dict[str, DataFrame]
@@ -48,19 +48,46 @@ class Engine:
         return out.orderBy(F.desc("score"), "id")
 
     def index_chunks(self, folder: str) -> None:
-        """Write the postings of all chunks; searches over all sessions read them from then on."""
-        postings.written(self.store["records"], "id", "chunk_text", folder)
+        """Index the chunks that `folder` doesn't have yet: their postings, and their vectors by l2 with the session.
+
+        Searches by l2 read the index from then on, as long as it has all chunks; after more of them came, index again.
+        """
+        r = self.store["records"]
+        spark = r.sparkSession
+        there = f"{folder}/ids"
+        at = spark._jvm.org.apache.hadoop.fs.Path(there)
+        old = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        new = r.join(spark.read.parquet(there), "id", "left_anti") if old else r
+        vec = self.store["record_embeddings"].join(new.select("id", "session_id"), "id").select("id", "session_id", "embedding")
+        if not old:
+            postings.written(new, "id", "chunk_text", folder)
+            vector_index.written(vec, "id", "embedding", f"{folder}/vectors", keep=["session_id"])
+        elif not new.isEmpty():
+            postings.added(new, "id", "chunk_text", folder)
+            vector_index.added(vec, "embedding", f"{folder}/vectors")
+        new.select("id").write.mode("append").parquet(there)
         self.chunk_index = folder
 
+    def _indexed(self) -> bool:
+        """Does the index have every chunk of the store?"""
+        if not self.chunk_index:
+            return False
+        r = self.store["records"]
+        return r.sparkSession.read.parquet(f"{self.chunk_index}/ids").count() == r.count()
+
     def chunk_search(self, query: str, top_k: int = 10, session: str | None = None, include_graph: bool = False, method: str = "hybrid", metric: str = "l2") -> DataFrame:
         r = self.store["records"]
         if session:
             r = r.where(F.col("session_id").startswith(session))
         vec = self.store["record_embeddings"].join(r.select("id"), "id", "left_semi")
-        lexical = None
-        if self.chunk_index and not session and method != "semantic":
-            lexical = postings.bm25(r.sparkSession, self.chunk_index, "id", query, 5 * top_k)
-        top = retrieval.hybrid(r, vec, "id", "chunk_text", "embedding", query, self._vector(query), top_k, metric=metric, method=method, lexical=lexical)
+        lexical = semantic = None
+        if self._indexed():
+            if not session and method != "semantic":
+                lexical = postings.bm25(r.sparkSession, self.chunk_index, "id", query, 5 * top_k)
+            if metric == "l2" and method != "lexical":
+                where = F.col("session_id").startswith(session) if session else None
+                semantic = vector_index.Index(r.sparkSession, f"{self.chunk_index}/vectors").knn(self._vector(query), 5 * top_k, where)
+        top = retrieval.hybrid(r, vec, "id", "chunk_text", "embedding", query, self._vector(query), top_k, metric=metric, method=method, lexical=lexical, semantic=semantic)
         out = r.join(top, "id").select("id", "session_id", "chunk_index", F.left("chunk_text", F.lit(500)).alias("chunk_text"), F.round("score", 6).alias("score"))
         if not include_graph:
             return out.orderBy(F.desc("score"), "id")

@@ -113,16 +113,17 @@ def rrf(lexical: DataFrame, semantic: DataFrame, key: str, top_k: int | None = N
     return inside.where(keep).select(key, "score").orderBy(F.desc("score"), key)
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, key: str, text: str, vector: str, query: str, query_vec: list[float], top_k: int, over: int = 5, metric: str = "l2", method: str = "hybrid", lexical: DataFrame | None = None) -> DataFrame:
-    """(key, score): BM25 and nearest-neighbour legs of over * top_k rows each, fused; `lexical` is a BM25 leg that
-    is there already."""
+def hybrid(docs: DataFrame, vectors: DataFrame, key: str, text: str, vector: str, query: str, query_vec: list[float], top_k: int, over: int = 5, metric: str = "l2", method: str = "hybrid", lexical: DataFrame | None = None, semantic: DataFrame | None = None) -> DataFrame:
+    """(key, score): BM25 and nearest-neighbour legs of over * top_k rows each, fused; `lexical` (key, score) and
+    `semantic` (key, distance) are legs that an index gave already."""
     empty = docs.select(key, F.lit(1).alias("rank")).limit(0)
     lex = sem = empty
     if method != "semantic":
         leg = bm25(docs, key, text, query, over * top_k) if lexical is None else lexical
         lex = ranked(leg, key, [F.desc("score"), key], "lexical")
     if method != "lexical":
-        sem = ranked(knn(vectors, key, vector, query_vec, over * top_k, metric), key, ["distance", key], "semantic")
+        leg = knn(vectors, key, vector, query_vec, over * top_k, metric) if semantic is None else semantic
+        sem = ranked(leg, key, ["distance", key], "semantic")
     return rrf(lex, sem, key, top_k)
 
 

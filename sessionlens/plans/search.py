@@ -11,7 +11,8 @@ from sessionlens.operators import cluster as C
 from sessionlens.operators import graph as G
 from sessionlens.operators import postings as P
 from sessionlens.operators import retrieval as R
-from sessionlens.plans.ingest import scratch
+from sessionlens.operators import vector_index as X
+from sessionlens.plans import standing
 from sessionlens.plans.registry import add
 
 QUERY = "the threa ouen inor of nting"
@@ -69,12 +70,25 @@ def r2(records):
     return R.bm25(records, "record_id", "chunk_text", QUERY, 50).select("record_id", F.round("score", 6).alias("score"))
 
 
+def _postings(records) -> str:
+    return standing.index(records, "postings", lambda folder: P.written(records, "record_id", "chunk_text", folder))
+
+
+def _cells(vectors) -> X.Index:
+    return X.Index(vectors.sparkSession, standing.index(vectors, "vectors", lambda folder: X.written(vectors, "record_id", "embedding", folder, keep=["label"])))
+
+
+@add("r2_index_write", "records", f"SELECT count(*) AS n, round(avg(len({TOKENS.format('chunk_text').replace('{{', '{').replace('}}', '}')})), 6) AS avgdl FROM records")
+def r2w(records):
+    """Writes the postings where none stand for these files; documents and their mean length."""
+    found = P.stats(records.sparkSession, _postings(records))
+    return records.sparkSession.createDataFrame([(found["n"], found["avgdl"])], "n bigint, avgdl double").select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
 @add("r2_indexed_lookup", "records", f"SELECT record_id, round(score, 6) AS score FROM ({_bm25_sql('records', 'record_id', 'chunk_text', 50)})")
 def r2i(records):
-    """The index is written here once; a lookup reads the buckets of its terms."""
-    folder = scratch(records.sparkSession, "postings")
-    P.written(records, "record_id", "chunk_text", folder)
-    return P.bm25(records.sparkSession, folder, "record_id", QUERY, 50).select("record_id", F.round("score", 6).alias("score"))
+    """A lookup reads the buckets of its terms in the standing index."""
+    return P.bm25(records.sparkSession, _postings(records), "record_id", QUERY, 50).select("record_id", F.round("score", 6).alias("score"))
 
 
 @add("r2_bm25_stemmed", "records")
@@ -99,6 +113,22 @@ def r4(vectors):
     return R.knn(vectors, "record_id", "embedding", _query_vector(vectors), 20).select("record_id", F.round("distance", 6).alias("distance"))
 
 
+@add("r4_index_write", "vectors", "SELECT label, count(*) AS n FROM vectors GROUP BY 1")
+def r4w(vectors):
+    """Writes the cells where none stand for these files; vectors by label, read from them."""
+    return _cells(vectors).rows().groupBy("label").agg(F.count("*").alias("n"))
+
+
+@add("r4_indexed_knn", "vectors", f"SELECT record_id, round(distance, 6) AS distance FROM ({_knn_sql('', 20)})")
+def r4i(vectors):
+    return _cells(vectors).knn(_query_vector(vectors), 20).select("record_id", F.round("distance", 6).alias("distance"))
+
+
+@add("t4_indexed_knn", "vectors", f"SELECT record_id, round(distance, 6) AS distance FROM ({_knn_sql('WHERE label = 2', 10)})")
+def t4i(vectors):
+    return _cells(vectors).knn(_query_vector(vectors), 10, F.col("label") == 2).select("record_id", F.round("distance", 6).alias("distance"))
+
+
 @add("t4_knn_filtered_first", "vectors", f"SELECT record_id, round(distance, 6) AS distance FROM ({_knn_sql('WHERE label = 2', 10)})")
 def t4(vectors):
     return R.knn(vectors.where("label = 2"), "record_id", "embedding", _query_vector(vectors), 10).select("record_id", F.round("distance", 6).alias("distance"))
@@ -121,6 +151,18 @@ def r6(records, vectors):
     return records.join(top, "record_id").select("record_id", "session_id", F.round("score", 6).alias("score"), F.left("chunk_text", F.lit(500)).alias("chunk_text"))
 
 
+@add("r6_indexed_search", "records vectors", "WITH " + _fused_sql(_bm25_sql("records", "record_id", "chunk_text", 50), _knn_sql("", 50), 10) + " SELECT c.record_id, r.session_id, round(c.score, 6) AS score, substr(r.chunk_text, 1, 500) AS chunk_text FROM chosen c JOIN records r ON c.record_id = r.record_id")
+def r6i(records, vectors):
+    """Both legs from the standing indexes; the texts of the ten chunks found are all that is read of the corpus."""
+    query = _query_vector(vectors)
+    lexical, semantic = P.bm25(records.sparkSession, _postings(records), "record_id", QUERY, 50), _cells(vectors).knn(query, 50)
+    top = R.hybrid(records, vectors, "record_id", "chunk_text", "embedding", QUERY, query, 10, lexical=lexical, semantic=semantic)
+    found = {r["record_id"]: r["score"] for r in top.collect()}
+    scores = F.create_map(*[F.lit(x) for pair in found.items() for x in pair]) if found else F.lit(None).cast("map<bigint,double>")
+    near = records.where(F.col("record_id").isin(list(found)))
+    return near.select("record_id", "session_id", F.round(scores[F.col("record_id")], 6).alias("score"), F.left("chunk_text", F.lit(500)).alias("chunk_text"))
+
+
 @add("r7_session_search", "records vectors")
 def r7(records, vectors):
     sessions = records.groupBy("session_id").agg(F.min_by("chunk_text", "chunk_index").alias("summary"))
