@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionlens.operators.shared import checkpointed
+
 # The ladder of confidence.
 LADDER = ["raw", "llm_verified", "session", "corpus"]
 # The types that entities of extracted memories have, and the raw types renamed to them.
@@ -79,21 +79,16 @@ def resolved_in_order(mentions: DataFrame, most: int = 2) -> DataFrame:
     canonical already; rounds go on until all are settled, as many as the longest chain of earlier neighbours. Each round's
     table is a reliable checkpoint. Null names and types are left out.
     """
-    spark = mentions.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sl_ckpt_"))
     low, near = _near_names(mentions.where("name is not null and entity_type is not null"), most)
-    near = near.where("first < at").select("at", "first").checkpoint()
+    near = checkpointed(near.where("first < at").select("at", "first"))
     none = F.lit(None).cast("boolean")
     state = low.groupBy("entity_type", "n").agg(F.min("mention_id").alias("at")).select("at")
     state = state.join(near.select("at").distinct().withColumn("later", F.lit(True)), "at", "left")
-    state = state.select("at", F.when(F.col("later"), none).otherwise(F.lit(True)).alias("canonical")).checkpoint()
+    state = checkpointed(state.select("at", F.when(F.col("later"), none).otherwise(F.lit(True)).alias("canonical")))
     while not state.where("canonical is null").isEmpty():
         of = near.join(state.withColumnRenamed("at", "first"), "first").groupBy("at").agg(F.bool_or("canonical").alias("some"), F.count_if(F.col("canonical").isNull()).alias("open"))
         found = F.when(F.col("some"), F.lit(False)).when(F.col("open") == 0, F.lit(True))
-        state = state.join(of, "at", "left").select("at", F.coalesce("canonical", found).alias("canonical")).checkpoint()
+        state = checkpointed(state.join(of, "at", "left").select("at", F.coalesce("canonical", found).alias("canonical")))
     kept = state.where("canonical").select(F.col("at").alias("first"))
     first = near.join(kept, "first", "left_semi").groupBy("at").agg(F.min("first").alias("canonical_id"))
     names = low.groupBy("entity_type", "n").agg(F.min("mention_id").alias("at")).join(first, "at", "left")

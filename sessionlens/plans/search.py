@@ -11,6 +11,7 @@ from sessionlens.operators import cluster as C
 from sessionlens.operators import graph as G
 from sessionlens.operators import postings as P
 from sessionlens.operators import retrieval as R
+from sessionlens.operators import similarity as S
 from sessionlens.operators import vector_index as X
 from sessionlens.plans import standing
 from sessionlens.plans.registry import add
@@ -453,7 +454,9 @@ def c10(v):
     return one.select(F.explode(rows).alias("r")).select("r.same", F.round("r.m", 6).alias("mean_cosine"))
 
 
-@add("a38_similarity_spread", "vectors", f"SELECT round(avg({_COS}), 6) AS mean, round(max({_COS}), 6) AS max, round(min({_COS}), 6) AS min FROM vectors a JOIN vectors b ON a.record_id < b.record_id WHERE a.label = 0 AND b.label = 0")
+@add("a38_similarity_spread", "vectors", f"SELECT round(avg({_COS}), 6) AS mean, round(max({_COS}), 6) AS max, round(min({_COS}), 6) AS min FROM vectors a JOIN vectors b ON a.record_id < b.record_id")
 def a38(v):
-    e = G.similarity_edges(v.where("label = 0"), "record_id", "embedding", top_k=1 << 30, least=-1.5).where("src < tgt")
-    return e.agg(F.round(F.avg("weight"), 6).alias("mean"), F.round(F.max("weight"), 6).alias("max"), F.round(F.min("weight"), 6).alias("min"))
+    """Over all pairs: the mean from the sum of all vectors, the ends by bounds."""
+    least, most = S.extremes(v, "record_id", "embedding")
+    row = (S.mean_cosine(v, "record_id", "embedding"), most, least)
+    return v.sparkSession.createDataFrame([row], "mean double, max double, min double").select(*[F.round(c, 6).alias(c) for c in ("mean", "max", "min")])
