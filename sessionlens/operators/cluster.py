@@ -8,24 +8,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlens.functions import vectors as V
+from sessionlens.operators import density
+from sessionlens.operators.density import distances
+
+
+#: Rows whose distances one task may compute.
+ONE_TASK = 5_000
 
 
 def _tree(x: np.ndarray, k: int) -> list[tuple[float, int, int]]:
-    """Minimum spanning tree of mutual reachability distances (Prim), as sorted (distance, a, b)."""
+    """Minimum spanning tree of mutual reachability distances (Prim), as sorted (distance, a, b).
+
+    Of edges of one distance the one of lesser ends is taken, so that there is one tree (density.spanning_tree's)."""
     n = len(x)
-    square = (x * x).sum(axis=1)
-    row = lambda i: np.sqrt(np.maximum(square + square[i] - 2 * (x @ x[i]), 0))
+    row = lambda i: distances(x[i], x)
     core = np.array([np.partition(row(i), min(k - 1, n - 1))[min(k - 1, n - 1)] for i in range(n)])
-    inside, best, via = np.zeros(n, dtype=bool), np.full(n, np.inf), np.zeros(n, dtype=int)
+    every, inside, best = np.arange(n), np.zeros(n, dtype=bool), np.full(n, np.inf)
+    low, high = np.full(n, n), np.full(n, n)
     at, out = 0, []
     for _ in range(n - 1):
         inside[at] = True
         d = np.maximum(np.maximum(row(at), core), core[at])
-        closer = ~inside & (d < best)
-        best[closer], via[closer] = d[closer], at
+        lo, hi = np.minimum(every, at), np.maximum(every, at)
+        closer = ~inside & ((d < best) | ((d == best) & ((lo < low) | ((lo == low) & (hi < high)))))
+        best[closer], low[closer], high[closer] = d[closer], lo[closer], hi[closer]
         free = np.flatnonzero(~inside)
-        at = int(free[np.argmin(best[free])])
-        out.append((float(best[at]), int(via[at]), at))
+        free = free[best[free] == best[free].min()]
+        at = int(free[np.lexsort((high[free], low[free]))[0]])
+        out.append((float(best[at]), int(low[at]), int(high[at])))
     return sorted(out)
 
 
@@ -91,9 +101,11 @@ def leaf_clusters(x: np.ndarray, least: int) -> np.ndarray:
 def clustered(rows: DataFrame, key: str, vector: str, least: int, by: str | None = None) -> DataFrame:
     """(by, key, cluster): leaf clusters of the vectors, one independent run for each `by`; -1 is noise.
 
-    Density trees need all distances of a group, so a group goes to one task: sessions of a corpus, memories of a
-    session. Group sizes are those of one session, or of the session table for by=None.
+    With `by`, a group is what one session has and goes to one task. All rows at once go to one task only up to
+    ONE_TASK of them; beyond, density.clustered gives the same clusters from joins.
     """
+    if by is None and rows.count() > ONE_TASK:
+        return density.clustered(rows, key, vector, least)
     group = by or "__all"
     src = rows if by else rows.withColumn("__all", F.lit(0))
     src = src.select(group, key, V.doubles(F.col(vector)).alias("v"))
