@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlens.functions import text as T
+from sessionlens.operators.folds import Packed, carried
 
 MAX_TOKENS = 800
 OVERLAP = 0.1
@@ -59,35 +60,13 @@ def packed_chunks(exchanges: DataFrame, session: str = "conv_id", max_tokens: in
     """Greedy packing: (session, chunk_index, span_start, span_end, token_count) of runs of whole exchanges.
 
     exchanges: session, exchange, tokens. An exchange beyond the budget closes the run and is a chunk of its own
-    (to be split by `windows`). The fold is one JVM-side aggregate over a session's exchanges, in order.
+    (to be split by `windows`). A state of one run is carried along a session's exchanges, in order.
     """
-    items = F.array_sort(F.collect_list(F.struct("exchange", "tokens")))
-    state = "struct<done:array<struct<span_start:bigint,span_end:bigint,token_count:bigint>>,s:bigint,e:bigint,t:bigint>"
-    zero = F.from_json(F.lit('{"done":[],"s":null,"e":null,"t":0}'), state)
-    none = F.lit(None).cast("bigint")
-
-    def chunk(s: Column, e: Column, t: Column) -> Column:
-        return F.array(F.struct(s.alias("span_start"), e.alias("span_end"), t.alias("token_count")))
-
-    def made(done: Column, s: Column, e: Column, t: Column) -> Column:
-        return F.struct(done.alias("done"), s.alias("s"), e.alias("e"), t.alias("t"))
-
-    def step(acc: Column, x: Column) -> Column:
-        flushed = F.when(acc["s"].isNotNull(), F.concat(acc["done"], chunk(acc["s"], acc["e"], acc["t"]))).otherwise(acc["done"])
-        big = x["tokens"] > max_tokens
-        over = acc["s"].isNotNull() & (acc["t"] + x["tokens"] > max_tokens)
-        return (
-            F.when(big, made(F.concat(flushed, chunk(x["exchange"], x["exchange"], x["tokens"])), none, none, F.lit(0).cast("bigint")))
-            .when(over | acc["s"].isNull(), made(flushed, x["exchange"], x["exchange"], x["tokens"]))
-            .otherwise(made(acc["done"], acc["s"], x["exchange"], acc["t"] + x["tokens"]))
-        )
-
-    def last(acc: Column) -> Column:
-        return F.when(acc["s"].isNotNull(), F.concat(acc["done"], chunk(acc["s"], acc["e"], acc["t"]))).otherwise(acc["done"])
-
     rows = exchanges.select(session, F.col("exchange").cast("long").alias("exchange"), F.col("tokens").cast("long").alias("tokens"))
-    out = rows.groupBy(session).agg(items.alias("items")).select(session, F.posexplode(F.aggregate("items", zero, step, last)).alias("chunk_index", "c"))
-    return out.select(session, F.col("chunk_index").cast("long").alias("chunk_index"), "c.span_start", "c.span_end", "c.token_count")
+    order = [F.col("exchange").asc_nulls_last(), F.col("tokens").asc_nulls_last()]
+    runs = carried(rows, session, order, ["tokens"], lambda: Packed(max_tokens), "chunk_index", "bigint")
+    ends = [F.min("exchange").alias("span_start"), F.max("exchange").alias("span_end"), F.sum("tokens").alias("token_count")]
+    return runs.groupBy(session, "chunk_index").agg(*ends).select(session, "chunk_index", "span_start", "span_end", "token_count")
 
 
 def windows(df: DataFrame, text: str, size: int, overlap: int, keep: list[str]) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionlens.operators.folds import Spaced, UpperMedian, carried
+
 WINDOW = 5
 Z = 2.0
 LOOKBACK = 5
@@ -31,13 +32,6 @@ def expanding_z(x: Column, part: str, order: list) -> Column:
     return F.when(n < 2, x - F.avg(x).over(w)).when(sd > 0, (x - F.avg(x).over(w)) / F.when(sd > 0, sd)).otherwise(F.lit(0.0))
 
 
-def upper_median(x: Column, part: str, order: list) -> Column:
-    """Running upper median, sorted[n // 2] of the values so far."""
-    w = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.array_sort(F.collect_list(x).over(w))
-    return F.element_at(seen, F.floor(F.size(seen) / 2).cast("int") + 1)
-
-
 def turn_features(turns: DataFrame, session: str, order: str) -> DataFrame:
     """The six features of each turn and their expanding z-scores (z_<feature>).
 
@@ -49,15 +43,15 @@ def turn_features(turns: DataFrame, session: str, order: str) -> DataFrame:
     first = first.groupBy(session, "__target").agg(F.min("__at").alias("__first"))
     long = turns.select(session, order, F.explode("targets").alias("__target")).join(first, [session, "__target"])
     again = long.groupBy(session, order).agg(F.count_if(F.col("__first") < F.col(order)).alias("__again"))
-    rows = turns.join(again, [session, order], "left")
+    # the running upper median of the words, by a fold: one heap a side
+    kind = turns.schema["user_word_count"].dataType.simpleString()
+    rows = carried(turns, session, [order], ["user_word_count"], UpperMedian, "__median", kind).join(again, [session, order], "left")
     names, errors = F.flatten(F.collect_list("tools").over(frame)), F.flatten(F.collect_list("errors").over(frame))
     rows = rows.withColumn("__names", names).withColumn("__errors", errors)
     share = lambda hit, n: F.when(n > 0, hit / F.when(n > 0, n)).otherwise(F.lit(0.0))
     rows = rows.withColumn("action_entropy", entropy(F.col("__names")))
     rows = rows.withColumn("action_target_recurrence", share(F.coalesce("__again", F.lit(0)), F.size("targets")))
     rows = rows.withColumn("error_rate", share(F.size(F.filter("__errors", lambda e: e)), F.size("__errors")))
-    median = upper_median(F.col("user_word_count"), session, [order])
-    rows = rows.withColumn("__median", median)
     rows = rows.withColumn("user_turn_length_ratio", F.when(F.col("__median") > 0, F.col("user_word_count") / F.when(F.col("__median") > 0, F.col("__median"))).otherwise(F.lit(1.0)))
     rows = rows.withColumn("read_only_ratio", share(F.size(F.filter("__names", lambda t: t.isin(READ_ONLY))), F.size("__names")))
     rows = rows.withColumn("model_turn_count", F.avg("model_turn_count").over(frame))
@@ -211,13 +205,5 @@ def critical_steps(steps: DataFrame, session: str, order: str, low: float = 0.35
 def spaced(rows: DataFrame, session: str, at: str, order: list[str], most: int = 2, gap: int = 7) -> DataFrame:
     """At most `most` rows a session, taken in `order` (a leading - means descending), each at least `gap` from those taken before."""
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([c.lstrip("-") for c in order], ascending=[not c.startswith("-") for c in order])
-        kept, taken = [], []
-        for i, v in zip(pdf.index, pdf[at], strict=True):
-            if len(taken) < most and all(abs(v - t) >= gap for t in taken):
-                kept.append(i)
-                taken.append(v)
-        return pdf.loc[kept]
-
-    return rows.groupBy(session).applyInPandas(pick, rows.schema)
+    sort = [F.col(c[1:]).desc_nulls_last() if c.startswith("-") else F.col(c).asc_nulls_last() for c in order]
+    return carried(rows, session, sort, [at], lambda: Spaced(most, gap), "__taken", "boolean").where("__taken").drop("__taken")
