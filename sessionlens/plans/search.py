@@ -238,21 +238,19 @@ def g7(s):
     return by.select("community", "size", F.when(F.size("ws") > 4, more).otherwise(F.array_join("ws", ", ")).alias("workspaces"), "harnesses")
 
 
-# things that few sessions share, so that edges are heavy enough to be walked
-_FINE = "SELECT session_id, entity_id * 10 + chunk_index AS entity_id FROM occurrences"
+# over things that few sessions share, so that edges are heavy enough to be walked
 _WALKED = f"""
-    p AS (SELECT DISTINCT session_id, entity_id FROM ({_FINE})),
+    p AS (SELECT DISTINCT session_id, entity_id FROM rare_occurrences),
     n AS (SELECT entity_id, count(*) AS n FROM p GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4),
     e AS (SELECT a.session_id AS src, b.session_id AS tgt, 1.0 / n AS weight FROM p a JOIN n ON a.entity_id = n.entity_id JOIN p b ON a.entity_id = b.entity_id AND a.session_id <> b.session_id)"""
 
 
 def _walk(occ, sources, memories, seed, depth):
-    fine = occ.select("session_id", (F.col("entity_id") * 10 + F.col("chunk_index")).alias("entity_id"))
-    edges = lambda sessions: G.edges_from(fine, "session_id", "entity_id", sessions, round(1 / R.MIN_WEIGHT) - 1)
+    edges = lambda sessions: G.edges_from(occ, "session_id", "entity_id", sessions, round(1 / R.MIN_WEIGHT) - 1)
     return R.graph_walk(edges, sources, memories.select("memory_id", "evidence", "access"), seed, depth=depth)
 
 
-@add("r8_graph_walk", "occurrences memory_sources memories", f"""WITH {_WALKED},
+@add("r8_graph_walk", "rare_occurrences memory_sources memories", f"""WITH {_WALKED},
     seed AS (SELECT min(memory_id) AS m FROM memory_sources),
     zero AS (SELECT DISTINCT session_id AS tgt FROM memory_sources JOIN seed ON memory_id = m),
     one AS (SELECT tgt FROM (SELECT tgt, max(weight) AS w FROM e WHERE src IN (FROM zero) AND tgt NOT IN (FROM zero) GROUP BY 1 ORDER BY w DESC, tgt LIMIT 10)),
@@ -273,7 +271,7 @@ def set3(occ):
     return two.where("tgt <> 0").join(one, "tgt", "left_anti")
 
 
-@add("r9_recall_expansion", "occurrences memory_sources memories", f"""WITH {_WALKED},
+@add("r9_recall_expansion", "rare_occurrences memory_sources memories", f"""WITH {_WALKED},
     seeds AS (SELECT memory_id AS m, row_number() OVER (ORDER BY memory_id) - 1 AS seed FROM (SELECT DISTINCT memory_id FROM memory_sources) ORDER BY memory_id LIMIT 3),
     zero AS (SELECT DISTINCT seed, session_id AS tgt FROM memory_sources JOIN seeds ON memory_id = m),
     hop AS (SELECT z.seed, e.tgt, max(weight) AS w FROM e JOIN zero z ON e.src = z.tgt WHERE NOT EXISTS (SELECT 1 FROM zero y WHERE y.seed = z.seed AND y.tgt = e.tgt) GROUP BY ALL),

@@ -27,6 +27,8 @@ SELECTS = {
         SELECT l_orderkey AS session_id, l_orderkey * 10 + l_linenumber AS record_id, l_linenumber AS chunk_index,
           l_partkey AS entity_id, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END AS role, l_shipdate AS seen
         FROM lineitem""",
+    # things that few sessions share
+    "rare_occurrences": "SELECT l_orderkey AS session_id, l_partkey * 10 + l_linenumber AS entity_id FROM lineitem",
     "entities": """
         SELECT p_partkey AS entity_id, p_name AS canonical_name, lower(p_type) AS entity_type,
           CASE p_size % 4 WHEN 0 THEN 'raw' WHEN 1 THEN 'llm_verified' WHEN 2 THEN 'session' ELSE 'corpus' END AS confidence
