@@ -412,6 +412,15 @@ def a32b(m):
     return by.agg(F.round(12.0 / (total * (total + 1)) * F.sum(F.col("s") * F.col("s") / F.col("k")) - 3 * (total + 1), 4).alias("h"))
 
 
+@add("a32_feature_importance", "sessions metadata")
+def a32c(s, m):
+    """Which structural features tell the session types apart."""
+    from sessionlens.operators.importance import feature_importance
+
+    features = ["input_tokens", "cache_read", "output_tokens", "tool_calls", "user_turns"]
+    return feature_importance(s.join(m, "session_id"), "session_type", features).select("feature", F.round("importance", 4).alias("importance"))
+
+
 @add("a33_histogram", _MART_VIEWS, f"SELECT least(floor(cache_hit_pct / 5), 19) AS bucket, count(*) AS n FROM ({_MART}) WHERE cache_hit_pct IS NOT NULL GROUP BY 1")
 def a33(*t):
     return session_mart(*t).where("cache_hit_pct IS NOT NULL").groupBy(F.least(F.floor(F.col("cache_hit_pct") / 5), F.lit(19)).cast("double").alias("bucket")).agg(n().alias("n"))
