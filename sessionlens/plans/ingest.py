@@ -13,6 +13,7 @@ from sessionlens.functions.ordering import at_positions
 from sessionlens.operators import entities as E
 from sessionlens.operators import quality as Q
 from sessionlens.plans.registry import add, query
+from sessionlens.sources import batches as B
 from sessionlens.sources import harness as H
 from sessionlens.sources import tables as TB
 from sessionlens.streaming import incremental as INC
@@ -132,9 +133,9 @@ def sc16(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("memory_id"), F.col("l_orderkey").alias("session_id"))
     folder = scratch(spark, "batch")
     for _ in range(2):
-        TB.written_session({"sessions": s, "memory_sources": x}, folder)
-    n = spark.read.parquet(f"{folder}/memory_sources").groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("memories"))
-    return spark.read.parquet(f"{folder}/sessions").join(n, "id", "left").select("id", "note", F.coalesce("memories", F.lit(0)).alias("memories"))
+        B.written_session({"sessions": s, "memory_sources": x}, folder)
+    n = B.table(spark, folder, "memory_sources").groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("memories"))
+    return B.table(spark, folder, "sessions").join(n, "id", "left").select("id", "note", F.coalesce("memories", F.lit(0)).alias("memories"))
 
 
 @add("sc18_vector_upsert", "vectors", "SELECT record_id, CASE WHEN record_id % 4 = 0 THEN 1.0 ELSE round(CAST(embedding[1] AS DOUBLE), 6) END AS first_component FROM vectors")
@@ -214,8 +215,8 @@ def sc17(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spark.read.parquet(f"{sf_dir}/orders.parquet")
     folder = scratch(spark, "analytics")
     labels = s.groupBy((F.col("o_orderkey") % 5).alias("id")).agg(F.count("*").alias("n"))
-    TB.written_session({"clusters": labels, "analytics_runs": spark.createDataFrame([("run-1", "clusters")], "id string, kind string")}, folder)
-    return spark.read.parquet(f"{folder}/clusters").withColumn("runs", F.lit(spark.read.parquet(f"{folder}/analytics_runs").count()))
+    B.written_session({"clusters": labels, "analytics_runs": spark.createDataFrame([("run-1", "clusters")], "id string, kind string")}, folder)
+    return B.table(spark, folder, "clusters").withColumn("runs", F.lit(B.table(spark, folder, "analytics_runs").count()))
 
 
 @add("sc20_viewer_data", "records entities", "SELECT r.record_id, r.session_id, substr(r.chunk_text, 1, 200) AS text, count(e.entity_id) AS entities FROM records r LEFT JOIN entities e ON r.record_id % 50 = e.entity_id GROUP BY ALL")
@@ -372,13 +373,12 @@ def st1(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = INC.file_stream(spark, f"{folder}/in", "user_id bigint, event_id bigint, event_type string", per_batch=1)
 
     def newest(batch: DataFrame, i: int) -> None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            batch = batch.unionByName(spark.read.parquet(f"{folder}/out"))
+        if (old := B.table(spark, folder, "out")) is not None:
+            batch = batch.unionByName(old)
         INC.upsert_into(f"{folder}/out", ["user_id"], "event_id")(batch, i)
 
     INC.drained(stream, newest, f"{folder}/ckpt")
-    return spark.read.parquet(f"{folder}/out")
+    return B.table(spark, folder, "out")
 
 
 @query("st2_content_once", "SELECT md5(html) AS content_hash, min(page_id) AS page_id FROM pages GROUP BY 1")

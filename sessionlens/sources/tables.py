@@ -1,9 +1,7 @@
-"""Tables of the store: schemas, loading, keyed upserts, replacement, additive migration, atomic writes."""
+"""Tables of the store: schemas, loading, keyed upserts, replacement, additive migration."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,38 +65,3 @@ def inserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def replaced_where(old: DataFrame, new: DataFrame, part: Column) -> DataFrame:
     """The rows of `old` that meet `part` go, and `new` comes in."""
     return old.where(~F.coalesce(part, F.lit(False))).unionByName(new)
-
-
-def written(df: DataFrame, path: str, parts: list[str] | None = None) -> None:
-    """Replace a table's folder: written beside it first, then swapped by renames of the file system it is in."""
-    spark = df.sparkSession
-    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*parts) if parts else df.write
-    writer.parquet(beside)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    here, there = hadoop.Path(path), hadoop.Path(beside)
-    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = hadoop.Path(f"{beside}.old")
-    if fs.exists(here):
-        fs.rename(here, old)
-    fs.rename(there, here)
-    fs.delete(old, True)
-
-
-def written_session(tables: dict[str, DataFrame], folder: str, keys: dict[str, list[str]] | None = None) -> None:
-    """Append one batch to several tables; rows whose keys are there already are skipped. A table's keys are those
-    given, or those in KEYS, or its first column. Null keys are equal to each other.
-
-    Tables are appended one after the other: a batch that breaks off is completed by writing it again.
-    """
-    for name, df in tables.items():
-        key = (keys or {}).get(name) or KEYS.get(name) or df.columns[:1]
-        path = f"{folder}/{name}"
-        spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-        new = df.dropDuplicates(key)
-        if there:
-            old = spark.read.parquet(path).select(*[F.col(c).alias(f"__{c}") for c in key])
-            new = new.join(old, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key], "left_anti")
-        new.write.mode("append").parquet(path)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sessionlens.sources.tables import upserted, written
+from sessionlens.sources import batches
+from sessionlens.sources.tables import upserted
 
 
 def file_stream(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet", per_batch: int | None = None) -> DataFrame:
@@ -31,16 +32,15 @@ def drained(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoin
 
 def upsert_into(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
     """A batch sink: rows replace those with the same keys; the latest by `order` of a batch counts. Replaying a
-    batch gives the same table."""
+    batch gives the same table. `path` is folder/table of versioned tables (sources/batches.py)."""
     from pyspark.sql import Window
 
     def run(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         w = Window.partitionBy(*keys).orderBy(F.desc(order))
         new = batch.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-        written(upserted(spark.read.schema(new.schema).parquet(path), new, keys) if there else new, path)
+        folder, name = path.rstrip("/").rsplit("/", 1)
+        batches.replaced(spark, folder, name, lambda old: new if old is None else upserted(old, new, keys))
 
     return run
 

@@ -22,6 +22,7 @@ from sessionlens.operators import retrieval as R
 from sessionlens.operators import seams as S
 from sessionlens.operators import trajectory as TR
 from sessionlens.sources import harness as H
+from sessionlens.sources import batches as BT
 from sessionlens.sources import tables as TB
 from sessionlens.streaming import incremental as INC
 
@@ -114,12 +115,6 @@ def test_similarity_edges(spark):
     assert {r["count"] for r in G.similarity_edges(same, "id", "v", 3, 0.5, block=4).groupBy("src").count().collect()} == {3}
 
 
-def test_communities():
-    pairs = [(a, b, 1) for g in (range(4), range(4, 8)) for a in g for b in g if a < b] + [(0, 4, 1)]
-    got = G.greedy_communities(pairs)
-    assert len({got[i] for i in range(4)}) == 1 and len({got[i] for i in range(4, 8)}) == 1 and got[0] != got[4]
-
-
 def test_leaf_clusters():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(0, 0.01, (6, 4)), rng.normal(3, 0.01, (6, 4))])
@@ -161,10 +156,10 @@ def test_batches_keep_rows_of_composite_keys(spark, tmp_path):
     other = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (1, 2, "z")], "a int, b int, c string")
     batch = {"memory_sources": sources, "session_graph_edges": edges, "step_scores": scores, "other": other}
     for _ in range(2):
-        TB.written_session(batch, str(tmp_path), {"other": ["a", "b"]})
-    assert {n: spark.read.parquet(f"{tmp_path}/{n}").count() for n in batch} == {"memory_sources": 3, "session_graph_edges": 3, "step_scores": 3, "other": 2}
-    TB.written_session({"memory_sources": spark.createDataFrame([("m1", "s3"), ("m2", "s1")], TB.SCHEMAS["memory_sources"])}, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/memory_sources").count() == 4
+        BT.written_session(batch, str(tmp_path), {"other": ["a", "b"]})
+    assert {n: BT.table(spark, str(tmp_path), n).count() for n in batch} == {"memory_sources": 3, "session_graph_edges": 3, "step_scores": 3, "other": 2}
+    BT.written_session({"memory_sources": spark.createDataFrame([("m1", "s3"), ("m2", "s1")], TB.SCHEMAS["memory_sources"])}, str(tmp_path))
+    assert BT.table(spark, str(tmp_path), "memory_sources").count() == 4
 
 
 def test_shared_types(spark):
@@ -407,10 +402,6 @@ def test_tables(spark, tmp_path):
     b = spark.createDataFrame([(2, "z"), (3, "w")], "k int, v string")
     assert sorted(map(tuple, TB.upserted(a, b, ["k"]).collect())) == [(1, "x"), (2, "z"), (3, "w")]
     assert sorted(map(tuple, TB.inserted(a, b, ["k"]).collect())) == [(1, "x"), (2, "y"), (3, "w")]
-    path = f"file://{tmp_path}/t"
-    TB.written(a, path)
-    TB.written(b, path)
-    assert spark.read.parquet(path).count() == 2
     for name in TB.SCHEMAS:
         assert TB.empty(spark, name).count() == 0
 
