@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sessionlens.functions import text as T
 from sessionlens.functions import vectors as V
 from sessionlens.operators import cluster as C
+from sessionlens.operators import communities as M
 from sessionlens.operators import graph as G
 from sessionlens.operators import postings as P
 from sessionlens.operators import retrieval as R
@@ -227,7 +228,7 @@ def g5(lineitem):
 
 @add("g6_communities", "lineitem")
 def g6(lineitem):
-    return G.communities(G.undirected(_typed(lineitem)))
+    return M.communities(G.undirected(_typed(lineitem)))
 
 
 @add("g7_community_summary", "sessions", "SELECT session_type AS community, count(*) AS size, CASE WHEN count(DISTINCT workspace) > 4 THEN array_to_string(list_sort(list(DISTINCT workspace))[1:4], ', ') || ' +' || CAST(count(DISTINCT workspace) - 4 AS VARCHAR) || ' more' ELSE array_to_string(list_sort(list(DISTINCT workspace)), ', ') END AS workspaces, string_agg(DISTINCT plugin, ',' ORDER BY plugin) AS harnesses FROM sessions GROUP BY 1")
