@@ -219,6 +219,32 @@ def sc17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, folder, "clusters").withColumn("runs", F.lit(B.table(spark, folder, "analytics_runs").count()))
 
 
+_CALLS = """WITH ex AS (SELECT *, sum(CASE WHEN role = 'user' AND turn % 4 < 2 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ex FROM conversations WHERE role IN ('user', 'assistant')),
+    lines AS (SELECT conv_id, ex, turn, l, i FROM (SELECT conv_id, ex, turn, string_split(text, chr(10)) AS a FROM ex WHERE role = 'assistant' AND ex >= 0), unnest(a) WITH ORDINALITY AS u(l, i)),
+    calls AS (SELECT conv_id, ex, string_split(l, ' ')[1] AS name, row_number() OVER (PARTITION BY conv_id, ex ORDER BY turn, i) AS nth FROM lines),
+    words AS (SELECT conv_id, ex, turn, w, i FROM (SELECT conv_id, ex, turn, string_split(text, ' ') AS a FROM ex WHERE role = 'user' AND turn % 4 >= 2 AND ex >= 0), unnest(a) WITH ORDINALITY AS u(w, i)),
+    results AS (SELECT conv_id, ex, turn, i, CASE WHEN length(w) % 2 = 1 THEN '' ELSE w END AS t, contains(w, 'n') AS err FROM words),
+    told AS (SELECT *, row_number() OVER (PARTITION BY conv_id, ex ORDER BY turn, i) AS nth FROM results WHERE t <> ''),
+    final AS (SELECT conv_id, ex, count_if(t <> '') + 1 AS nth, arg_max(t, [turn, i]) AS t, arg_max(err, [turn, i]) AS err FROM results GROUP BY 1, 2)
+SELECT CAST(c.conv_id AS VARCHAR) AS path, CAST(c.ex AS BIGINT) AS exchange, CAST(c.nth - 1 AS INTEGER) AS pos, c.name, coalesce(t.t, '') AS result, CASE WHEN t.nth IS NOT NULL THEN t.err WHEN f.t = '' THEN f.err ELSE false END AS is_error
+FROM calls c LEFT JOIN told t ON c.conv_id = t.conv_id AND c.ex = t.ex AND c.nth = t.nth LEFT JOIN final f ON c.conv_id = f.conv_id AND c.ex = f.ex AND c.nth = f.nth WHERE c.nth <= 10"""
+
+
+@add("p36_tool_results", "conversations", _CALLS)
+def p36_results(c):
+    """Conversations as messages: an assistant's lines are its calls, words of a user turn that opens nothing their results."""
+    block = lambda kind, **cols: F.struct(F.lit(kind).alias("type"), *[v.alias(k) for k, v in cols.items()])
+    calls = F.transform(F.split("text", "\n"), lambda x: block("tool_use", name=F.element_at(F.split(x, " "), 1)))
+    results = F.transform(F.split("text", " "), lambda w: block("tool_result", content=F.when(F.length(w) % 2 == 1, F.lit("")).otherwise(w), is_error=F.contains(w, F.lit("n"))))
+    answer = (F.col("role") == "user") & (F.col("turn") % 4 >= 2)
+    content = F.when(F.col("role") == "assistant", F.to_json(calls)).when(answer, F.to_json(results)).otherwise(F.to_json(F.array(block("text", text=F.col("text")))))
+    tool = F.when(answer, F.lit(',"toolUseResult":"yes"')).otherwise(F.lit(""))
+    value = F.concat(F.lit('{"type":"'), "role", F.lit('"'), tool, F.lit(',"message":{"content":'), content, F.lit("}}"))
+    lines = c.select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("line"), value.alias("value"))
+    found = H.exchange_details(H.jsonl_exchanges(H.parsed(lines)))
+    return found.select("path", F.col("exchange").cast("long").alias("exchange"), F.posexplode("tool_calls").alias("pos", "x")).select("path", "exchange", "pos", "x.name", "x.result", "x.is_error")
+
+
 @add("sc20_viewer_data", "records entities", "SELECT r.record_id, r.session_id, substr(r.chunk_text, 1, 200) AS text, count(e.entity_id) AS entities FROM records r LEFT JOIN entities e ON r.record_id % 50 = e.entity_id GROUP BY ALL")
 def sc20(r, e):
     n = e.groupBy(F.col("entity_id").alias("k")).agg(F.count("*").alias("entities"))

@@ -62,8 +62,12 @@ def plugin_of(path: Column, file_type: Column) -> Column:
 def jsonl_messages(spark: SparkSession, folder: str) -> DataFrame:
     """path, line, m (the message), blocks, plain (content that is a text) of every well-formed line."""
     lines = spark.read.text(folder, recursiveFileLookup=True, pathGlobFilter="*.jsonl").where(F.trim("value") != "")
-    rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("value"), F.monotonically_increasing_id().alias("line"))
-    rows = rows.withColumn("m", F.from_json("value", MESSAGE)).where(F.try_parse_json("value").isNotNull())
+    return parsed(lines.select(F.col("_metadata.file_path").alias("path"), F.col("value"), F.monotonically_increasing_id().alias("line")))
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """The messages of lines (path, line, value), malformed ones left out."""
+    rows = lines.withColumn("m", F.from_json("value", MESSAGE)).where(F.try_parse_json("value").isNotNull())
     raw = F.col("m.message.content")
     return rows.select("path", "line", "m", F.from_json(raw, f"array<{BLOCK}>").alias("blocks"), F.when(~F.coalesce(raw.startswith("["), F.lit(False)), raw).alias("plain"))
 
@@ -157,6 +161,58 @@ def evidence(exchanges: DataFrame, most: int = 4000) -> DataFrame:
     return by.select("path", "exchange", F.array_join(F.transform("all", lambda x: x["line"]), "\n\n").alias("evidence"))
 
 
+def with_results(calls: Column, results: Column, most: int = 800) -> Column:
+    """calls (array of structs name, args) with the text and error mark of their results (array of structs text, error).
+
+    A result goes to the first call that has no text yet. One without text leaves its call open, so that the next
+    result goes there too: the i-th result with text is the i-th call's, and of results without text only
+    one that is the very last still shows, by its error mark on the first open call. Surplus results are left out.
+    """
+    told = F.filter(results, lambda r: r["text"] != "")
+    last = F.try_element_at(results, F.lit(-1))
+
+    def one(call: Column, i: Column) -> Column:
+        got = F.get(told, i)
+        error = F.when(i < F.size(told), got["error"]).when((i == F.size(told)) & (last["text"] == ""), last["error"])
+        text = F.when(i < F.size(told), F.left(got["text"], F.lit(most))).otherwise(F.lit(""))
+        return F.struct(call["name"].alias("name"), call["args"].alias("args"), text.alias("result"), F.coalesce(error, F.lit(False)).alias("is_error"))
+
+    return F.transform(calls, one)
+
+
+def exchange_details(exchanges: DataFrame) -> DataFrame:
+    """(path, exchange, user_text, agent_text, tool_calls, narrative): an exchange as a labeller reads it.
+
+    agent_text: texts and the beginnings of thoughts in order, cut at 3000. tool_calls: the first ten calls with their
+    input as JSON, cut at 200, and what came back (see with_results). narrative: user, agent and the first six calls by lines.
+    An exchange is one row; its blocks meet in sorted arrays.
+    """
+    blocks = exchanges.select("path", "exchange", "line", F.col("m.type").alias("by"), F.col("m.toolUseResult").alias("tool"), F.posexplode("blocks").alias("pos", "b"))
+    kind, by, b = F.col("b.type"), F.col("by"), F.col("b")
+    thought = F.concat(F.lit("[thinking] "), F.left(F.coalesce(b["thinking"], F.lit("")), F.lit(400)))
+    said = F.when(kind == "text", F.coalesce(b["text"], F.lit(""))).when(kind == "thinking", thought)
+    parts = F.from_json(b["content"], "array<struct<text:string>>")
+    listed = F.array_join(F.transform(parts, lambda x: F.coalesce(x["text"], F.lit(""))), " ")
+    back = F.when(b["content"].startswith("[") & parts.isNotNull(), listed).otherwise(F.coalesce(b["content"], F.lit("")))
+    item = lambda when, **cols: F.array_sort(F.collect_list(F.when(when, F.struct("line", "pos", *[c.alias(n) for n, c in cols.items()]))))
+    answers = (by == "user") & ~F.coalesce(F.col("tool"), F.lit("")).isin("", "false")
+    rows = blocks.groupBy("path", "exchange").agg(
+        item((by == "assistant") & said.isNotNull(), text=said).alias("said"),
+        item((by == "assistant") & (kind == "tool_use"), name=F.coalesce(b["name"], F.lit("")), args=F.left(F.coalesce(F.to_json(b["input"]), F.lit("{}")), F.lit(200))).alias("calls"),
+        item(answers & (kind == "tool_result"), text=back, error=F.coalesce(b["is_error"], F.lit(False))).alias("results"),
+    )
+    asked = F.coalesce("plain", F.array_join(F.transform(F.filter("blocks", lambda x: x["type"] == "text"), lambda x: F.coalesce(x["text"], F.lit(""))), " "), F.lit(""))
+    users = exchanges.groupBy("path", "exchange").agg(F.left(F.min_by(asked, "line"), F.lit(2000)).alias("user_text"))
+    none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(f"array<struct<line:bigint,pos:int,{kind}>>"))
+    agent = F.left(F.array_join(F.transform(none("said", "text:string"), lambda x: x["text"]), " "), F.lit(3000))
+    calls = F.slice(with_results(none("calls", "name:string,args:string"), none("results", "text:string,error:boolean")), 1, 10)
+    out = users.join(rows, ["path", "exchange"], "left").select("path", "exchange", "user_text", agent.alias("agent_text"), calls.alias("tool_calls"))
+    call = lambda c: F.concat(F.lit("[tool: "), c["name"], F.lit("("), F.left(c["args"], F.lit(120)), F.lit(")]"), F.when(c["is_error"], F.lit(" [ERROR]")).otherwise(F.lit("")))
+    lines = F.flatten(F.transform(F.slice("tool_calls", 1, 6), lambda c: F.array(call(c), F.when(c["result"] != "", F.concat(F.lit("  → "), F.left(c["result"], F.lit(600)))))))
+    head = F.array(F.when(F.col("user_text") != "", F.concat(F.lit("USER: "), F.left("user_text", F.lit(1000)))), F.when(F.col("agent_text") != "", F.concat(F.lit("AGENT: "), F.left("agent_text", F.lit(1500)))))
+    return out.withColumn("narrative", F.left(F.array_join(F.concat(head, lines), "\n"), F.lit(6000)))
+
+
 GEMINI = "sessionId string, startTime string, messages array<struct<id:string,timestamp:string,type:string,content:string,model:string,tokens:string,toolCalls:array<struct<id:string,name:string,status:string,args:string>>,thoughts:string>>"
 
 
