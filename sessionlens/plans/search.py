@@ -176,14 +176,25 @@ def r7(records, vectors):
 _EDGES = "SELECT a.session_id AS src, b.session_id AS tgt, a.entity_id AS via, 1.0 / n.n AS weight FROM (SELECT DISTINCT session_id, entity_id FROM occurrences) a JOIN (SELECT DISTINCT session_id, entity_id FROM occurrences) b ON a.entity_id = b.entity_id AND a.session_id <> b.session_id JOIN (SELECT entity_id, count(DISTINCT session_id) AS n FROM occurrences GROUP BY 1) n ON a.entity_id = n.entity_id"
 
 
-@add("g1_structural_edges", "occurrences", f"SELECT src, tgt, via, round(weight, 8) AS weight FROM ({_EDGES})")
+def _groups_sql(pairs: str, via: str) -> str:
+    """Sessions under what they share, in SQL over the rows (session_id, via): weights and numbers of edges, not pairs."""
+    return f"WITH p AS ({pairs}), n AS (SELECT {via}, count(*) AS n, min(session_id) AS first FROM p GROUP BY 1 HAVING count(*) > 1) SELECT p.session_id AS src, p.{via} AS via, round(1.0 / n, 8) AS weight, n - 1 AS links, first FROM p JOIN n ON p.{via} = n.{via}"
+
+
+def _groups(links, via):
+    return G.shared_groups(links, "session_id", via).select("src", F.col(via).alias("via"), F.round("weight", 8).alias("weight"), "links", "first")
+
+
+@add("g1_structural_edges", "occurrences", _groups_sql("SELECT DISTINCT session_id, entity_id FROM occurrences", "entity_id"))
 def g1(occ):
-    return G.shared_edges(occ, "session_id", "entity_id").select("src", "tgt", F.col("entity_id").alias("via"), F.round("weight", 8).alias("weight"))
+    """The graph's edges by the things that make them; their pairs are the square of a thing's sessions."""
+    return _groups(occ, "entity_id")
 
 
-@add("j11_sessions_sharing", "occurrences", f"SELECT src, tgt, count(*) AS shared FROM ({_EDGES}) GROUP BY 1, 2")
+@add("j11_sessions_sharing", "occurrences", f"SELECT src, tgt, count(*) AS shared FROM ({_EDGES}) WHERE src % 100 = 0 GROUP BY 1, 2")
 def j11(occ):
-    return G.shared_edges(occ, "session_id", "entity_id").groupBy("src", "tgt").agg(F.count("*").alias("shared"))
+    """What each session of the query set (ids divisible by 100) shares with any other."""
+    return G.edges_from(occ, "session_id", "entity_id", F.col("session_id") % 100 == 0).groupBy("src", "tgt").agg(F.count("*").alias("shared"))
 
 
 @add("g2_workspace_edges", "customer", "SELECT a.c_custkey AS src, b.c_custkey AS tgt, round(1.0 / n, 8) AS weight FROM (SELECT c_custkey, concat(c_nationkey, c_mktsegment) AS w, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n FROM customer) a JOIN (SELECT c_custkey, concat(c_nationkey, c_mktsegment) AS w FROM customer) b ON a.w = b.w AND a.c_custkey <> b.c_custkey")
@@ -207,10 +218,9 @@ def w16(occ):
     return by.withColumn("r", F.row_number().over(w)).where("r <= 3").drop("r")
 
 
-@add("g4_shared_memory_edges", "memberships memory_sources", "WITH s AS (SELECT DISTINCT cluster_id, session_id FROM memberships JOIN memory_sources ON member_id = memory_id), n AS (SELECT cluster_id, count(*) AS n FROM s GROUP BY 1) SELECT a.session_id AS src, b.session_id AS tgt, a.cluster_id, round(1.0 / n.n, 8) AS weight FROM s a JOIN s b ON a.cluster_id = b.cluster_id AND a.session_id <> b.session_id JOIN n ON a.cluster_id = n.cluster_id")
+@add("g4_shared_memory_edges", "memberships memory_sources", _groups_sql("SELECT DISTINCT cluster_id, session_id FROM memberships JOIN memory_sources ON member_id = memory_id", "cluster_id"))
 def g4(c, x):
-    s = c.join(x, c["member_id"] == x["memory_id"])
-    return G.shared_edges(s, "session_id", "cluster_id").select("src", "tgt", "cluster_id", F.round("weight", 8).alias("weight"))
+    return _groups(c.join(x, c["member_id"] == x["memory_id"]), "cluster_id")
 
 
 _TYPED = "SELECT l_suppkey AS src, l_partkey % 100 AS tgt, l_shipdate, CASE l_returnflag WHEN 'A' THEN 'structural' WHEN 'N' THEN 'workspace' ELSE 'shared_memory' END AS edge_type FROM lineitem"
@@ -312,9 +322,10 @@ def r12(m, r):
     return m.join(n, "memory_id", "left").select("memory_id", (F.col("access") + F.coalesce("n", F.lit(0))).alias("access"))
 
 
-@add("r13_related_with_reasons", "occurrences entities", "WITH p AS (SELECT DISTINCT session_id, entity_id FROM occurrences), e AS (SELECT a.session_id AS src, b.session_id AS tgt, n.canonical_name AS reason FROM p a JOIN p b ON a.entity_id = b.entity_id AND a.session_id <> b.session_id JOIN entities n ON a.entity_id = n.entity_id) SELECT src, tgt, count(DISTINCT reason) AS reasons, array_to_string(list_sort(list(DISTINCT reason))[1:5], ', ') AS named FROM e GROUP BY 1, 2")
+@add("r13_related_with_reasons", "occurrences entities", "WITH p AS (SELECT DISTINCT session_id, entity_id FROM occurrences), e AS (SELECT a.session_id AS src, b.session_id AS tgt, n.canonical_name AS reason FROM p a JOIN p b ON a.entity_id = b.entity_id AND a.session_id <> b.session_id JOIN entities n ON a.entity_id = n.entity_id WHERE a.session_id % 100 = 0) SELECT src, tgt, count(DISTINCT reason) AS reasons, array_to_string(list_sort(list(DISTINCT reason))[1:5], ', ') AS named FROM e GROUP BY 1, 2")
 def r13(occ, ent):
-    e = G.shared_edges(occ, "session_id", "entity_id").join(ent.select("entity_id", F.col("canonical_name").alias("reason")), "entity_id")
+    """The sessions related to each of the query set (ids divisible by 100), and why."""
+    e = G.edges_from(occ, "session_id", "entity_id", F.col("session_id") % 100 == 0).join(ent.select("entity_id", F.col("canonical_name").alias("reason")), "entity_id")
     by = e.groupBy("src", "tgt").agg(F.array_sort(F.collect_set("reason")).alias("all"))
     return by.select("src", "tgt", F.size("all").cast("long").alias("reasons"), F.array_join(F.slice("all", 1, 5), ", ").alias("named"))
 
