@@ -187,7 +187,10 @@ def exchange_details(exchanges: DataFrame) -> DataFrame:
     input as JSON, cut at 200, and what came back (see with_results). narrative: user, agent and the first six calls by lines.
     An exchange is one row; its blocks meet in sorted arrays.
     """
-    blocks = exchanges.select("path", "exchange", "line", F.col("m.type").alias("by"), F.col("m.toolUseResult").alias("tool"), F.posexplode("blocks").alias("pos", "b"))
+    opens = (F.col("m.type") == "user") & F.coalesce(F.col("m.toolUseResult"), F.lit("")).isin("", "false")
+    texts = F.array_join(F.transform(F.filter("blocks", lambda x: x["type"] == "text"), lambda x: F.coalesce(x["text"], F.lit(""))), " ")
+    asked = F.when(opens, F.left(F.coalesce("plain", texts, F.lit("")), F.lit(2000)))
+    blocks = exchanges.select("path", "exchange", "line", F.col("m.type").alias("by"), F.col("m.toolUseResult").alias("tool"), asked.alias("asked"), F.posexplode_outer("blocks").alias("pos", "b"))
     kind, by, b = F.col("b.type"), F.col("by"), F.col("b")
     thought = F.concat(F.lit("[thinking] "), F.left(F.coalesce(b["thinking"], F.lit("")), F.lit(400)))
     said = F.when(kind == "text", F.coalesce(b["text"], F.lit(""))).when(kind == "thinking", thought)
@@ -197,16 +200,15 @@ def exchange_details(exchanges: DataFrame) -> DataFrame:
     item = lambda when, **cols: F.array_sort(F.collect_list(F.when(when, F.struct("line", "pos", *[c.alias(n) for n, c in cols.items()]))))
     answers = (by == "user") & ~F.coalesce(F.col("tool"), F.lit("")).isin("", "false")
     rows = blocks.groupBy("path", "exchange").agg(
+        F.coalesce(F.min_by("asked", F.when(F.col("asked").isNotNull(), F.col("line"))), F.lit("")).alias("user_text"),
         item((by == "assistant") & said.isNotNull(), text=said).alias("said"),
         item((by == "assistant") & (kind == "tool_use"), name=F.coalesce(b["name"], F.lit("")), args=F.left(F.coalesce(F.to_json(b["input"]), F.lit("{}")), F.lit(200))).alias("calls"),
         item(answers & (kind == "tool_result"), text=back, error=F.coalesce(b["is_error"], F.lit(False))).alias("results"),
     )
-    asked = F.coalesce("plain", F.array_join(F.transform(F.filter("blocks", lambda x: x["type"] == "text"), lambda x: F.coalesce(x["text"], F.lit(""))), " "), F.lit(""))
-    users = exchanges.groupBy("path", "exchange").agg(F.left(F.min_by(asked, "line"), F.lit(2000)).alias("user_text"))
     none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(f"array<struct<line:bigint,pos:int,{kind}>>"))
     agent = F.left(F.array_join(F.transform(none("said", "text:string"), lambda x: x["text"]), " "), F.lit(3000))
     calls = F.slice(with_results(none("calls", "name:string,args:string"), none("results", "text:string,error:boolean")), 1, 10)
-    out = users.join(rows, ["path", "exchange"], "left").select("path", "exchange", "user_text", agent.alias("agent_text"), calls.alias("tool_calls"))
+    out = rows.select("path", "exchange", "user_text", agent.alias("agent_text"), calls.alias("tool_calls"))
     call = lambda c: F.concat(F.lit("[tool: "), c["name"], F.lit("("), F.left(c["args"], F.lit(120)), F.lit(")]"), F.when(c["is_error"], F.lit(" [ERROR]")).otherwise(F.lit("")))
     lines = F.flatten(F.transform(F.slice("tool_calls", 1, 6), lambda c: F.array(call(c), F.when(c["result"] != "", F.concat(F.lit("  → "), F.left(c["result"], F.lit(600)))))))
     head = F.array(F.when(F.col("user_text") != "", F.concat(F.lit("USER: "), F.left("user_text", F.lit(1000)))), F.when(F.col("agent_text") != "", F.concat(F.lit("AGENT: "), F.left("agent_text", F.lit(1500)))))
