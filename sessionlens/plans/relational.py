@@ -155,9 +155,12 @@ def j9(o):
 
 @add("j10_same_workspace", "customer nation", "SELECT a.c_custkey AS src, count(*) AS others FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey <> b.c_custkey GROUP BY 1")
 def j10(c, _):
+    """Counted by group, without pairs: all rows of the group but those of the same customer."""
     k = ["c_nationkey", "c_mktsegment"]
-    b = c.select(*k, F.col("c_custkey").alias("other"))
-    return c.join(b, k).where("c_custkey <> other").groupBy(F.col("c_custkey").alias("src")).agg(n().alias("others"))
+    own = c.dropna(subset=["c_custkey", *k]).groupBy(*k, "c_custkey").agg(n().alias("own"))
+    total = own.groupBy(*k).agg(F.sum("own").alias("total"))
+    by = own.join(total, k).groupBy(F.col("c_custkey").alias("src")).agg(F.sum(F.col("own") * (F.col("total") - F.col("own"))).alias("others"))
+    return by.where("others > 0")
 
 
 @add("j12_all_pairs_threshold", "vectors", "SELECT a.record_id AS src, b.record_id AS tgt, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS weight FROM vectors a JOIN vectors b ON a.record_id < b.record_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3")
