@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sessionlens.functions import text as T
 from sessionlens.functions.ordering import average_ranks
 from sessionlens.operators import entities as E
+from sessionlens.operators.graph import pairs_sharing
 from sessionlens.plans.registry import add
 
 
@@ -145,12 +146,10 @@ def j8(m, v):
     return m.join(v.select(F.col("record_id").alias("memory_id")), "memory_id", "left_semi").select("memory_id")
 
 
-@add("j9_chunks_sharing_entity", "occurrences", "SELECT DISTINCT a.record_id, b.record_id AS other FROM occurrences a JOIN occurrences b ON a.entity_id = b.entity_id AND a.record_id <> b.record_id WHERE a.record_id % 100 = 0")
+@add("j9_chunks_sharing_entity", "occurrences", "SELECT DISTINCT a.record_id, b.record_id AS other FROM occurrences a JOIN occurrences b ON a.entity_id = b.entity_id AND a.record_id <> b.record_id")
 def j9(o):
-    """The chunks that share a thing with each chunk of the query set (ids divisible by 100)."""
-    a = o.select("record_id", "entity_id").distinct()
-    b = a.select(F.col("record_id").alias("other"), "entity_id")
-    return a.where("record_id % 100 = 0").join(b, "entity_id").where("record_id <> other").select("record_id", "other").distinct()
+    """All chunks that share a thing, each pair once."""
+    return pairs_sharing(o, "record_id", "entity_id").select(F.col("src").alias("record_id"), F.col("tgt").alias("other"))
 
 
 @add("j10_same_workspace", "customer nation", "SELECT a.c_custkey AS src, count(*) AS others FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey <> b.c_custkey GROUP BY 1")
