@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionlens.operators import graph as G
-from sessionlens.plans import relational
+from sessionlens.plans import relational, search
 
 
 def occurrences(spark):
@@ -37,3 +37,9 @@ def test_chunks_of_all_ids(spark):
     occ = occurrences(spark)
     got = [tuple(r) for r in relational.j9(occ).collect()]
     assert sorted(got) == sorted(every_pair(occ, "record_id")) and any(a % 100 for a, _ in got)
+
+
+def test_edges_as_pairs_of_sessions(spark):
+    occ = occurrences(spark)
+    got = [(r["src"], r["tgt"], r["via"]) for r in search.g1(occ).collect()]
+    assert sorted(got) == sorted((a, b, e) for (a, b), s in every_pair(occ, "session_id").items() for e in s)
