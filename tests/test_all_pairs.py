@@ -43,3 +43,10 @@ def test_edges_as_pairs_of_sessions(spark):
     occ = occurrences(spark)
     got = [(r["src"], r["tgt"], r["via"]) for r in search.g1(occ).collect()]
     assert sorted(got) == sorted((a, b, e) for (a, b), s in every_pair(occ, "session_id").items() for e in s)
+
+
+def test_shared_memories_as_pairs_of_sessions(spark):
+    links = occurrences(spark).dropna()
+    c, x = links.selectExpr("entity_id AS cluster_id", "record_id AS member_id").distinct(), links.selectExpr("record_id AS memory_id", "session_id").distinct()
+    got = [(r["src"], r["tgt"], r["cluster_id"]) for r in search.g4(c, x).collect()]
+    assert sorted(got) == sorted((a, b, e) for (a, b), s in every_pair(links, "session_id").items() for e in s)
