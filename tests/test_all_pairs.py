@@ -50,3 +50,13 @@ def test_shared_memories_as_pairs_of_sessions(spark):
     c, x = links.selectExpr("entity_id AS cluster_id", "record_id AS member_id").distinct(), links.selectExpr("record_id AS memory_id", "session_id").distinct()
     got = [(r["src"], r["tgt"], r["cluster_id"]) for r in search.g4(c, x).collect()]
     assert sorted(got) == sorted((a, b, e) for (a, b), s in every_pair(links, "session_id").items() for e in s)
+
+
+def test_pairs_of_a_hub_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(G, "PART", 50)
+    c = spark.range(400).selectExpr("int(id) AS c", "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS g")
+    out = G.group_edges(c, "c", "g")
+    rows = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(rows) == 2 * 200 * 199 and max(rows) < sum(rows) / 2
+    assert out.distinct().count() == sum(rows)
+    assert G.shared_edges(c, "c", "g").select("src", "tgt", "weight").exceptAll(out).isEmpty()
