@@ -60,3 +60,9 @@ def test_pairs_of_a_hub_are_made_by_many_tasks(spark, monkeypatch):
     assert sum(rows) == 2 * 200 * 199 and max(rows) < sum(rows) / 2
     assert out.distinct().count() == sum(rows)
     assert G.shared_edges(c, "c", "g").select("src", "tgt", "weight").exceptAll(out).isEmpty()
+
+
+def test_sessions_of_all_ids(spark):
+    occ = occurrences(spark)
+    got = {(r["src"], r["tgt"]): r["shared"] for r in search.j11(occ).collect()}
+    assert got == {k: len(s) for k, s in every_pair(occ, "session_id").items()}
