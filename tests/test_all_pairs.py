@@ -66,3 +66,12 @@ def test_sessions_of_all_ids(spark):
     occ = occurrences(spark)
     got = {(r["src"], r["tgt"]): r["shared"] for r in search.j11(occ).collect()}
     assert got == {k: len(s) for k, s in every_pair(occ, "session_id").items()}
+
+
+def test_reasons_of_all_ids(spark):
+    occ = occurrences(spark)
+    names = {e: None if e == 3 else f"n{e % 6}" for e in range(25)}
+    ent = spark.createDataFrame(list(names.items()), "entity_id int, canonical_name string")
+    got = {(r["src"], r["tgt"]): (r["reasons"], r["named"]) for r in search.r13(occ, ent).collect()}
+    want = {k: sorted({names[e] for e in s if names[e]}) for k, s in every_pair(occ, "session_id").items()}
+    assert got == {k: (len(w), ", ".join(w[:5])) for k, w in want.items()}
