@@ -40,12 +40,15 @@ def stats(spark: SparkSession, folder: str) -> dict:
 
 
 def _append(docs: DataFrame, key: str, text: str, folder: str, buckets: int, mode: str) -> None:
-    toks = docs.select(F.col(key).alias("doc"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks")).withColumn("dl", F.size("toks").cast("long"))
+    # texts are dealt by document, so that its terms are counted where they are: only what is stored goes to its bucket
+    dealt = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartition("doc")
+    toks = dealt.select("doc", T.tokens(F.col("text")).alias("toks")).withColumn("dl", F.size("toks").cast("long"))
     tf = toks.select("doc", "dl", F.explode("toks").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
     rows = tf.withColumn("bucket", _bucket(F.col("term"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc")
     rows.write.mode(mode).partitionBy("bucket").parquet(f"{folder}/postings")
     schema = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes)
-    toks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets"), F.lit(schema).alias("schema")).write.mode(mode).parquet(f"{folder}/stats")
+    lengths = docs.select(F.size(T.tokens(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("dl"))
+    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets"), F.lit(schema).alias("schema")).write.mode(mode).parquet(f"{folder}/stats")
 
 
 def hits(spark: SparkSession, folder: str, terms: list[str]) -> DataFrame:
