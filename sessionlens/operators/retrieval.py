@@ -25,12 +25,14 @@ MIN_WEIGHT = 0.2
 
 def postings(docs: DataFrame, key: str, text: str, stem: bool = False) -> DataFrame:
     """(key, term, tf, dl): one row for each term of a document. Materialise it once for many queries."""
-    long = docs.select(F.col(key).alias("doc"), F.explode(T.tokens(F.col(text))).alias("term"))
+    # texts are dealt by document, so that its terms are counted where they are
+    dealt = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartition("doc")
+    toks = dealt.select("doc", T.tokens(F.col("text")).alias("toks")).withColumn("dl", F.size("toks").cast("long"))
+    long = toks.select("doc", "dl", F.explode("toks").alias("term"))
     if stem:
-        long = long.withColumn("term", T.stemmed(F.col("term")))
-    tf = long.groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    dl = docs.select(F.col(key).alias("doc"), F.size(T.tokens(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("dl"))
-    return tf.join(dl, "doc")
+        long = long.groupBy("doc", "dl", "term").agg(F.count("*").alias("n")).withColumn("term", T.stemmed(F.col("term")))
+        return long.groupBy("doc", "term").agg(F.sum("n").alias("tf"), F.max("dl").alias("dl"))
+    return long.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: str, top_k: int, stem: bool = False) -> DataFrame:
