@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionlens.functions import text as T
 from sessionlens.functions import vectors as V
+from sessionlens.operators.shared import written
 
 K1, B = 1.2, 0.75
 #: Weight of a term that half of the documents or more have.
@@ -43,7 +44,7 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, top_k: int, stem: boo
     """
     terms = T.query_terms(query)
     if stem:
-        return _bm25_from_postings(postings(docs, key, text, stem=True), docs.select(F.count("*").alias("n")), terms, key, top_k)
+        return _bm25_stemmed(docs, key, text, terms, top_k)
     toks = docs.select(F.col(key).alias(key), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks"))
 
     def times(term: str):
@@ -68,14 +69,22 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, top_k: int, stem: boo
     return rows.where(hit).select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(top_k)
 
 
-def _bm25_from_postings(post: DataFrame, total: DataFrame, terms: list[str], key: str, top_k: int) -> DataFrame:
+def _bm25_stemmed(docs: DataFrame, key: str, text: str, terms: list[str], top_k: int) -> DataFrame:
+    """Each distinct term of the corpus is stemmed once; only terms of the query's stems are counted by document."""
     stems = sorted({T._stem(t) for t in terms})
-    n, avgdl = total.first()["n"], post.select("doc", "dl").distinct().agg(F.avg("dl")).first()[0] or 1.0
-    hits = post.where(F.col("term").isin(stems))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    toks = docs.select(F.col(key).alias("doc"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks")).withColumn("dl", F.size("toks").cast("long"))
+    about = toks.agg(F.count("*").alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl")).first()
+    n, avgdl = about["n"], about["avgdl"] or 1.0
+    # dealt by number, as stemming a few bytes takes its time; written, as the filter would be pushed down to every token
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vocabulary = written(toks.select(F.explode("toks").alias("term")).distinct().repartition(parts, "term"))
+    same = written(vocabulary.withColumn("stem", T.stemmed(F.col("term"))).where(F.col("stem").isin(stems)))
+    hits = toks.select("doc", "dl", F.explode("toks").alias("term")).join(same, "term").groupBy("doc", "stem").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    hits = written(hits)
+    df = hits.groupBy("stem").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     one = F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    out = hits.join(df, "term").groupBy("doc").agg(F.sum(one).alias("score"))
+    out = hits.join(df, "stem").groupBy("doc").agg(F.sum(one).alias("score"))
     return out.select(F.col("doc").alias(key), "score").orderBy(F.desc("score"), key).limit(top_k)
 
 
