@@ -81,6 +81,26 @@ def celled(rows: DataFrame, centres: np.ndarray) -> DataFrame:
     return rows.mapInPandas(run, kinds + ", cell int, far double")
 
 
+def pens(centres: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, pen): cells in an order that keeps near ones together, and the pen of each of them in it.
+
+    A pen has cells of about `most` rows together, or one larger cell, so that a probe is sent once for many cells."""
+    x = centres - centres.mean(axis=0)
+    order = np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0], kind="stable")
+    pen, at, full = [], 0, 0
+    for n in sizes[order].tolist():
+        if full and full + n > most:
+            at, full = at + 1, 0
+        pen.append(at)
+        full += n
+    return order, np.array(pen, dtype=np.int32)
+
+
+def block_rows(n: int, least: int = 1024, most: int = 32_768) -> int:
+    """Rows of a block of n: an eighth, so that there are tasks enough, between these bounds."""
+    return max(least, min(most, -(-n // 8)))
+
+
 def cells_for(n: int) -> int:
     return max(1, min(MOST_CELLS, round(n**0.5)))
 

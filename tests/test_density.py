@@ -89,3 +89,21 @@ def test_few_and_odd_rows(spark):
     assert {r.id: r.cluster for r in D.clustered(df, "id", "v", 3).collect()} == {1: -1, 2: -1, 3: -1, 4: -1}
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)] + [(9, None)], ROWS)
     assert {r.cluster for r in D.clustered(same, "id", "v", 3, folded=2).collect()} == {-1}
+
+
+def test_probes_are_sent_once_for_many_cells(spark):
+    """Vectors without clusters reach nearly all cells; what is sent is a row for each pen, not for each cell."""
+    x = np.random.default_rng(2).normal(size=(600, 32))
+    space = D._Space(frame(spark, x).select(F.col("id").alias("k"), F.lit(0).alias("g"), F.col("v").alias("__v")), 200)
+    sent = space.reached(space.rows.withColumn("worst", F.lit(None).cast("double")), [])
+    assert len(space.used) > 3 * len(space.pen_rows)
+    assert sent.count() == 600 * len(space.pen_rows)
+
+
+def test_few_rows_ask_beyond_their_lists(spark, monkeypatch):
+    asked, meet = [], D._Space.meet
+    monkeypatch.setattr(D._Space, "meet", lambda self, probes, *rest: asked.append(probes.select("k").distinct().count()) or meet(self, probes, *rest))
+    x = np.random.default_rng(4).normal(size=(400, 16))
+    made = frame(spark, x).select(F.col("id").alias("k"), F.col("v").alias("__v"))
+    assert sorted((r.d, r.lo, r.hi) for r in D.spanning_tree(made, 3, 100).collect()) == C._tree(x, 3)
+    assert asked[:2] == [400, 400] and sum(asked[2:]) < 400
