@@ -101,11 +101,24 @@ def leaf_clusters(x: np.ndarray, least: int) -> np.ndarray:
 def clustered(rows: DataFrame, key: str, vector: str, least: int, by: str | None = None) -> DataFrame:
     """(by, key, cluster): leaf clusters of the vectors, one independent run for each `by`; -1 is noise.
 
-    With `by`, a group is what one session has and goes to one task. All rows at once go to one task only up to
-    ONE_TASK of them; beyond, density.clustered gives the same clusters from joins.
+    A group, or all rows, goes to one task only up to ONE_TASK rows; beyond, density.clustered gives the same clusters
+    from joins, for all such groups at once.
     """
     if by is None and rows.count() > ONE_TASK:
         return density.clustered(rows, key, vector, least)
+    if by is not None:
+        # one row for each group that is too large for a task
+        large = [r[by] for r in rows.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") > ONE_TASK).collect()]
+        if large:
+            codes = F.broadcast(rows.sparkSession.createDataFrame(list(enumerate(large)), f"__g int, __by {rows.schema[by].dataType.simpleString()}"))
+            same = F.col(by).eqNullSafe(F.col("__by"))
+            many = density.clustered(rows.join(codes, same).drop("__by"), key, vector, least, by="__g")
+            many = many.join(codes, "__g").select(F.col("__by").alias(by), key, "cluster")
+            return many.unionByName(_small(rows.join(codes, same, "left_anti"), key, vector, least, by))
+    return _small(rows, key, vector, least, by)
+
+
+def _small(rows: DataFrame, key: str, vector: str, least: int, by: str | None) -> DataFrame:
     group = by or "__all"
     src = rows if by else rows.withColumn("__all", F.lit(0))
     src = src.select(group, key, V.doubles(F.col(vector)).alias("v"))

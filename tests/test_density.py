@@ -107,3 +107,17 @@ def test_few_rows_ask_beyond_their_lists(spark, monkeypatch):
     made = frame(spark, x).select(F.col("id").alias("k"), F.col("v").alias("__v"))
     assert sorted((r.d, r.lo, r.hi) for r in D.spanning_tree(made, 3, 100).collect()) == C._tree(x, 3)
     assert asked[:2] == [400, 400] and sum(asked[2:]) < 400
+
+
+def test_large_groups_share_the_joins_and_small_ones_a_task_each(spark, monkeypatch):
+    monkeypatch.setattr(C, "ONE_TASK", 60)
+    x, label = vectors(260, seed=6), [None if i % 3 == 0 else i % 3 if i < 240 else 7 for i in range(260)]
+    df = spark.createDataFrame([(i, g, v.tolist()) for i, (g, v) in enumerate(zip(label, x, strict=True))], "id long, g int, v array<double>")
+    want, tasks = {}, []
+    for g in set(label):
+        own = [i for i in range(260) if label[i] == g]
+        want |= {(g, own[i]): c for i, c in wanted(x[own], 2).items()}
+    small = C._small
+    monkeypatch.setattr(C, "_small", lambda rows, *rest: tasks.append(rows.groupBy("g").count().agg(F.max("count")).first()[0]) or small(rows, *rest))
+    assert {(r.g, r.id): r.cluster for r in C.clustered(df, "id", "v", 2, by="g").collect()} == want
+    assert max(tasks) <= 60 and max(want.values()) > 3
