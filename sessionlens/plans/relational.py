@@ -164,10 +164,9 @@ def j10(c, _):
 
 @add("j12_all_pairs_threshold", "vectors", "SELECT a.record_id AS src, b.record_id AS tgt, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS weight FROM vectors a JOIN vectors b ON a.record_id < b.record_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3")
 def j12(v):
-    from sessionlens.operators.graph import similarity_edges
+    from sessionlens.operators.similarity import pairs_above
 
-    e = similarity_edges(v, "record_id", "embedding", top_k=1 << 30, least=0.3)
-    return e.where("src < tgt").select("src", "tgt", F.round("weight", 6).alias("weight"))
+    return pairs_above(v, "record_id", "embedding", 0.3).select("src", "tgt", F.round("weight", 6).alias("weight"))
 
 
 @add("j13_interval_containment", "descriptors", "SELECT d.session_id, d.exchange_idx, s.span FROM descriptors d JOIN (SELECT session_id, exchange_idx // 8 AS span, min(exchange_idx) AS lo, max(exchange_idx) AS hi FROM descriptors GROUP BY 1, 2) s ON d.session_id = s.session_id AND d.exchange_idx BETWEEN s.lo AND s.hi")
