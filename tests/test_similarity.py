@@ -67,3 +67,32 @@ def test_spread_without_pairs(spark):
     assert S.mean_cosine(df, "id", "v") == pytest.approx(pairs.mean(), abs=1e-9)
     assert S.extremes(df.limit(0), "id", "v") == (None, None)
     assert S.mean_cosine(df.where(F.col("id") < 1), "id", "v") is None
+
+
+@pytest.mark.parametrize("block", [None, 70])
+def test_pairs_above_a_threshold_are_sent_on_by_no_exchange(spark, block):
+    rows = clustered(300, 9, spread=0.6) + [(400, None), (401, [0.0] * 16)]
+    got = S.pairs_above(spark.createDataFrame(rows, ROWS), "id", "v", 0.3, block)
+    want = {k: v for k, v in all_pairs(rows[:300], 300, 0.3).items() if k[0] < k[1]}
+    assert {(r.src, r.tgt): pytest.approx(r.weight, abs=1e-9) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+
+
+def test_spread_in_blocks_without_a_join_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(S, "CosineJoin", None)
+    rows = clustered(200, 7, spread=0.4)
+    df = spark.createDataFrame(rows, ROWS)
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = (x @ x.T)[np.triu_indices(len(x), 1)]
+    assert S.extremes(df, "id", "v", 45) == pytest.approx((pairs.min(), pairs.max()), abs=1e-9)
+
+
+def test_a_probe_is_sent_once_for_many_cells(spark, monkeypatch):
+    rows = np.random.default_rng(1).normal(size=(500, 32))
+    made = S.unit(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], ROWS), "id", "v")
+    sent, products = [], S.CosineJoin._products
+    monkeypatch.setattr(S.CosineJoin, "_products", lambda self, probes: sent.append(probes.count()) or products(self, probes))
+    S.CosineJoin(made, made, 4, 0.01, 200).edges.count()
+    assert sent[0] == 500 and sent[1] <= 500 * 4
