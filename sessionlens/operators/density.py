@@ -83,7 +83,7 @@ class _Space:
         self.kind = rows.schema["k"].dataType.simpleString()
         self.n = rows.count()
         self.block = block or block_rows(self.n)
-        centres = fitted(rows, "k", max(1, min(MOST_CELLS, round(self.n**0.5))))
+        centres = fitted(rows, "k", max(1, min(MOST_CELLS, round(self.n**0.5))), n=self.n)
         made = written(celled(rows, centres).withColumn("cell", (F.col("g") * len(centres) + F.col("cell")).cast("int")))
         # one row for each cell of a group
         found = made.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).orderBy("cell").collect()

@@ -46,7 +46,7 @@ class CosineJoin:
         self.kind = members.schema["k"].dataType.simpleString()
         n = members.count()
         self.block = block or block_rows(n)
-        centres = fitted(members, "k", cells or max(1, min(MOST_CELLS, round(n**0.5))))
+        centres = fitted(members, "k", cells or max(1, min(MOST_CELLS, round(n**0.5))), n=n)
         if not n or not len(centres):
             self.edges = self.spark.createDataFrame([], f"src {self.kind}, tgt {self.kind}, weight double")
             return

@@ -50,10 +50,23 @@ def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T), 0)
 
 
-def fitted(rows: DataFrame, key: str, cells: int, sample: int = SAMPLE) -> np.ndarray:
-    """Centres of `cells` cells at most, by Lloyd's rounds over a sample of rows (key, __v), chosen by hash."""
-    few = rows.select(F.xxhash64(F.lit(7), key).alias("h"), "__v").orderBy("h").limit(sample)
-    found = [r["__v"] for r in few.collect()]
+def sampled(rows: DataFrame, key: str, n: int, sample: int) -> list[list[float]]:
+    """__v of the `sample` rows whose keys hash least, of n rows (key, __v).
+
+    Every task of a sort with a limit sends the driver as many rows as the limit, so rows are first cut at the hash
+    below which a tenth more than the sample are expected; rows are only ordered whole where that leaves too few."""
+    few = rows.select(F.xxhash64(F.lit(7), key).alias("h"), "__v")
+    most = sample + sample // 10 + 1_000
+    if n > most:
+        found = few.where(F.col("h") <= int(2**64 * (most / n) - 2**63)).orderBy("h").limit(sample).collect()
+        if len(found) == sample:
+            return [r["__v"] for r in found]
+    return [r["__v"] for r in few.orderBy("h").limit(sample).collect()]
+
+
+def fitted(rows: DataFrame, key: str, cells: int, sample: int = SAMPLE, n: int | None = None) -> np.ndarray:
+    """Centres of `cells` cells at most, by Lloyd's rounds over a sample of the n rows (key, __v), chosen by hash."""
+    found = sampled(rows, key, rows.count() if n is None else n, sample)
     if not found:
         return np.empty((0, 0))
     x = np.unique(np.array(found), axis=0)
@@ -109,7 +122,8 @@ def written(rows: DataFrame, key: str, vector: str, folder: str, metric: str = "
     """Write the index of rows into a new folder: key, the columns to keep (for filters) and the vectors by cell."""
     spark = rows.sparkSession
     made = _prepared(rows.select(key, vector, *(keep or [])), vector, metric)
-    centres = fitted(made, key, cells or cells_for(made.count()))
+    n = made.count()
+    centres = fitted(made, key, cells or cells_for(n), n=n)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.drop(vector).schema)
     about = [(key, metric, kinds + ", far double, cell int")]
     spark.createDataFrame(about, "key string, metric string, kinds string").write.parquet(f"{folder}/about")

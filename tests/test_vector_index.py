@@ -113,3 +113,19 @@ def test_engine_finds_chunks_added_after_indexing(spark, tmp_path):
             assert later.chunk_search("parser quotes", session=session).collect() == plain.chunk_search("parser quotes", session=session).collect()
         later.index_chunks(folder)
         assert later._indexed()
+
+
+def test_a_sample_is_cut_before_it_is_ordered(spark, monkeypatch):
+    """Each task of an ordered limit sends as many rows as the limit: few more than the sample may reach it."""
+    rows = spark.range(40_000, numPartitions=8).select(F.col("id").alias("k"), F.array(F.col("id").cast("double")).alias("__v"))
+    want = {r[0] for r in rows.orderBy(F.xxhash64(F.lit(7), "k")).select(F.col("k").cast("double")).take(2_000)}
+    reached, seen = [], []
+    limit, unique = type(rows).limit, np.unique
+    monkeypatch.setattr(type(rows), "limit", lambda df, n: reached.append(df.count()) or limit(df, n))
+    monkeypatch.setattr(np, "unique", lambda x, **more: seen.append(x) or unique(x, **more))
+    X.fitted(rows, "k", 10, 2_000)
+    assert set(seen[0][:, 0]) == want
+    assert reached and max(reached) < 5_000
+    # keys that repeat hash alike: too few below the cut, so that all are ordered
+    same = spark.range(40_000).select(F.lit(5).cast("long").alias("k"), F.array(F.col("id").cast("double")).alias("__v"))
+    assert len(X.sampled(same, "k", 40_000, 2_000)) == 2_000
