@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from zlib import crc32
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlens.functions import text as T
@@ -45,10 +45,13 @@ def _append(docs: DataFrame, key: str, text: str, folder: str, buckets: int, mod
     toks = dealt.select("doc", T.tokens(F.col("text")).alias("toks")).withColumn("dl", F.size("toks").cast("long"))
     tf = toks.select("doc", "dl", F.explode("toks").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
     rows = tf.withColumn("bucket", _bucket(F.col("term"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc")
-    rows.write.mode(mode).partitionBy("bucket").parquet(f"{folder}/postings")
+    # the words of the texts are counted as their postings are written, not by another pass over the texts
+    seen = Observation()
+    rows.observe(seen, F.sum("tf").alias("words")).write.mode(mode).partitionBy("bucket").parquet(f"{folder}/postings")
+    n, words = docs.count(), seen.get.get("words") or 0
     schema = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes)
-    lengths = docs.select(F.size(T.tokens(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("dl"))
-    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets"), F.lit(schema).alias("schema")).write.mode(mode).parquet(f"{folder}/stats")
+    about = [(n, words / n if n else None, buckets, schema)]
+    docs.sparkSession.createDataFrame(about, "n bigint, avgdl double, buckets int, schema string").write.mode(mode).parquet(f"{folder}/stats")
 
 
 def hits(spark: SparkSession, folder: str, terms: list[str]) -> DataFrame:

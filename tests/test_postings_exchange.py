@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sessionlens.operators import postings as P
 from sessionlens.operators import retrieval as R
 
 
@@ -19,3 +20,19 @@ def test_no_term_is_exchanged(spark):
     assert exchanged(spark) - before < 1000 < len(got)
     assert all(r["dl"] == 80 for r in got) and sum(r["tf"] for r in got) == 200 * 80
     assert len({(r["doc"], r["term"]) for r in got}) == len(got)
+
+
+def test_texts_are_split_into_words_once(spark, tmp_path, monkeypatch):
+    """Statistics of the whole segment come with the postings; segments without a word have them, too."""
+    calls, tokens = [], P.T.tokens
+    monkeypatch.setattr(P.T, "tokens", lambda text: calls.append(1) or tokens(text))
+    of = lambda rows: spark.createDataFrame(rows, "k long, t string")
+    segments = [[(1, "a b a"), (2, None), (3, "c")], [(4, ""), (5, None)], [], [(6, "d d d d")]]
+    P.written(of(segments[0]), "k", "t", f"{tmp_path}/index")
+    for more in segments[1:]:
+        P.added(of(more), "k", "t", f"{tmp_path}/index")
+    got = P.stats(spark, f"{tmp_path}/index")
+    assert (got["n"], got["avgdl"]) == (6, 8 / 6)
+    assert len(calls) == len(segments)
+    P.written(of([]), "k", "t", f"{tmp_path}/none")
+    assert (P.stats(spark, f"{tmp_path}/none")["n"], P.stats(spark, f"{tmp_path}/none")["avgdl"]) == (0, None)
