@@ -61,3 +61,16 @@ def test_expectations_of_one_name_are_not_paired_with_all_memories(spark):
     before = shuffled(spark)
     got = Q.matched(memories, sources, occurrences, entities, expected).where("memory_id = expected_id % 50").count()
     assert got == n and shuffled(spark) - before < n * n / 10
+
+
+def test_tokens_of_memories_go_through_no_exchange(spark):
+    """1,000 memories of 50 tokens each, of which no other memory has one, and a hint of two of them for each memory."""
+    n, k = 1000, 50
+    ids = spark.range(n).selectExpr("id", f"transform(sequence(0, {k - 1}), i -> concat('w', lpad(id * {k} + i, 6, '0'), 'q')) AS own")
+    memories = ids.selectExpr("id AS memory_id", "array_join(own, ' ') AS content", "'fact' AS memory_type")
+    sources, occurrences = ids.selectExpr("id AS memory_id", "id AS session_id"), ids.selectExpr("id AS entity_id", "id AS session_id")
+    entities = ids.selectExpr("id AS entity_id", "'one' AS canonical_name")
+    expected = ids.selectExpr("id AS expected_id", "'one' AS entity_name", "'' AS memory_type", "concat(own[7], ' ', own[9]) AS content_hint")
+    before = shuffled(spark)
+    assert Q.matched(memories, sources, occurrences, entities, expected).where("memory_id = expected_id").count() == n
+    assert shuffled(spark) - before < n * k
